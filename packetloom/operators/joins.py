@@ -1,0 +1,20 @@
+"""Joining a large table to one that is usually small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 64 << 20
+
+
+def join_lookup(large: DataFrame, lookup: DataFrame, on: list[str], row_bytes: int, how: str = "inner") -> DataFrame:
+    """Broadcasts ``lookup`` when its counted rows stay under the byte bound.
+
+    Beyond the bound the plain shuffle join remains, which AQE splits on skewed keys.
+    ``lookup`` should be a stored table, since it is counted first.
+    """
+    limit = BROADCAST_BYTES // max(row_bytes, 1)
+    if lookup.limit(limit + 1).count() <= limit:
+        lookup = F.broadcast(lookup)
+    return large.join(lookup, on, how)
