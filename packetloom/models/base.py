@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from abc import ABC, abstractmethod
 from datetime import datetime, timezone
 from typing import Any
@@ -12,11 +13,22 @@ from pyspark.sql import functions as F
 from packetloom.operators.clean import as_double
 from packetloom.operators.metrics import evaluate_labelled
 from packetloom.schema import LABEL, feature_columns
-from packetloom.session import materialize
+from packetloom.session import checkpoint_root, materialize
 from packetloom.sources.paths import path_exists
 from packetloom.sources.sinks import read_document, write_document
 
 
+def detached(model):
+    """A fitted MLlib model read back from disk, without its training summary.
+
+    The summary holds the session, and its use inside tasks would drag the session along.
+    """
+    spark = SparkSession.active()
+    path = f"{checkpoint_root(spark)}/models/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    model.write().save(path)
+    return type(model).load(path)
+
+
 class AnomalyModel(ABC):
     """A model over named numeric columns that adds ``prediction`` and ``score``."""
 

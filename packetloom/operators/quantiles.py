@@ -101,24 +101,73 @@ def _gather(df: DataFrame, value: Column, ranks: list[_Rank]) -> None:
             left -= n
 
 
+def _windowed(df: DataFrame, value: Column, ranks: list[_Rank], bounds: list[float]) -> None:
+    """Resolves ranks in one pass: counts between the windows and every value inside them.
+
+    ``bounds`` are ascending window edges, a window being a pair of them.  A rank outside its
+    window (which the accuracy of the quantiles rules out) stays open for the general way.
+    """
+    key, inside = F.lit(0), F.lit(False)
+    for i, bound in enumerate(bounds):
+        edge = value >= F.lit(bound) if i % 2 == 0 else value > F.lit(bound)
+        key = F.when(edge, F.lit(i + 1)).otherwise(key)
+    segment = F.col("segment")
+    for i in range(1, len(bounds), 2):
+        inside = inside | (segment == i)
+    counted = df.filter(value.isNotNull()).select(key.alias("segment"), value.alias("v"))
+    counted = counted.groupBy("segment", F.when(inside, F.col("v")).alias("v")).count().collect()
+    rows = sorted((r["segment"], r["v"] if r["v"] is not None else -math.inf, r["count"]) for r in counted)
+    for rank in ranks:
+        left = rank.rank
+        for number, v, n in rows:
+            if left < n:
+                rank.value = v if number % 2 else None
+                break
+            left -= n
+
+
+def _edges(quantiles: list[float]) -> list[float]:
+    """Disjoint ascending windows out of pairs of quantiles."""
+    merged: list[list[float]] = []
+    for low, high in sorted(zip(quantiles[::2], quantiles[1::2])):
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    return [edge for window in merged for edge in window]
+
+
 def exact_percentiles(df: DataFrame, requests: dict[str, list[float]]) -> dict[tuple[str, float], float | None]:
-    """``{(column, p): value}`` for fractions ``p``, linearly interpolated; NULL and NaN are left out."""
+    """``{(column, p): value}`` for fractions ``p``, linearly interpolated; NULL and NaN are left out.
+
+    Usually two passes: approximate quantiles around each fraction for all columns, then one
+    per column that counts between them and reads the values inside.
+    """
     values = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in requests}
-    sizes = df.agg(*[F.count(v).alias(c) for c, v in values.items()]).first()
+    numbers = df.select(*[v.alias(c) for c, v in values.items()])
+    slack = 2.0 / ACCURACY
+    first = []
+    for name, fractions in requests.items():
+        around = [min(max(p + d, 0.0), 1.0) for p in fractions for d in (-slack, slack)]
+        first.append(F.count(name).alias(f"n_{name}"))
+        first.append(F.percentile_approx(name, around, ACCURACY).alias(f"q_{name}"))
+    measured = numbers.agg(*first).first()
     found: dict[tuple[str, float], float | None] = {}
     for name, fractions in requests.items():
-        rows = sizes[name]
+        rows = measured[f"n_{name}"]
         if rows == 0:
             found |= {(name, p): None for p in fractions}
             continue
         wanted = {math.floor(p * (rows - 1)) for p in fractions}
         wanted |= {math.ceil(p * (rows - 1)) for p in fractions}
         ranks = {rank: _Rank(rank, rows) for rank in wanted}
-        column = df.select(values[name].alias("v"))
+        column, value = numbers.select(F.col(name).alias("v")), F.col("v")
+        if GATHER_ROWS < rows and rows * 2 * slack * len(fractions) <= GATHER_ROWS:
+            _windowed(column, value, list(ranks.values()), _edges(measured[f"q_{name}"]))
         while large := [r for r in ranks.values() if r.value is None and r.rows > GATHER_ROWS]:
-            _close_in(column, F.col("v"), large)
+            _close_in(column, value, large)
         if open_ranks := [r for r in ranks.values() if r.value is None]:
-            _gather(column, F.col("v"), open_ranks)
+            _gather(column, value, open_ranks)
         for p in fractions:
             spot = p * (rows - 1)
             low, high = ranks[math.floor(spot)].value, ranks[math.ceil(spot)].value

@@ -32,6 +32,7 @@ from packetloom.plans.tables import (
     line_packets,
     micros,
     scored_lines,
+    six_places,
     table,
 )
 from packetloom.session import materialize
@@ -246,7 +247,7 @@ def error_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five stratified folds; the scaler of each fold comes from the other four."""
-    folded = D.assign_folds(labelled_orders(spark, sf_dir), 5, "label", KEY)
+    folded = materialize(D.assign_folds(labelled_orders(spark, sf_dir), 5, "label", KEY), "folds")
     folds = []
     for fold in range(5):
         scaler = fit_scaler(folded.filter(F.col("fold") != fold), ORDER_FEATURES)
@@ -260,21 +261,21 @@ def cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three score formulas fitted on one stratified split; a failing one yields its error."""
-    train, test = D.parts_of(D.assign_split(labelled_orders(spark, sf_dir), KEY))
+    train, test = D.parts_of(materialize(D.assign_split(labelled_orders(spark, sf_dir), KEY), "split"))
     scaler = fit_scaler(train, ORDER_FEATURES)
     price, customer = scaler.scaled()
     formulas = {
         "distance": distance(scaler),
-        "price": F.round(F.abs(price), 6),
-        "customer": F.round(F.abs(customer), 6),
-        "broken": F.round(F.abs(price), 6),
+        "price": six_places(F.abs(price)),
+        "customer": six_places(F.abs(customer)),
+        "broken": F.lit(None),
     }
     rows: list[tuple] = []
     for name, score in formulas.items():
         try:
-            threshold = exact_percentile(train.select(score.alias("score")), "score", 0.9)
             if name == "broken":
                 raise ValueError("no such model")
+            threshold = exact_percentile(train.select(score.alias("score")), "score", 0.9)
             scored = test.select("label", score.alias("score"))
             scored = scored.withColumn("prediction", (F.col("score") > F.lit(threshold)).cast("int"))
             rows += [(name, m, v, None) for m, v in M.evaluate_labelled(scored).items()]
@@ -314,7 +315,7 @@ def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scores(spark: SparkSession, sf_dir: str, model) -> DataFrame:
     """Fits on the training part of the orders and scores all of them."""
     orders = labelled_orders(spark, sf_dir)
-    split = D.assign_split(orders, KEY)
+    split = materialize(D.assign_split(orders, KEY), "split")
     model.fit(D.parts_of(split)[0].drop("o_orderkey"))
     return model.transform(orders).select("o_orderkey", "label", "prediction", "score")
 
@@ -324,7 +325,7 @@ def rf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, SVMModel(max_iter=100))
+    return _scores(spark, sf_dir, SVMModel(max_iter=30))
 
 
 def kernel_svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,9 @@ from packetloom.sources.tabular import file_suffix, load_dataset
 CAPTURE_SUFFIXES = (".pcap", ".pcapng", ".cap")
 
 
-def decode_with_gaps(frames: DataFrame, chunk_packets: int = CHUNK_PACKETS) -> DataFrame:
+def decode_with_gaps(
+    frames: DataFrame, chunk_packets: int = CHUNK_PACKETS, initial: DataFrame | None = None
+) -> DataFrame:
     """Features with inter-arrival times.
 
     A ``previous_us`` column (from the capture reader) is used as it is.  Otherwise the
@@ -27,18 +29,22 @@ def decode_with_gaps(frames: DataFrame, chunk_packets: int = CHUNK_PACKETS) -> D
         before = F.col("previous_us")
         gap = F.when(before != 0, (F.col("ts_us") - before) / seconds).otherwise(F.lit(0.0))
         return decode_frames(frames, gap).drop("previous_us")
-    decoded = with_gaps(decode_frames(frames), chunk_packets=chunk_packets)
+    decoded = with_gaps(decode_frames(frames), chunk_packets=chunk_packets, initial=initial)
     return decoded.withColumn("inter_arrival_time", F.col("gap_us") / seconds).drop("gap_us")
 
 
 def extract_features(
-    frames: DataFrame, label: int | None = None, gaps: bool = True, keep: tuple[str, ...] = ()
+    frames: DataFrame,
+    label: int | None = None,
+    gaps: bool = True,
+    keep: tuple[str, ...] = (),
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """The clean 30-column feature table of a ``frames`` table, with a label when given.
 
     ``gaps=False`` is the packet-by-packet form, where no previous packet is known.
     """
-    decoded = decode_with_gaps(frames) if gaps else decode_frames(frames)
+    decoded = decode_with_gaps(frames, initial=initial) if gaps else decode_frames(frames)
     clean = clean_features(decoded.select(*keep, *FEATURE_COLUMNS), FEATURE_COLUMNS)
     return attach_label(clean, label)
 

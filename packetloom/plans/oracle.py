@@ -24,8 +24,12 @@ def _z(feature: str) -> str:
     return f"((CAST({feature} AS DOUBLE) - m_{feature}) / s_{feature})"
 
 
+def _six_places(value: str) -> str:
+    return f"(floor(({value}) * 1e6 + 0.5) / 1e6)"
+
+
 def _distance(features: list[str]) -> str:
-    return f"round(({' + '.join(f'{_z(f)} * {_z(f)}' for f in features)}) / {len(features)}, 6)"
+    return _six_places(f"({' + '.join(f'{_z(f)} * {_z(f)}' for f in features)}) / {len(features)}")
 
 
 SCORED = f"""{LINES},
@@ -37,7 +41,7 @@ scored AS (SELECT raw.*, CAST(score > threshold AS INTEGER) AS prediction FROM r
 _ABS_Z = " + ".join(f"abs({_z(f)})" for f in LINE_FEATURES)
 ERRORS = f"""{LINES},
 stats AS ({_stats('lines', LINE_FEATURES)}),
-errors AS (SELECT label, {_distance(LINE_FEATURES)} AS mse, round(({_ABS_Z}) / {len(LINE_FEATURES)}, 6) AS mae
+errors AS (SELECT label, {_distance(LINE_FEATURES)} AS mse, {_six_places(f'({_ABS_Z}) / {len(LINE_FEATURES)}')} AS mae
   FROM lines, stats)"""
 
 _HITS = "count(*) FILTER (label = 1 AND prediction = 1)"
@@ -225,8 +229,8 @@ SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std
 def _comparison() -> str:
     formulas = {
         "distance": _distance(ORDER_FEATURES),
-        "price": f"round(abs({_z('o_totalprice')}), 6)",
-        "customer": f"round(abs({_z('o_custkey')}), 6)",
+        "price": _six_places(f"abs({_z('o_totalprice')})"),
+        "customer": _six_places(f"abs({_z('o_custkey')})"),
     }
     rows = []
     for name, score in formulas.items():

@@ -33,3 +33,16 @@ def unused_path(spark: SparkSession, path: str, now: datetime | None = None) ->
     while path_exists(spark, candidate := f"{stem}_{stamp}_{number}{extension}"):
         number += 1
     return candidate
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    file_system, jvm_path = _file_system(spark, path)
+    file_system.delete(jvm_path, True)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly inside a folder; empty when there is none."""
+    file_system, jvm_path = _file_system(spark, path)
+    if not file_system.exists(jvm_path):
+        return []
+    return sorted(status.getPath().getName() for status in file_system.listStatus(jvm_path))
