@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from abc import ABC, abstractmethod
 from datetime import datetime, timezone
@@ -13,18 +14,24 @@ from pyspark.sql import functions as F
 from packetloom.operators.clean import as_double
 from packetloom.operators.metrics import evaluate_labelled
 from packetloom.schema import LABEL, feature_columns
-from packetloom.session import checkpoint_root, materialize
+from packetloom.session import materialize, scratch_path
 from packetloom.sources.paths import path_exists
 from packetloom.sources.sinks import read_document, write_document
 
 
+METADATA_SCHEMA = (
+    "model_type STRING, input_dim INT, n_training_samples LONG, trained_at STRING, "
+    "evaluation_metrics MAP<STRING, DOUBLE>, document STRING"
+)
+
+
 def detached(model):
     """A fitted MLlib model read back from disk, without its training summary.
 
     The summary holds the session, and its use inside tasks would drag the session along.
     """
     spark = SparkSession.active()
-    path = f"{checkpoint_root(spark)}/models/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{scratch_path(spark)}/models/{uuid.uuid4().hex}"
     model.write().save(path)
     return type(model).load(path)
 
@@ -105,6 +112,20 @@ class AnomalyModel(ABC):
         }
         return self.metadata or fallback
 
+    def metadata_frame(self, spark: SparkSession, path: str | None = None) -> DataFrame:
+        """The metadata as a one-row table: model type, width, training size, metrics and text."""
+        found = self.get_metadata(path)
+        metrics = {k: v if v is None else float(v) for k, v in found["evaluation_metrics"].items()}
+        row = (
+            found["model_type"],
+            found["input_dim"],
+            found.get("n_training_samples"),
+            found.get("trained_at"),
+            metrics,
+            json.dumps(found, indent=4),
+        )
+        return spark.createDataFrame([row], METADATA_SCHEMA)
+
     def save(self, spark: SparkSession, path: str, metrics: dict[str, Any] | None = None) -> str:
         """Writes parts and ``metadata`` below ``path``; every part is found relative to it."""
         self._save(spark, path)

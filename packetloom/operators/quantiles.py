@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.session import materialize
+
 GATHER_ROWS = 20_000
 ACCURACY = 10_000
 
@@ -164,6 +166,8 @@ def exact_percentiles(df: DataFrame, requests: dict[str, list[float]]) -> dict[t
         column, value = numbers.select(F.col(name).alias("v")), F.col("v")
         if GATHER_ROWS < rows and rows * 2 * slack * len(fractions) <= GATHER_ROWS:
             _windowed(column, value, list(ranks.values()), _edges(measured[f"q_{name}"]))
+        if any(r.value is None and r.rows > GATHER_ROWS for r in ranks.values()):
+            column = materialize(column, "values")  # several passes follow: compute the column once
         while large := [r for r in ranks.values() if r.value is None and r.rows > GATHER_ROWS]:
             _close_in(column, value, large)
         if open_ranks := [r for r in ranks.values() if r.value is None]:

@@ -40,6 +40,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables and models."""
+    return f"{checkpoint_root(spark)}/packetloom-{spark.sparkContext.applicationId}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark))
+    configuration = spark._jsparkSession.sessionState().newHadoopConf()
+    path.getFileSystem(configuration).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -47,7 +59,7 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     instead of recomputing, and losing an executor costs no upstream work.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/tables/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_path(spark)}/tables/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
