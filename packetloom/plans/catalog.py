@@ -21,6 +21,7 @@ from packetloom.operators.gaps import with_gaps
 from packetloom.operators.joins import join_lookup
 from packetloom.operators.quantiles import exact_percentile, exact_percentiles
 from packetloom.operators.scaling import fit_scaler, scale, scaler_stats
+from packetloom.plans.catalog_files import ALERT_HOST, ALERT_TIME, FILE_QUERIES
 from packetloom.plans.tables import (
     LINE_FEATURES,
     ORDER_FEATURES,
@@ -40,8 +41,6 @@ from packetloom.sources.captures import bounded_capture
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY = ["o_orderkey"]
-ALERT_TIME = "2024-06-01 12:30:00"
-ALERT_HOST = "sensor-1"
 CORRELATED = [*LINE_FEATURES, "l_partkey", "l_suppkey", "l_linenumber"]
 
 
@@ -374,6 +373,7 @@ QUERIES: dict[str, Query] = {
     "anomalies": anomalies,
     "alerts": alerts,
     "syslog_lines": syslog_lines,
+    **FILE_QUERIES,
     "rf_scores": rf_scores,
     "svm_scores": svm_scores,
     "kernel_svm_scores": kernel_svm_scores,

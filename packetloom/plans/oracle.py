@@ -174,6 +174,16 @@ _JSON = f"""'{{"source_port":' || coalesce(CAST(source_port AS VARCHAR), 'null')
   || ',"classification":"anomaly","model":"distance_v1","model_type":"distance","timestamp":'
   || CASE WHEN seconds IS NULL THEN '"{_ISO}.000000+00:00"' ELSE seconds || '.000000' END || '}}'"""
 
+# Orders as live packets; the gap is in seconds and 0 for the first packet of a capture.
+LIVE = """live AS (SELECT CAST(o_custkey % 8 AS VARCHAR) AS capture_id, o_orderkey AS packet_no, o_custkey, o_orderkey,
+  CAST(epoch(o_orderdate) AS BIGINT) AS seconds, CAST({gap} AS BIGINT) AS gap FROM orders),
+flagged AS (SELECT capture_id, packet_no, '{{"source_port":' || (1024 + o_orderkey % 60000)
+  || ',"destination_port":' || (o_custkey % 1000) || ',"protocol":17,"anomaly_score":' || (o_custkey % 40)
+  || '.0,"classification":"anomaly","model":"gap_v1","model_type":"gap","timestamp":' || seconds || '.000000}}' AS json
+  FROM live WHERE gap > 20000000 OR o_custkey % 1000 < 100)
+SELECT capture_id, packet_no, json FROM flagged"""
+_GAP = "coalesce(epoch(o_orderdate) - lag(epoch(o_orderdate)) OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey), 0)"
+
 _DIST = ["mse_mean", "mse_std", "mae_mean", "mae_std", "mse_median", "mse_iqr", "mae_median", "mae_iqr", "mse_p95"]
 _DIST_SQL = {
     "mse_mean": "avg(mse)", "mse_std": "stddev_pop(mse)", "mae_mean": "avg(mae)", "mae_std": "stddev_pop(mae)",
@@ -314,4 +324,18 @@ SELECT feature, importance FROM long ORDER BY importance DESC, feature LIMIT 5""
     "anomalies": f"WITH {SCORED} SELECT l_orderkey, l_linenumber, score FROM scored WHERE prediction = 1",
     "alerts": f"WITH {PACKETS} SELECT * EXCLUDE (seconds), CAST(seconds AS DOUBLE) AS \"timestamp\" FROM alerts",
     "syslog_lines": f"WITH {PACKETS} SELECT '<14>1 {_ISO}Z {ALERT_HOST} anomaly-detect - - - ' || {_JSON} AS syslog FROM alerts",
+    "csv_scan": f"WITH {ORDERS} SELECT o_orderkey, o_totalprice, o_custkey, label FROM ord",
+    "csv_directory": f"""WITH {ORDERS} SELECT o_orderkey, o_custkey, label, CAST(NULL AS DOUBLE) AS o_totalprice FROM ord
+UNION ALL SELECT o_orderkey, NULL, label, o_totalprice FROM ord""",
+    "dataset_build": f"""WITH {ORDERS}, least_n AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM ord GROUP BY label)),
+balanced AS (SELECT o_orderkey, label, h FROM ({RANKED}), least_n WHERE rn <= m), {SHARES.format(source='balanced')}
+SELECT o_orderkey, b.label AS label, CASE WHEN rn <= n_train THEN 'train' ELSE 'test' END AS part FROM (SELECT *,
+  row_number() OVER (PARTITION BY label ORDER BY h, o_orderkey) AS rn FROM balanced) b JOIN train ON b.label = train.label""",
+    "batch_detection": f"WITH {SCORED} SELECT l_orderkey, l_linenumber, {', '.join(LINE_FEATURES)}, score AS anomaly_score, prediction FROM scored",
+    "alert_files": f"""WITH {PACKETS}, text AS (SELECT {_JSON} AS value FROM alerts)
+SELECT value, 'file' AS sink FROM text UNION ALL SELECT '<14>1 {_ISO}Z {ALERT_HOST} anomaly-detect - - - ' || value, 'syslog' FROM text""",
+    "live_alerts": "WITH " + LIVE.format(gap="0"),
+    "live_alerts_with_gaps": "WITH " + LIVE.format(gap=_GAP),
+    "live_packet_summary": """SELECT CAST(o_custkey % 8 AS VARCHAR) AS capture_id, o_orderkey AS packet_no, '10.0.0.' || (o_custkey % 256) AS src,
+  '10.0.1.' || (o_orderkey % 256) AS dst, 'udp' AS protocol, CAST(42 + o_custkey % 40 AS INTEGER) AS length FROM orders""",
 }

@@ -56,6 +56,7 @@ def prepare_dataset(
     seed: int = 42,
     keys: list[str] | None = None,
     file_format: str = "csv",
+    schema: T.StructType | None = None,
 ) -> dict[str, str]:
     """Runs the chosen steps in order and returns the path written by each.
 
@@ -63,7 +64,7 @@ def prepare_dataset(
     """
     written: dict[str, str] = {}
     if sources is not None:
-        table = materialize(combine_sources(spark, sources), "combined")
+        table = materialize(combine_sources(spark, sources, schema), "combined")
         written["combined"] = output = write_table(table, output, file_format)
     if table is None:
         raise ValueError("give sources to combine or a table to start from")

@@ -58,7 +58,8 @@ def error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("label", distance(scaler).alias("mse"), six_places(mae).alias("mae"))
 
 
-def _hex(value: Column, digits: int) -> Column:
+def hex_field(value: Column, digits: int) -> Column:
+    """A number as fixed-width hex text."""
     return F.lpad(F.hex(value.cast("long")), digits, "0")
 
 
@@ -72,28 +73,28 @@ def line_frames(spark: SparkSession, sf_dir: str, cut: bool) -> DataFrame:
     number, payload = F.col("l_linenumber"), F.col("l_quantity").cast("int")
     zeros = F.repeat(F.lit("00"), payload)
     tcp = F.concat(
-        _hex(1024 + order % 60000, 4), _hex(part % 1024, 4),
-        _hex(order * 65537 % 4294967296, 8), _hex(part * 99991 % 4294967296, 8),
-        F.lit("50"), _hex(payload % 64, 2), _hex(part % 65536, 4), F.lit("0000"), _hex(supplier % 3, 4),
+        hex_field(1024 + order % 60000, 4), hex_field(part % 1024, 4),
+        hex_field(order * 65537 % 4294967296, 8), hex_field(part * 99991 % 4294967296, 8),
+        F.lit("50"), hex_field(payload % 64, 2), hex_field(part % 65536, 4), F.lit("0000"), hex_field(supplier % 3, 4),
     )
-    udp = F.concat(_hex(1024 + order % 60000, 4), _hex(part % 1024, 4), _hex(8 + payload, 4), F.lit("0000"))
-    icmp = F.concat(_hex(supplier % 20, 2), _hex(payload % 16, 2), F.lit("000000000000"))
+    udp = F.concat(hex_field(1024 + order % 60000, 4), hex_field(part % 1024, 4), hex_field(8 + payload, 4), F.lit("0000"))
+    icmp = F.concat(hex_field(supplier % 20, 2), hex_field(payload % 16, 2), F.lit("000000000000"))
     transport = F.when(number.isin(1, 2, 6), tcp).when(number == 3, udp).when(number == 4, icmp).otherwise("")
     protocol = F.when(number.isin(1, 2, 6), 6).when(number == 3, 17).when(number == 4, 1).otherwise(253)
     fragment = order % 2 * 16384 + part % 2 * 8192 + F.when(part % 11 == 0, 185).otherwise(0)
     ip = F.concat(
-        F.lit("4500"), _hex(20 + F.length(transport) / 2 + payload, 4), _hex(order % 65536, 4), _hex(fragment, 4),
-        _hex(32 + supplier % 200, 2), _hex(protocol, 2), F.lit("0000"),
-        F.lit("0A"), _hex(supplier % 256, 2), _hex(part % 256, 2), F.lit("01"),
-        F.lit("C0A8"), _hex(order % 256, 2), F.lit("02"),
+        F.lit("4500"), hex_field(20 + F.length(transport) / 2 + payload, 4), hex_field(order % 65536, 4), hex_field(fragment, 4),
+        hex_field(32 + supplier % 200, 2), hex_field(protocol, 2), F.lit("0000"),
+        F.lit("0A"), hex_field(supplier % 256, 2), hex_field(part % 256, 2), F.lit("01"),
+        F.lit("C0A8"), hex_field(order % 256, 2), F.lit("02"),
     )
     ether = (
-        F.when(number == 6, F.concat(F.lit("8100"), _hex(supplier % 4096, 4), F.lit("0800")))
+        F.when(number == 6, F.concat(F.lit("8100"), hex_field(supplier % 4096, 4), F.lit("0800")))
         .when(number == 7, "0806")
         .otherwise("0800")
     )
     body = F.when(number == 7, F.repeat(F.lit("00"), F.lit(28))).otherwise(F.concat(ip, transport, zeros))
-    text = F.concat(_hex(supplier % 65536, 12), _hex(part % 65536, 12), ether, body)
+    text = F.concat(hex_field(supplier % 65536, 12), hex_field(part % 65536, 12), ether, body)
     if cut:
         short = F.substring(text, F.lit(1), (part % 64 * 2).cast("int"))
         text = F.when(order % 7 == 0, short).otherwise(text)
