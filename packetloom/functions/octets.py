@@ -29,9 +29,13 @@ def ipv6_groups(address: Column) -> Column:
 
 
 def ipv6_text(groups: Column) -> Column:
-    """Canonical text: the longest run of zero groups becomes ``::``."""
-    text = groups
-    for run in range(2, 9):
-        pattern = rf"^(.*?)(?:^|:)(?:0:){{{run - 1}}}0(?:$|:)(.*)$"
-        text = F.when(groups.rlike(pattern), F.regexp_replace(groups, pattern, "$1::$2")).otherwise(text)
-    return text
+    """Canonical text: the longest run of zero groups, the first of equals, becomes ``::``."""
+    runs = F.regexp_extract_all(groups, F.lit(r"(?:^|:)0(?::0)+(?![0-9a-f])"), F.lit(0))
+
+    def shortened(run: Column) -> Column:
+        at = F.position(run, groups)
+        rest = F.ltrim(groups.substr(at + F.length(run), F.length(groups)), F.lit(":"))
+        zeros = F.length(F.replace(run, F.lit(":"), F.lit("")))
+        return F.struct(zeros, -at, F.concat(groups.substr(F.lit(1), at - 1), F.lit("::"), rest).alias("text"))
+
+    return F.coalesce(F.array_max(F.transform(runs, shortened))["text"], groups)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,16 +61,39 @@ def binary_metrics(
     return df.groupBy(*(by or [])).agg(*[c.alias(name) for name, c in columns.items()])
 
 
+def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For score-sorted rows: lowest score, class counts and correctly ordered pairs."""
+    low, positives, negatives, pairs = None, 0.0, 0.0, 0.0
+    for batch in batches:
+        if batch.empty:
+            continue
+        pos, neg = batch["pos"].to_numpy(float), batch["neg"].to_numpy(float)
+        below = negatives + np.cumsum(neg) - neg
+        pairs += float(pos @ (below + neg / 2))
+        low = batch["score"].iloc[0] if low is None else low
+        positives, negatives = positives + pos.sum(), negatives + neg.sum()
+    if low is not None:
+        yield pd.DataFrame({"low": [low], "pos": [positives], "neg": [negatives], "pairs": [pairs]})
+
+
 def roc_auc(df: DataFrame, label: str = LABEL, score: str = "score") -> float | None:
-    """Exact area under the ROC curve, ties counted half; None with a single class."""
-    usable = df.select(F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("score"))
-    low, high = usable.agg(F.min("label"), F.max("label")).first()
-    if low is None or low == high:
-        return None
-    evaluator = BinaryClassificationEvaluator(
-        labelCol="label", rawPredictionCol="score", metricName="areaUnderROC", numBins=0
+    """Exact area under the ROC curve, ties counted half; None with a single class.
+
+    Rows of one score are counted first, so a score shared by many rows is one row of the
+    sort.  Each range of scores then yields its counts and inner pairs, one row per task, and
+    pairs between ranges follow from the counts.
+    """
+    y = F.col(label)
+    counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
+        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
     )
-    return evaluator.evaluate(usable)
+    ranges = counts.repartitionByRange("score").sortWithinPartitions("score")
+    rows = ranges.mapInPandas(_pair_sums, "low DOUBLE, pos DOUBLE, neg DOUBLE, pairs DOUBLE").collect()
+    positives, negatives, pairs = 0.0, 0.0, 0.0
+    for row in sorted(rows, key=lambda r: r.low):
+        pairs += row.pairs + row.pos * negatives
+        positives, negatives = positives + row.pos, negatives + row.neg
+    return pairs / (positives * negatives) if positives and negatives else None
 
 
 def classification_report(df: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:

@@ -36,6 +36,16 @@ def test_auc_counts_ties_half(judged):
     assert M.roc_auc(judged.filter("label = 1")) is None
 
 
+def test_auc_over_many_ranges(spark):
+    draw = np.random.default_rng(8)
+    score, label = np.round(draw.normal(0, 1, 4000), 2), draw.integers(0, 2, 4000)
+    score[:1500] = 0.25  # one score holds a third of the rows
+    df = spark.createDataFrame([(float(s), int(y)) for s, y in zip(score, label)], "score DOUBLE, label INT")
+    pos, neg = score[label == 1], score[label == 0]
+    wanted = (np.sum(pos[:, None] > neg) + np.sum(pos[:, None] == neg) / 2) / (len(pos) * len(neg))
+    assert M.roc_auc(df.repartition(5)) == pytest.approx(wanted, rel=1e-12)
+
+
 def test_report(judged):
     rows = {r["class"]: r for r in M.classification_report(judged.unionByName(judged.filter("label = 1"))).collect()}
     assert rows["1"].support == 6 and rows["1"].recall == pytest.approx(4 / 6)
