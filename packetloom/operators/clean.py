@@ -103,10 +103,15 @@ def numeric_violations(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*counts).alias("rows")).select(F.inline("rows"))
 
 
-def require_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The frame with ``columns`` as DOUBLE; ValueError naming the first bad ones."""
+def require_no_text(df: DataFrame, columns: list[str]) -> None:
+    """ValueError naming the columns that hold values which are no numbers."""
     found = numeric_violations(df, columns).filter("n_violations > 0").collect()
     if found:
         detail = ", ".join(f"{r.column_name} ({r.n_violations})" for r in found)
         raise ValueError(f"non-numeric values in: {detail}")
+
+
+def require_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The frame with ``columns`` as numbers, after that check."""
+    require_no_text(df, columns)
     return cast_numeric(df, columns)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.functions.headers import decode_frames
-from packetloom.operators.clean import attach_label, cast_numeric, clean_features
+from packetloom.operators.clean import ADDRESS_COLUMNS, attach_label, clean_features
 from packetloom.operators.gaps import CHUNK_PACKETS, with_gaps
 from packetloom.schema import FEATURE_COLUMNS, FRAME_SCHEMA
 from packetloom.sources.captures import read_captures
-from packetloom.sources.tabular import file_suffix, load_dataset
+from packetloom.sources.tabular import file_suffix, load_numeric
 
 CAPTURE_SUFFIXES = (".pcap", ".pcapng", ".cap")
 
@@ -52,15 +52,14 @@ def extract_features(
 def load_input(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Features from a capture or a CSV table, chosen by suffix; a folder holds CSV tables.
 
-    ValueError for another suffix.
+    ValueError for another suffix, or for values that are no numbers.
     """
     suffix = file_suffix(path)
     if suffix in CAPTURE_SUFFIXES:
         return extract_features(read_captures(spark, path, previous=True))
     if suffix not in (".csv", ""):
         raise ValueError(f"unsupported input format {suffix!r}; use a capture or a CSV file")
-    table = load_dataset(spark, path, schema)
-    return cast_numeric(table, [f.name for f in table.schema if isinstance(f.dataType, T.StringType)])
+    return load_numeric(spark, [path], schema, ADDRESS_COLUMNS)
 
 
 def land_captures(spark: SparkSession, path: str, target: str) -> None:

@@ -8,12 +8,11 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from packetloom.operators.clean import require_numeric
-from packetloom.operators.dataset import balance_labels, combine, dedup_rows, shuffled, split_dataset
+from packetloom.operators.dataset import balance_labels, dedup_rows, shuffled, split_dataset
 from packetloom.schema import LABEL
 from packetloom.session import materialize
 from packetloom.sources.sinks import write_table
-from packetloom.sources.tabular import load_dataset
+from packetloom.sources.tabular import load_numeric, load_text
 
 log = logging.getLogger(__name__)
 
@@ -27,17 +26,17 @@ def combine_sources(
     error.  Nothing readable gives a table without columns.  Where a row came from plays no
     part, so equal rows of different files collapse.
     """
-    tables = []
+    readable = []
     for source in sources:
         try:
-            tables.append(load_dataset(spark, source, schema))
+            load_text(spark, source)
+            readable.append(source)
         except Exception as error:
             log.warning("skipped %s: %s", source, error)
-    if not tables:
+    if not readable:
         log.warning("no readable source to combine")
         return spark.createDataFrame([], T.StructType([]))
-    united = combine(tables)
-    return dedup_rows(require_numeric(united, united.columns))
+    return dedup_rows(load_numeric(spark, readable, schema))
 
 
 def _beside(path: str, suffix: str) -> str:

@@ -7,11 +7,11 @@ import posixpath
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.operators.clean import MISSING_TOKENS
+from packetloom.operators.clean import require_no_text, text_or_null
 from packetloom.operators.dataset import combine
 from packetloom.schema import FEATURE_SCHEMA, LABEL
 from packetloom.sources.files import list_files, open_binary
@@ -35,36 +35,28 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": batch["path"], "header": [_first_record(p) for p in batch["path"]]})
 
 
-def _declared(header: list[str], schema: T.StructType | None) -> T.StructType:
-    """Types by name: from ``schema``, else the packet features, else text."""
-    known = {f.name: f.dataType for f in schema} if schema else _KNOWN_TYPES
-    return T.StructType([T.StructField(name, known.get(name, T.StringType())) for name in header])
+def _text_schema(header: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()) for name in header])
 
 
-def read_csv(
-    spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None, infer: bool = False
-) -> DataFrame:
+def _read(spark: SparkSession, paths: str | list[str], header: list[str], infer: bool) -> DataFrame:
     """Files that share one header.  ``infer`` costs one more pass over the data."""
-    reader = spark.read.option("header", True).option("nanValue", "NaN").option("pathGlobFilter", "*.csv")
+    reader = spark.read.option("header", True).option("pathGlobFilter", "*.csv")
     if infer:
         return reader.option("inferSchema", True).csv(paths)
-    return reader.schema(schema).csv(paths)
+    return reader.schema(_text_schema(header)).csv(paths)
 
 
-def load_dataset(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = False
-) -> DataFrame:
-    """One CSV file, or all ``*.csv`` directly inside a directory, united by column name.
+def load_text(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
+    """One CSV file, or all ``*.csv`` directly inside a directory, united by column name, as text.
 
     Files are grouped by identical header, since one reader binds columns by position.
     Headers are read in tasks; only the distinct ones reach the driver, with their file
     lists when there are several.
-    Columns without a declared type are text until a caller asks for numbers.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    directory = is_directory(spark, path)
-    if directory:
+    if is_directory(spark, path):
         files = list_files(spark, path, "*.csv").select("path")
     else:
         files = spark.createDataFrame([(path,)], "path STRING")
@@ -78,15 +70,62 @@ def load_dataset(
         if not row.header:
             raise ValueError(f"empty CSV file: {row.first}")
     if len(distinct) == 1:
-        return read_csv(spark, path, _declared(distinct[0].header, schema), infer)
+        return _read(spark, path, distinct[0].header, infer)
     tables = []
     for row in sorted(distinct, key=lambda r: r.first):
         same = headers.filter(F.col("header") == F.array(*[F.lit(name) for name in row.header]))
         paths = sorted(r.path for r in same.select("path").collect())
-        tables.append(read_csv(spark, paths, _declared(row.header, schema), infer))
+        tables.append(_read(spark, paths, row.header, infer))
     return combine(tables)
 
 
+def _number(name: str, data_type: T.DataType) -> Column:
+    """Text as a number.  Whole numbers may be written with a fraction of zero, as in ``80.0``."""
+    text = text_or_null(F.col(name))
+    if isinstance(data_type, T.IntegralType):
+        whole = F.coalesce(text.try_cast("long"), text.try_cast("double").try_cast("long"))
+        return whole.try_cast(data_type)
+    return text.try_cast(data_type)
+
+
+def typed(
+    df: DataFrame,
+    schema: T.StructType | None = None,
+    others: T.DataType | None = None,
+    text_columns: tuple[str, ...] = (),
+) -> DataFrame:
+    """Text columns cast by name: after ``schema``, else as packet features, else to ``others``."""
+    known = {f.name: f.dataType for f in schema} if schema else _KNOWN_TYPES
+    casts = {}
+    for f in df.schema:
+        wanted = known.get(f.name, others)
+        is_text = isinstance(f.dataType, T.StringType) and f.name not in text_columns
+        if is_text and isinstance(wanted, T.NumericType):
+            casts[f.name] = _number(f.name, wanted)
+    return df.withColumns(casts) if casts else df
+
+
+def load_dataset(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = False
+) -> DataFrame:
+    """CSV tables with the types declared in ``schema`` (or those of the packet features).
+
+    Values that do not fit become NULL; other columns stay text until a caller asks for
+    numbers.  ``infer`` asks for inferred types instead.
+    """
+    df = load_text(spark, path, infer)
+    return df if infer else typed(df, schema)
+
+
+def load_numeric(
+    spark: SparkSession, paths: list[str], schema: T.StructType | None = None, text_columns: tuple[str, ...] = ()
+) -> DataFrame:
+    """CSV tables united as numbers; ValueError when any other value is none."""
+    df = combine([load_text(spark, path) for path in paths])
+    require_no_text(df, [c for c in df.columns if c not in text_columns])
+    return typed(df, schema, T.DoubleType(), text_columns)
+
+
 def with_source_name(df: DataFrame, name: str = "source") -> DataFrame:
     """Adds the base name of the file each row came from."""
     return df.withColumn(name, F.element_at(F.split(F.input_file_name(), "/"), -1))
@@ -94,6 +133,3 @@ def with_source_name(df: DataFrame, name: str = "source") -> DataFrame:
 
 def file_suffix(path: str) -> str:
     return posixpath.splitext(path.rstrip("/"))[1].lower()
-
-
-__all__ = ["MISSING_TOKENS", "file_suffix", "load_dataset", "read_csv", "with_source_name"]

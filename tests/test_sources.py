@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators.alerts import ALERT_FIELDS, project_alerts, render_alerts
 from packetloom.operators.joins import join_lookup
+from packetloom.plans.extract import load_input
 from packetloom.plans.prepare import combine_sources, prepare_dataset
 from packetloom.session import checkpoint_root, checkpointed, materialize, release_scratch, scratch_path
 from packetloom.sources.paths import path_exists, unused_path
@@ -40,6 +41,16 @@ def test_csv_file_and_directory(spark, tmp_path):
 def test_declared_packet_columns_have_types(spark, tmp_path):
     df = load_dataset(spark, put(tmp_path / "p.csv", "timestamp,tcp_seq,label\n1.5,4294967295,1\n"))
     assert dict(df.dtypes) == {"timestamp": "double", "tcp_seq": "bigint", "label": "int"}
+    loose = load_dataset(spark, put(tmp_path / "q.csv", "tcp_sport,tcp_seq,length\n80.0,4294967295.0,word\nNA,,7\n"))
+    assert [tuple(r) for r in loose.collect()] == [(80, 4294967295, None), (None, None, 7)]
+
+
+def test_numbers_only(spark, tmp_path):
+    path = put(tmp_path / "p.csv", "tcp_sport,x,src\n80.0,1.5,10.0.0.1\n,NaN,10.0.0.2\n")
+    df = load_input(spark, path)
+    assert [tuple(r) for r in df.select("tcp_sport", "x", "src").collect()] == [(80, 1.5, "10.0.0.1"), (None, None, "10.0.0.2")]
+    with pytest.raises(ValueError, match="tcp_sport"):
+        load_input(spark, put(tmp_path / "bad.csv", "tcp_sport,x\nhttp,1\n"))
 
 
 def test_combine_files(spark, tmp_path):
