@@ -10,7 +10,8 @@ ALERT_FIELDS = (
     "source_port", "destination_port", "protocol", "anomaly_score",
     "classification", "model", "model_type", "timestamp",
 )
-SYSLOG_PRIORITY, SYSLOG_VERSION, SYSLOG_APP = 14, 1, "anomaly-detect"
+SYSLOG_PRIORITY, SYSLOG_VERSION = 14, 1
+DEFAULT_APP = "packetloom"
 
 
 def anomalies(scored: DataFrame) -> DataFrame:
@@ -60,15 +61,21 @@ def utc_iso(now: Column) -> Column:
     return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
-def syslog_line(json: Column, host: str, now: Column) -> Column:
-    """An RFC 5424 line with the alert as its message."""
+def syslog_line(json: Column, host: str, now: Column, app: str = DEFAULT_APP) -> Column:
+    """An RFC 5424 line with the alert as its message, sent under the name ``app``."""
     stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(F.lit(f"<{SYSLOG_PRIORITY}>{SYSLOG_VERSION} "), stamp)
-    return F.concat_ws(" ", head, F.lit(host), F.lit(f"{SYSLOG_APP} - - -"), json)
+    return F.concat_ws(" ", head, F.lit(host), F.lit(f"{app} - - -"), json)
 
 
-def render_alerts(alerts: DataFrame, host: str, now: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def render_alerts(
+    alerts: DataFrame,
+    host: str,
+    now: Column | None = None,
+    keep: tuple[str, ...] = (),
+    app: str = DEFAULT_APP,
+) -> DataFrame:
     """``(json, syslog)`` text per alert; ``now`` defaults to the time of the query."""
     now = F.current_timestamp() if now is None else now
     text = alerts.select(*keep, alert_json(alerts, utc_iso(now)).alias("json"))
-    return text.withColumn("syslog", syslog_line(F.col("json"), host, now))
+    return text.withColumn("syslog", syslog_line(F.col("json"), host, now, app))

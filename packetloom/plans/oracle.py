@@ -323,7 +323,7 @@ FROM scored, (VALUES (0), (1)) va(a), (VALUES (0), (1)) vp(p) GROUP BY a, p""",
 SELECT feature, importance FROM long ORDER BY importance DESC, feature LIMIT 5""",
     "anomalies": f"WITH {SCORED} SELECT l_orderkey, l_linenumber, score FROM scored WHERE prediction = 1",
     "alerts": f"WITH {PACKETS} SELECT * EXCLUDE (seconds), CAST(seconds AS DOUBLE) AS \"timestamp\" FROM alerts",
-    "syslog_lines": f"WITH {PACKETS} SELECT '<14>1 {_ISO}Z {ALERT_HOST} anomaly-detect - - - ' || {_JSON} AS syslog FROM alerts",
+    "syslog_lines": f"WITH {PACKETS} SELECT '<14>1 {_ISO}Z {ALERT_HOST} packetloom - - - ' || {_JSON} AS syslog FROM alerts",
     "csv_scan": f"WITH {ORDERS} SELECT o_orderkey, o_totalprice, o_custkey, label FROM ord",
     "csv_directory": f"""WITH {ORDERS} SELECT o_orderkey, o_custkey, label, CAST(NULL AS DOUBLE) AS o_totalprice FROM ord
 UNION ALL SELECT o_orderkey, NULL, label, o_totalprice FROM ord""",
@@ -333,7 +333,7 @@ SELECT o_orderkey, b.label AS label, CASE WHEN rn <= n_train THEN 'train' ELSE '
   row_number() OVER (PARTITION BY label ORDER BY h, o_orderkey) AS rn FROM balanced) b JOIN train ON b.label = train.label""",
     "batch_detection": f"WITH {SCORED} SELECT l_orderkey, l_linenumber, {', '.join(LINE_FEATURES)}, score AS anomaly_score, prediction FROM scored",
     "alert_files": f"""WITH {PACKETS}, text AS (SELECT {_JSON} AS value FROM alerts)
-SELECT value, 'file' AS sink FROM text UNION ALL SELECT '<14>1 {_ISO}Z {ALERT_HOST} anomaly-detect - - - ' || value, 'syslog' FROM text""",
+SELECT value, 'file' AS sink FROM text UNION ALL SELECT '<14>1 {_ISO}Z {ALERT_HOST} packetloom - - - ' || value, 'syslog' FROM text""",
     "live_alerts": "WITH " + LIVE.format(gap="0"),
     "live_alerts_with_gaps": "WITH " + LIVE.format(gap=_GAP),
     "live_packet_summary": """SELECT CAST(o_custkey % 8 AS VARCHAR) AS capture_id, o_orderkey AS packet_no, '10.0.0.' || (o_custkey % 256) AS src,

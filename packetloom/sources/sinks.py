@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from packetloom.operators.alerts import render_alerts
+from packetloom.operators.alerts import DEFAULT_APP, render_alerts
 from packetloom.sources.paths import unused_path
 
 log = logging.getLogger(__name__)
@@ -52,6 +52,7 @@ def write_alerts(
     dry_run: bool = False,
     host: str | None = None,
     now: Column | None = None,
+    app: str = DEFAULT_APP,
 ) -> bool:
     """Delivers alerts as JSON lines, syslog lines or both; True when one delivery worked.
 
@@ -66,7 +67,7 @@ def write_alerts(
         targets["syslog"] = syslog_path
     if dry_run:
         return True
-    lines = render_alerts(alerts, host or socket.gethostname(), now)
+    lines = render_alerts(alerts, host or socket.gethostname(), now, app=app)
     if len(targets) > 1:
         lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
     delivered = False

@@ -141,7 +141,7 @@ def test_alert_text(scored):
     assert sorted(str(p["timestamp"]) for p in parsed) == ["1700000000.123456", *["2024-06-01T12:30:00.000000+00:00"] * 2]
     assert {p["classification"] for p in parsed} == {"anomaly"}
     for r in rows:
-        assert r.syslog == f"<14>1 2024-06-01T12:30:00Z box anomaly-detect - - - {r.json}"
+        assert r.syslog == f"<14>1 2024-06-01T12:30:00Z box packetloom - - - {r.json}"
 
 
 def test_alert_delivery(spark, scored, tmp_path):
