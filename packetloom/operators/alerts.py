@@ -57,13 +57,18 @@ def alert_json(alerts: DataFrame, now_iso: Column) -> Column:
     return F.when(F.col("timestamp").isNotNull(), own).otherwise(defaulted)
 
 
+def _in_utc(now: Column) -> Column:
+    """The wall clock of UTC, whatever the session's zone."""
+    return F.to_utc_timestamp(now, F.current_timezone())
+
+
 def utc_iso(now: Column) -> Column:
-    return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    return F.date_format(_in_utc(now), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
 def syslog_line(json: Column, host: str, now: Column, app: str = DEFAULT_APP) -> Column:
     """An RFC 5424 line with the alert as its message, sent under the name ``app``."""
-    stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    stamp = F.date_format(_in_utc(now), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(F.lit(f"<{SYSLOG_PRIORITY}>{SYSLOG_VERSION} "), stamp)
     return F.concat_ws(" ", head, F.lit(host), F.lit(f"{app} - - -"), json)
 

@@ -21,7 +21,7 @@ from packetloom.operators.gaps import with_gaps
 from packetloom.operators.joins import join_lookup
 from packetloom.operators.quantiles import exact_percentile, exact_percentiles
 from packetloom.operators.scaling import fit_scaler, scale, scaler_stats
-from packetloom.plans.catalog_files import ALERT_HOST, ALERT_TIME, FILE_QUERIES
+from packetloom.plans.catalog_files import ALERT_HOST, FILE_QUERIES, alert_time
 from packetloom.plans.tables import (
     LINE_FEATURES,
     ORDER_FEATURES,
@@ -307,8 +307,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = A.project_alerts(line_packets(spark, sf_dir), "distance_v1", "distance")
-    now = F.lit(ALERT_TIME).cast("timestamp")
-    return A.render_alerts(found, ALERT_HOST, now).select("syslog")
+    return A.render_alerts(found, ALERT_HOST, alert_time()).select("syslog")
 
 
 def _scores(spark: SparkSession, sf_dir: str, model) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,8 +50,9 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_path(spark)}/catalog/{name}-{uuid.uuid4().hex}"
 
 
-def _now():
-    return F.lit(ALERT_TIME).cast("timestamp")
+def alert_time() -> Column:
+    """A fixed instant in place of the current time."""
+    return F.lit(f"{ALERT_TIME} UTC").cast("timestamp")
 
 
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +110,7 @@ def batch_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = DistanceModel().fit(lines, features=LINE_FEATURES)
     stored, _ = detect(
         spark, model, lines, "distance_v1", _folder(spark, "scored") + ".parquet",
-        alert_path=_folder(spark, "alerts"), now=_now(), file_format="parquet",
+        alert_path=_folder(spark, "alerts"), now=alert_time(), file_format="parquet",
     )
     return stored
 
@@ -118,7 +119,7 @@ def alert_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts delivered both ways, read back from the two places."""
     alerts = project_alerts(line_packets(spark, sf_dir), "distance_v1", "distance")
     lines, logs = _folder(spark, "lines"), _folder(spark, "logs")
-    write_alerts(alerts, lines, logs, "both", host=ALERT_HOST, now=_now())
+    write_alerts(alerts, lines, logs, "both", host=ALERT_HOST, now=alert_time())
     return spark.read.text([lines]).withColumn("sink", F.lit("file")).unionByName(
         spark.read.text([logs]).withColumn("sink", F.lit("syslog"))
     )
@@ -180,7 +181,7 @@ def _live(spark: SparkSession, sf_dir: str, start) -> DataFrame:
         arrived.write.mode("append").parquet(landing)
         query = start(
             frame_stream(spark, landing), model, "gap_v1", out, state,
-            host=ALERT_HOST, available_now=True, now=_now(),
+            host=ALERT_HOST, available_now=True, now=alert_time(),
         )
         query.awaitTermination()
     return spark.read.parquet(out).select("capture_id", "packet_no", "json")

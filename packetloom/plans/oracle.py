@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from packetloom.functions.protocols import IP_PROTOCOLS
-from packetloom.plans.catalog import ALERT_HOST, ALERT_TIME, CORRELATED
+from packetloom.plans.catalog import CORRELATED
+from packetloom.plans.catalog_files import ALERT_HOST, ALERT_TIME
 from packetloom.plans.tables import LINE_FEATURES, ORDER_FEATURES
 
 HASH = "CAST('0x' || substr(md5('42|' || o_orderkey), 1, 8) AS BIGINT)"

@@ -17,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def micros(timestamp: str) -> Column:
-    """A zone-less time as microseconds since the epoch, read as UTC."""
-    return F.unix_micros(F.to_utc_timestamp(F.col(timestamp).cast("timestamp"), F.current_timezone()))
+    """A zone-less time as microseconds since the epoch, read as UTC in any session zone."""
+    at = F.col(timestamp)
+    days = F.unix_date(at.cast("date")).cast("long")
+    minutes = (days * 24 + F.hour(at)) * 60 + F.minute(at)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
 
 
 def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
