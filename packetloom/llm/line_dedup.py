@@ -13,14 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.support import materialize
+from packetloom.llm.support import materialize, whole_row
 
 LINES = 3
 _WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def _lines(text: Column) -> Column:
-    """The lines of a text with the number of each among those that hold a word (others: NULL)."""
     return F.split(text, "\n", -1)
 
 
@@ -64,6 +63,32 @@ def covered(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("marks"))
 
 
+def _reduced(docs: DataFrame) -> DataFrame:
+    """``_row`` (all columns), ``_text`` (what remains), ``_lines`` and ``_removed``."""
+    marks = covered(docs.select("doc_id", "text")).toDF("_id", "_key", "_marks")
+    rows = docs.select(whole_row(docs).alias("_row"), F.col("text").alias("_text"))
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_key"))
+    filled = _filled(F.col("_text"))
+
+    def dropped(lines: Column) -> Column:
+        """Positions in the text of the lines that the marked windows cover."""
+        covers = F.flatten(F.transform("_marks", lambda s: F.array(*[s + i for i in range(LINES)])))
+        return F.transform(F.array_distinct(covers), lambda n: F.get(lines, n)["at"])
+
+    gone = F.transform(F.array(filled), dropped)[0]
+    return (
+        rows.join(marks, same, "left")
+        .select("_row", "_text", F.coalesce(F.size(filled), F.lit(0)).cast("long").alias("_lines"),
+                F.when(F.col("_marks").isNotNull(), gone).alias("_gone"))
+        .select("_row", F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(_without(_lines(F.col("_text")), F.col("_gone"))).alias("_text"),
+                "_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"))
+    )
+
+
+def _restored(columns: list[str], **changed: Column) -> list[Column]:
+    return [changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns]
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with ``text`` reduced to its remaining lines, and ``n_lines`` (lines that
     held a word) and ``n_removed``.
@@ -75,34 +100,25 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     occurrence, too.  Columns named like the results are replaced; an empty table gives an empty table.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    plain = docs.select("doc_id", "text")
-    marks = covered(plain).toDF("_id", "_key", "_marks")
-    row = docs.select(F.struct(*columns).alias("_row"), "doc_id", "text")
-    joined = row.join(
-        marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left"
+    reduced = _reduced(docs)
+    return reduced.select(
+        *_restored(columns, text=F.col("_text")), F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed")
     )
-    filled = _filled(F.col("text"))
 
-    def dropped(rows: Column, starts: Column) -> Column:
-        """Positions in the text of the lines that the marked windows cover."""
-        covers = F.flatten(F.transform(starts, lambda s: F.array(*[s + i for i in range(LINES)])))
-        return F.transform(F.array_distinct(covers), lambda n: F.get(rows, n)["at"])
-
-    gone = F.transform(F.array(filled), lambda rows: dropped(rows, F.col("_marks")))[0]
-    kept = F.transform(F.array(gone), lambda at: _without(_lines(F.col("text")), at))[0]
-    return joined.select(
-        *[
-            F.when(F.col("_marks").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(c)
-            if c == "text" else F.col("_row")[c].alias(c)
-            for c in columns
-        ],
-        F.coalesce(F.size(filled), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("_marks").isNotNull(), F.size(gone)), F.lit(0)).cast("long").alias("n_removed"),
-    )
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with reduced texts (and ``n_chars``, where there is one, brought up to date), without the
+    documents that lost every line that held a word; their columns stay as they are."""
+    reduced = _reduced(docs).where("_removed = 0 or _removed < _lines")
+    changed = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        size = F.when(F.col("_removed") > 0, F.length("_text")).otherwise(F.col("_row.n_chars"))
+        changed["n_chars"] = size.cast(docs.schema["n_chars"].dataType)
+    return reduced.select(*_restored(docs.columns, **changed))
 
 
 def _without(lines: Column, positions: Column) -> Column:
-    """Lines outside ``positions``; both are merged in one sorted pass, so cost does not grow with their product."""
+    """Lines outside ``positions``, as a text; both are merged in one sorted pass, so cost does not grow with their product."""
     marked = F.transform(positions, lambda p: F.struct(p.alias("at"), F.lit(0).alias("kind"), F.lit("").alias("line")))
     rows = F.transform(lines, lambda line, at: F.struct(at.alias("at"), F.lit(1).alias("kind"), line.alias("line")))
     merged = F.sort_array(F.concat(marked, rows))
@@ -111,7 +127,7 @@ def _without(lines: Column, positions: Column) -> Column:
         def alone(row: Column, at: Column) -> Column:
             return (row["kind"] == 1) & ~F.coalesce(F.get(all_rows, at - 1)["kind"] == 0, F.lit(False))
 
-        return F.transform(F.filter(all_rows, alone), lambda row: row["line"])
+        return F.array_join(F.transform(F.filter(all_rows, alone), lambda row: row["line"]), "\n")
 
     return F.transform(F.array(merged), stay)[0]
 

@@ -284,6 +284,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return member.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each component, with all their columns.
+
+    Of rows that repeat a document (same id and text) one stays.  Rows without an id cannot be named by
+    a component and stay.
+    """
+    kept = near_duplicates(docs, width, percent).where("kept and doc_id is not null")
+    named = materialize(kept.groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "_id"), "kept")
+    single, several = named.where("n = 1"), named.where("n > 1")
+    once = docs.join(single, docs["doc_id"] == single["_id"], "left_semi")
+    more = docs.join(several, docs["doc_id"] == several["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.union(more).union(docs.where(F.col("doc_id").isNull()))
+
+
 def _blocks(members: Column) -> Column:
     return F.ceil(members / F.lit(BLOCK // 2)).cast("int")
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.support import materialize
+from packetloom.llm.support import materialize, whole_row
 
 WINDOW = 8
 FEWEST_WORDS = 20
@@ -142,7 +142,7 @@ def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT)
     Texts are counted once: the rows are written with their counts, hosts are judged from the narrow
     columns of that table, and the kept rows are read from it.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", F.col(host).alias("host"))
+    rows = docs.select(whole_row(docs).alias("_row"), "text", F.col(host).alias("host"))
     counts = materialize(rule_counts(rows, "_row", "host"), "rule-rows")
     bad = host_rates(counts, "host").where(F.col("rate") > limit).select("host").distinct()
     return counts.where(~base_failed()).join(bad, "host", "left_anti").select("_row.*")

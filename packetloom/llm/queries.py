@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import line_dedup, near_dedup, quality_rules
+from packetloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
 from packetloom.llm.support import table
 
 
@@ -15,6 +15,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document goes among sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts, base rules and the verdict of the host, per document."""
     return quality_rules.judge(table(spark, sf_dir, "documents"))
@@ -25,8 +30,20 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items, word for word or with other parameters."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_minhash_near_dedup, op7_quality_rules, op9_line_dedup)
+    f.__name__: f
+    for f in (
+        op3_minhash_near_dedup,
+        op6_best_fit_packing,
+        op7_quality_rules,
+        op9_line_dedup,
+        op10_benchmark_decontamination,
+    )
 }
 
 ORACLE_SQL = {

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from packetloom.session import materialize
 
-__all__ = ["BLOCK_BYTES", "fold_of", "labelled", "materialize", "table", "text_blocks", "texts_of"]
+__all__ = ["BLOCK_BYTES", "fold_of", "labelled", "materialize", "table", "text_blocks", "texts_of", "whole_row"]
 
 # Bytes of text that one NumPy step handles; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -26,6 +26,11 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a table as one struct, out of the way of columns that an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """The fold of a document: crc32 of its id as text, modulo ``folds`` (a NULL id counts as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
