@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
+from packetloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules
 from packetloom.llm.support import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a network that learned from labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose two-word shingle sets are at least 80 % similar."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
@@ -25,6 +31,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability that a document is of good quality."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score_quality(docs, quality_classifier.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without later occurrences of three-line windows."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -38,9 +50,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_language_id,
         op3_minhash_near_dedup,
         op6_best_fit_packing,
         op7_quality_rules,
+        op8_quality_classifier,
         op9_line_dedup,
         op10_benchmark_decontamination,
     )

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from packetloom.session import materialize
 
-__all__ = ["BLOCK_BYTES", "fold_of", "labelled", "materialize", "table", "text_blocks", "texts_of", "whole_row"]
+__all__ = ["BLOCK_BYTES", "fold_of", "labelled_sample", "materialize", "table", "text_blocks", "texts_of", "whole_row"]
 
 # Bytes of text that one NumPy step handles; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -36,23 +36,31 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> list[tuple[str, int]]:
-    """At most ``most`` labelled texts outside the held-out fold, a sample by a hash of the id.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_label: int, chars: int
+) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
+    """A sample of labelled texts outside the held-out fold, and how many there are of each label.
 
-    The bound is the only thing that limits what a model learns from: one label per document
-    (contradicting rows keep the larger), documents without text or label left out.
+    At most ``per_label`` documents of each label, drawn by a hash, and of each a passage of at most
+    ``chars`` characters from a place that another hash names.  A document with contradicting labels has
+    the larger one; rows without text or label are left out.
     """
-    marks = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.max(F.col(label).cast("int")).alias("_label")
+    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.max(F.col(label).cast("int")).alias("label")
     )
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .where(F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
-        .join(marks, "doc_id")
-        .orderBy(F.xxhash64("doc_id", "text"), "doc_id", "_label")
-        .limit(most)
-    )
-    return [(r.text, r._label) for r in rows.select("text", "_label").collect()]
+    start = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - chars + 1))
+    usable = F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out)
+    rows = materialize(
+        docs.where(usable)
+        .select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(label), "doc_id", "text").alias("rank"),
+                F.substr("text", start, F.lit(chars)).alias("text"))
+        .join(marks, "doc_id"),
+        "labelled",
+    )
+    totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    order = W.partitionBy("label").orderBy("rank", "doc_id", "text")
+    drawn = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("text", "label", "rank")
+    return [(r.text.encode(), r.label) for r in sorted(drawn.collect(), key=lambda r: (r.rank, r.text))], totals
 
 
 def text_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -67,7 +75,3 @@ def text_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int
         held += len(text)
     if texts:
         yield first, texts
-
-
-def schema_of(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
