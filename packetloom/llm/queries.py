@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules
+from packetloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, toxicity
 from packetloom.llm.support import table
 
 
@@ -21,6 +21,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic spans and the score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.tag(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))).drop("spans")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document goes among sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_language_id,
         op3_minhash_near_dedup,
+        op4_toxicity_crf,
         op6_best_fit_packing,
         op7_quality_rules,
         op8_quality_classifier,

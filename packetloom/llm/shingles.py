@@ -10,8 +10,8 @@ import numpy as np
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _VALUE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -52,11 +52,20 @@ def word_spans(data: np.ndarray, starts_of_texts: np.ndarray) -> tuple[np.ndarra
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of every span, from running sums over the joined bytes."""
+def running_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of weighted byte values, from which the hash of any span follows."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUE[data] * _power(_BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[begins]) * _power(_INVERSE, len(data) + 1)[begins] + (ends - begins).astype(np.uint64))
+    return sums
+
+
+def hashes_from(sums: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((sums[ends] - sums[begins]) * _power(_INVERSE, len(sums))[begins] + (ends - begins).astype(np.uint64))
+
+
+def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of every span."""
+    return hashes_from(running_sums(data), begins, ends)
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +78,7 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Word hashes of all texts in order, the first word of each text (one more at the end), and the word spans."""
     data, offsets = joined(texts)
     begins, ends = word_spans(data, offsets[:-1]) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return span_hashes(_LOWER[data], begins, ends), np.searchsorted(begins, offsets), begins, ends
+    return span_hashes(LOWER[data], begins, ends), np.searchsorted(begins, offsets), begins, ends
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
