@@ -28,9 +28,9 @@ from packetloom.llm.components import components
 from packetloom.llm.shingles import hashed_words, mix, shingle_set, shingle_sets
 from packetloom.llm.support import materialize, text_blocks, texts_of
 
-BANDS = 40
-ROWS = 5
-SKETCH_BITS = 512
+BANDS = 64
+ROWS = 7
+SKETCH_BITS = 1024
 # Members of one bucket that meet in a task; larger buckets are cut into pairs of blocks.
 BLOCK = 1024
 # Standard deviations that a true link may lie off its estimate before it is missed.
@@ -44,7 +44,7 @@ _SHIFT = _draw.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
 def minhash(shingles: np.ndarray) -> np.ndarray:
     """The samples of one set: for each of the seeded orders, the smallest element's rank."""
     low = np.full(len(_FACTOR), 0xFFFFFFFF, np.uint32)
-    for part in np.array_split(shingles, range(256, len(shingles), 256)):
+    for part in np.array_split(shingles, range(128, len(shingles), 128)):
         folded = (part >> np.uint64(32)).astype(np.uint32)
         np.minimum(low, (folded[:, None] * _FACTOR + _SHIFT).min(axis=0), out=low)
     return low
@@ -161,17 +161,50 @@ def _candidates(sketches: np.ndarray, sizes: np.ndarray, groups: np.ndarray, per
                 yield order[at], order[span][near]
 
 
+def _partners(rows: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which rows have a row of another component in their block that size and sketch allow.
+
+    Rows are sorted by block and set size; each is compared with the one ``lag`` rows on, for all blocks at
+    once, until no block is that long.
+    """
+    sketches = np.stack(rows.sketch.to_list()).view(np.uint64)
+    block, sizes, groups = rows.block.to_numpy(), rows.n_shingles.to_numpy(), rows.component.to_numpy()
+    limit = most_differing_bits(percent)
+    chosen = np.zeros(len(rows), bool)
+    at = np.arange(len(rows) - 1)
+    for lag in range(1, len(rows)):
+        at = at[at < len(rows) - lag]
+        at = at[(block[at] == block[at + lag]) & (sizes[at] * 100 >= sizes[at + lag] * percent)]
+        if not len(at):
+            break
+        pairs = at[groups[at] != groups[at + lag]]
+        for part in np.array_split(pairs, range(1 << 16, len(pairs), 1 << 16)):
+            near = np.bitwise_count(sketches[part] ^ sketches[part + lag]).sum(axis=1, dtype=np.int64) <= limit
+            chosen[part[near]] = True
+            chosen[part[near] + lag] = True
+    return chosen
+
+
 def _with_partner(percent: int):
-    """Members of a block that may link to a member of another component in it."""
+    """Members that may link to a member of another component, from rows sorted by block; a block that a
+    batch cuts waits for its rest."""
+    columns = ["key", "left", "right", "node", "n_shingles", "component", "sketch"]
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates("node")
-        sketches = np.stack(block.sketch.to_list()).view(np.uint64)
-        chosen = np.zeros(len(block), bool)
-        for at, others in _candidates(sketches, block.n_shingles.to_numpy(), block.component.to_numpy(), percent):
-            chosen[at] = True
-            chosen[others] = True
-        return block.loc[chosen, ["key", "left", "right", "node", "n_shingles", "component", "sketch"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows.empty:
+                continue
+            named = rows[["key", "left", "right"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (named[1:] != named[:-1]).any(axis=1)])
+            rows["block"] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(rows)]))
+            whole = rows.iloc[: starts[-1]]
+            held = rows.iloc[starts[-1] :].drop(columns="block")
+            if len(whole):
+                yield whole.loc[_partners(whole, percent), columns]
+        if held is not None and len(held):
+            yield held.loc[_partners(held.assign(block=0), percent), columns]
 
     return run
 
@@ -180,7 +213,7 @@ def _block_links(percent: int):
     """A spanning set of confirmed links between the members of a block."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.reset_index(drop=True)
+        block = block.drop_duplicates("node").reset_index(drop=True)
         sketches = np.stack(block.sketch.to_list()).view(np.uint64)
         sets, nodes = list(block.shingles), block.node.to_numpy()
         heads = {c: c for c in block.component}
@@ -267,7 +300,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .join(sketches, "node")
     )
     kept = materialize(
-        blocks.groupBy("key", "left", "right").applyInPandas(
+        blocks.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "n_shingles").mapInPandas(
             _with_partner(percent), "key long, left int, right int, node long, n_shingles long, component long, sketch array<long>"
         ),
         "partners",
