@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, toxicity
+from packetloom.llm import decontaminate, html_extract, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, toxicity
 from packetloom.llm.support import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.learn(pages))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by a network that learned from labelled ones."""
     docs = table(spark, sf_dir, "documents")
@@ -56,6 +62,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
         op2_language_id,
         op3_minhash_near_dedup,
         op4_toxicity_crf,
