@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, html_extract, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, toxicity
+from packetloom.llm import decontaminate, html_extract, language_id, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, toxicity
 from packetloom.llm.support import table
 
 
@@ -33,6 +33,11 @@ def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.tag(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))).drop("spans")
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data and secrets."""
+    return pii.replace(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document goes among sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language_id,
         op3_minhash_near_dedup,
         op4_toxicity_crf,
+        op5_pii_surrogates,
         op6_best_fit_packing,
         op7_quality_rules,
         op8_quality_classifier,
