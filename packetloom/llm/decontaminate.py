@@ -99,6 +99,8 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(begins) > 1:
         gap = (begins[1:] - ends[:-1] == 1) & np.isin(data[np.minimum(ends[:-1], len(data) - 1)], (44, 46))
         inner[1:] = gap & digits[1:] & digits[:-1] & (np.searchsorted(starts, begins[1:], "right") == np.searchsorted(starts, begins[:-1], "right"))
+    if not len(begins):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(len(starts), np.int64)
     first = np.flatnonzero(~inner)
     last = np.r_[first[1:], len(begins)] - 1
     begins, ends, digits = begins[first], ends[last], digits[first]

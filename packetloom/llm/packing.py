@@ -65,7 +65,7 @@ _SCHEMA = pa.schema(
 def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece, with its number ``nth`` among the pieces
     of its length that the task ``task`` made; ``ids`` too on demand."""
-    schema = _SCHEMA.append(pa.field("ids", pa.list_(pa.uint32()))) if with_ids else _SCHEMA
+    schema = _SCHEMA.append(pa.field("ids", pa.list_(pa.int64()))) if with_ids else _SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(tokenizer), TaskContext.get().partitionId()
