@@ -29,20 +29,22 @@ ETHERTYPES_VLAN = (0x8100, 0x88A8)
 ICMP, TCP, UDP = 1, 6, 17
 IPV6_OPTION_HEADERS, IPV6_FRAGMENT, IPV6_AUTH = (0, 43, 60), 44, 51
 
-# Link, network and transport headers end well within these bytes.
+IN_IPV4, IN_IPV6, GRE = 4, 41, 47
+
+# Most frames need no more than these bytes; those that do are read again as a whole.
 HEAD_OCTETS = 256
 
 _OF_FRAME = ("timestamp", "length", "inter_arrival_time")
 HEADER_SCHEMA = T.StructType(
     [f for f in FEATURE_SCHEMA if f.name not in _OF_FRAME]
-    + [T.StructField("l3_offset", T.IntegerType()), T.StructField("ip_version", T.IntegerType())]
+    + [T.StructField(n, T.IntegerType()) for n in ("l3_offset", "ip_version", "ran_out")]
 )
 
 
 class _Heads:
-    """Byte columns of a batch of frame heads."""
+    """Byte columns of a batch of frame heads, and which rows asked for bytes that only the whole frame has."""
 
-    def __init__(self, heads: pa.Array):
+    def __init__(self, heads: pa.Array, whole: np.ndarray):
         heads = heads.cast(pa.large_binary())
         if heads.null_count:
             heads = heads.fill_null(b"")
@@ -52,11 +54,14 @@ class _Heads:
         self.starts, self.sizes = bounds[:-1], np.diff(bounds)
         self.octets = np.append(octets, np.uint8(0))
         self.none = np.zeros(len(heads), dtype=bool)
+        self.whole, self.ran_out = whole, self.none.copy()
 
     def read(self, at: np.ndarray, width: int) -> np.ma.MaskedArray:
         """Big-endian integers at per-row offsets; masked where the head is cut short."""
         at = np.ma.asarray(at)
-        short = np.ma.getmaskarray(at) | (at.filled(0) + width > self.sizes)
+        asked = ~np.ma.getmaskarray(at)
+        short = ~asked | (at.filled(0) + width > self.sizes)
+        self.ran_out |= asked & short & (at.filled(0) + width <= self.whole)
         begin = np.where(short, 0, self.starts + at.filled(0))
         value = np.zeros(len(begin), dtype=np.int64)
         for i in range(width):
@@ -73,6 +78,18 @@ def _holds(condition: np.ma.MaskedArray) -> np.ndarray:
     return np.ma.filled(condition, False)
 
 
+def _either(condition: np.ndarray, first: np.ma.MaskedArray, second: np.ma.MaskedArray) -> np.ma.MaskedArray:
+    """The first value where the condition holds, the second elsewhere."""
+    mask = np.where(condition, np.ma.getmaskarray(first), np.ma.getmaskarray(second))
+    return np.ma.array(np.where(condition, np.ma.getdata(first), np.ma.getdata(second)), mask=mask)
+
+
+def _stepped(heads: _Heads, where: np.ndarray, base: np.ma.MaskedArray, ether: np.ma.MaskedArray, octets: int):
+    """Base and EtherType behind a tag of ``octets`` that ends in the type of what follows."""
+    base = np.ma.array(np.where(where, base.data + octets, base.data), mask=np.ma.getmaskarray(base))
+    return base, _either(where, heads.read(_where(where, base) - 2, 2), ether)
+
+
 def _network_layer(heads: _Heads, link: np.ndarray):
     """Offset of the network header, its version (4, 6 or 0) and the EtherType."""
     base = np.ma.masked_all(len(link), dtype=np.int64)
@@ -83,13 +100,11 @@ def _network_layer(heads: _Heads, link: np.ndarray):
     base[np.isin(link, (LINK_NULL, LINK_LOOP))] = 4
     base[np.isin(link, LINK_RAW)] = 0
     ether = heads.read(type_at, 2)
+    # A length instead of a type: 802.2 with SNAP holds the type behind its own five bytes.
+    snap = (link == LINK_ETHERNET) & _holds(ether < 0x0600) & _holds(heads.read(base, 4) == 0xAAAA0300)
+    base, ether = _stepped(heads, snap, base, ether, 8)
     while (tagged := _holds(np.isin(ether.filled(0), ETHERTYPES_VLAN))).any():
-        base = np.ma.array(np.where(tagged, base.data + 4, base.data), mask=base.mask)
-        inner = heads.read(base - 2, 2)
-        ether = np.ma.array(
-            np.where(tagged, inner.data, ether.data),
-            mask=np.where(tagged, np.ma.getmaskarray(inner), np.ma.getmaskarray(ether)),
-        )
+        base, ether = _stepped(heads, tagged, base, ether, 4)
     version = np.where(_holds(ether == ETHERTYPE_IPV4), 4, 0)
     version = np.where(_holds(ether == ETHERTYPE_IPV6), 6, version)
     untyped = np.ma.getmaskarray(type_at) & ~np.ma.getmaskarray(base)
@@ -119,13 +134,57 @@ def _skip_ipv6_extensions(heads: _Heads, kind: np.ma.MaskedArray, at: np.ma.Mask
     return kind, at, fragment
 
 
+class _Network:
+    """A network header of each row: where it begins, its version, and what it carries where."""
+
+    def __init__(self, heads: _Heads, l3: np.ma.MaskedArray, version: np.ndarray):
+        self.heads, self.l3, self.version = heads, l3, version
+        self.v4, self.v6 = version == 4, version == 6
+        self.at4, self.at6 = _where(self.v4, l3), _where(self.v6, l3)
+        kind6, start6, fragment6 = _skip_ipv6_extensions(heads, heads.read(self.at6 + 6, 1), self.at6 + 40)
+        self.word = heads.read(self.at4 + 6, 2)
+        self.protocol = heads.read(self.at4 + 9, 1)
+        self.l4 = _either(self.v6, start6, self.at4 + (heads.read(self.at4, 1) & 0x0F) * 4)
+        self.kind = np.where(self.v6, kind6.filled(-1), self.protocol.filled(-1))
+        later = (self.word & 0x1FFF != 0).astype(np.int64).filled(0)
+        self.whole = (self.v4 | self.v6) & ~fragment6 & (later == 0)
+
+    def end(self, sizes: np.ndarray) -> np.ndarray:
+        """The packet ends where its own length says; 0 stands for segments joined by the network card."""
+        stated = np.where(self.v6, self.heads.read(self.at6 + 4, 2).filled(0), self.heads.read(self.at4 + 2, 2).filled(0))
+        begin = self.l3.filled(0) + np.where(self.v6, 40, 0)
+        return np.where(stated > 0, np.minimum(begin + stated, sizes), sizes)
+
+    def inner(self) -> tuple[np.ndarray, np.ma.MaskedArray, np.ndarray]:
+        """Rows that carry another network header (IP in IP, 6in4, GRE), where it begins, and its version."""
+        gre = self.whole & (self.kind == GRE)
+        at = _where(gre, self.l4)
+        bits, carried = self.heads.read(at, 2), self.heads.read(at + 2, 2)
+        # Checksum (with an offset), key and sequence number are four bytes each, where their bits are set.
+        width = 4 + sum(np.where(_holds(bits & bit != 0), 4, 0) for bit in (0x8000, 0x2000, 0x1000))
+        version = np.where(gre & _holds(carried == ETHERTYPE_IPV4), 4, np.where(gre & _holds(carried == ETHERTYPE_IPV6), 6, 0))
+        version = np.where(self.whole & (self.kind == IN_IPV4), 4, np.where(self.whole & (self.kind == IN_IPV6), 6, version))
+        begin = np.ma.array(self.l4.data + np.where(gre, width, 0), mask=np.ma.getmaskarray(self.l4))
+        there = (version > 0) & (self.heads.read(_where(version > 0, begin), 1) >> 4 == version)
+        return _holds(there), begin, version
+
+
 def _read_headers(heads: _Heads, sizes: np.ndarray, link: np.ndarray) -> dict[str, np.ma.MaskedArray]:
     l3, version, ether = _network_layer(heads, link)
-    v4, v6 = version == 4, version == 6
-    at4, at6 = _where(v4, l3), _where(v6, l3)
-    word = heads.read(at4 + 6, 2)
+    layer = _Network(heads, l3, version)
+    end = layer.end(sizes)
+    # IPv4 fields are those of the outermost IPv4 header, transport fields those of the innermost packet.
+    at4, word, protocol = layer.at4, layer.word, layer.protocol
+    step = layer.inner()
+    while step[0].any():
+        nested, begin, kind_of = step
+        layer = _Network(heads, _either(nested, begin, layer.l3), np.where(nested, kind_of, layer.version))
+        end = np.where(nested, np.minimum(end, layer.end(sizes)), end)
+        found4 = np.ma.getmaskarray(at4) & ~np.ma.getmaskarray(layer.at4)
+        at4, word, protocol = (_either(found4, new, old) for new, old in ((layer.at4, at4), (layer.word, word), (layer.protocol, protocol)))
+        step = layer.inner()
     found = {
-        "ip_proto_number": heads.read(at4 + 9, 1),
+        "ip_proto_number": protocol,
         "ip_ttl": heads.read(at4 + 8, 1),
         "ip_id": heads.read(at4 + 4, 2),
         "ip_flags_df": (word & 0x4000 != 0).astype(np.int64).filled(0),
@@ -134,14 +193,7 @@ def _read_headers(heads: _Heads, sizes: np.ndarray, link: np.ndarray) -> dict[st
         "l3_offset": l3,
         "ip_version": np.where(version == 0, 0, version),
     }
-    kind6, start6, fragment6 = _skip_ipv6_extensions(heads, heads.read(at6 + 6, 1), at6 + 40)
-    start4 = at4 + (heads.read(at4, 1) & 0x0F) * 4
-    l4 = np.ma.array(
-        np.where(v6, start6.data, start4.data),
-        mask=np.where(v6, np.ma.getmaskarray(start6), np.ma.getmaskarray(start4)),
-    )
-    kind = np.where(v6, kind6.filled(-1), found["ip_proto_number"].filled(-1))
-    whole = (v4 | v6) & ~fragment6 & (found["wrong_fragment"] == 0)
+    v4, v6, l4, kind, whole = layer.v4, layer.v6, layer.l4, layer.kind, layer.whole
     # IPv6 carries its own ICMP under another number, so ICMP means IPv4 here.
     tcp, udp, icmp = whole & (kind == TCP), whole & (kind == UDP), whole & v4 & (kind == ICMP)
     at_tcp, at_udp, at_icmp = _where(tcp, l4), _where(udp, l4), _where(icmp, l4)
@@ -164,10 +216,6 @@ def _read_headers(heads: _Heads, sizes: np.ndarray, link: np.ndarray) -> dict[st
     }
     for name, mask in (("fin", 1), ("syn", 2), ("rst", 4), ("psh", 8), ("ack", 16), ("urg", 32)):
         found[f"tcp_flag_{name}"] = (found["tcp_flag_int"] & mask != 0).astype(np.int64)
-    # The packet ends where its own length says; 0 stands for segments joined by the network card.
-    stated = np.where(v6, heads.read(at6 + 4, 2).filled(0), heads.read(at4 + 2, 2).filled(0))
-    begin = l3.filled(0) + np.where(v6, 40, 0)
-    end = np.where(stated > 0, np.minimum(begin + stated, sizes), sizes)
     after = np.where(v4 | v6, end - l4.filled(0), sizes - l3.filled(0))
     after = np.where(tcp, after - found["tcp_dataofs"].filled(0) * 4, after)
     after = np.where(udp, np.minimum(found["udp_len"].filled(0), sizes - l4.filled(0)) - 8, after)
@@ -181,14 +229,15 @@ def _read_headers(heads: _Heads, sizes: np.ndarray, link: np.ndarray) -> dict[st
     )
     found["payload_size"] = np.where(unknown, 0, np.maximum(after, 0))
     found["is_empty_payload"] = (found["payload_size"] == 0).astype(np.int64)
+    found["ran_out"] = heads.ran_out.astype(np.int64)
     return found
 
 
 @F.arrow_udf(HEADER_SCHEMA)
 def _headers(heads: pa.Array, sizes: pa.Array, link: pa.Array) -> pa.Array:
-    size = sizes.fill_null(0).to_numpy(zero_copy_only=False)
+    size = sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     kind = link.fill_null(-1).to_numpy(zero_copy_only=False)
-    found = _read_headers(_Heads(heads), size.astype(np.int64), kind)
+    found = _read_headers(_Heads(heads, size), size, kind)
     columns = []
     for f in HEADER_SCHEMA:
         column = np.ma.asarray(found[f.name])
@@ -198,8 +247,15 @@ def _headers(heads: pa.Array, sizes: pa.Array, link: pa.Array) -> pa.Array:
 
 
 def header_fields(frame: str = "frame", linktype: str = "linktype") -> Column:
-    """The header struct of a frame; only the head of the frame travels to the function."""
-    return _headers(F.substring(frame, 1, HEAD_OCTETS), F.length(frame), F.col(linktype))
+    """The header struct of a frame.
+
+    Only the head of the frame travels to the function, unless reading it ran out of bytes that the
+    frame has: those few frames (long extension chains, deep tags) travel again as a whole.
+    """
+    size, link = F.length(frame), F.col(linktype)
+    head = _headers(F.substring(frame, 1, HEAD_OCTETS), size, link)
+    cut = F.coalesce(head["ran_out"] == 1, F.lit(False))
+    return F.when(cut, _headers(F.when(cut, F.col(frame)), size, link)).otherwise(head)
 
 
 def decode_frames(frames: DataFrame, gap: Column | None = None, frame: str = "frame") -> DataFrame:

@@ -15,37 +15,40 @@ FRAME_SCHEMA = T.StructType(
 )
 
 # The names and types of the packet feature columns.
-_INT_FEATURES_BY_GROUP = {
-    "ip": "ip_proto_number ip_ttl ip_id ip_flags_df ip_flags_mf wrong_fragment",
-    "tcp_ports": "tcp_sport tcp_dport",
-    "tcp_flags": "tcp_flag_int tcp_flag_syn tcp_flag_ack tcp_flag_fin tcp_flag_rst tcp_flag_psh tcp_flag_urg",
-    "tcp_rest": "urgent_pointer tcp_window tcp_dataofs",
-    "udp": "udp_sport udp_dport udp_len",
-    "icmp": "icmp_type icmp_code",
-    "payload": "payload_size is_empty_payload",
-}
-
-
-def _ints(group: str) -> list[T.StructField]:
-    return [T.StructField(name, T.IntegerType()) for name in _INT_FEATURES_BY_GROUP[group].split()]
-
-
-FEATURE_SCHEMA = T.StructType(
-    [
-        T.StructField("timestamp", T.DoubleType()),
-        T.StructField("length", T.IntegerType()),
-        T.StructField("inter_arrival_time", T.DoubleType()),
-        *_ints("ip"),
-        *_ints("tcp_ports"),
-        T.StructField("tcp_seq", T.LongType()),
-        T.StructField("tcp_ack", T.LongType()),
-        *_ints("tcp_flags"),
-        *_ints("tcp_rest"),
-        *_ints("udp"),
-        *_ints("icmp"),
-        *_ints("payload"),
-    ]
-)
+FEATURES = [
+    ("timestamp", T.DoubleType()),
+    ("length", T.IntegerType()),
+    ("inter_arrival_time", T.DoubleType()),
+    ("ip_proto_number", T.IntegerType()),
+    ("ip_ttl", T.IntegerType()),
+    ("ip_id", T.IntegerType()),
+    ("ip_flags_df", T.IntegerType()),
+    ("ip_flags_mf", T.IntegerType()),
+    ("wrong_fragment", T.IntegerType()),
+    ("tcp_sport", T.IntegerType()),
+    ("tcp_dport", T.IntegerType()),
+    ("tcp_seq", T.LongType()),
+    ("tcp_ack", T.LongType()),
+    ("tcp_flag_int", T.IntegerType()),
+    ("tcp_flag_syn", T.IntegerType()),
+    ("tcp_flag_ack", T.IntegerType()),
+    ("tcp_flag_fin", T.IntegerType()),
+    ("tcp_flag_rst", T.IntegerType()),
+    ("tcp_flag_psh", T.IntegerType()),
+    ("tcp_flag_urg", T.IntegerType()),
+    ("urgent_pointer", T.IntegerType()),
+    ("tcp_window", T.IntegerType()),
+    ("tcp_dataofs", T.IntegerType()),
+    ("udp_sport", T.IntegerType()),
+    ("udp_dport", T.IntegerType()),
+    ("udp_len", T.IntegerType()),
+    ("icmp_type", T.IntegerType()),
+    ("icmp_code", T.IntegerType()),
+    ("payload_size", T.IntegerType()),
+    ("is_empty_payload", T.IntegerType()),
+]
+
+FEATURE_SCHEMA = T.StructType([T.StructField(name, kind) for name, kind in FEATURES])
 
 FEATURE_COLUMNS = FEATURE_SCHEMA.names
 LABEL = "label"

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from packets import ethernet, ip4, ip6, tcp, udp
+from packets import MACS, ethernet, ip4, ip6, tcp, udp
 
 from packetloom.functions.headers import decode_frames, summarize_packets, summary_line
 from packetloom.plans.extract import extract_features
@@ -126,3 +126,24 @@ def test_summary(frames):
     assert line == "Packet: 172.16.10.99 → 192.168.0.7 | Protocol: udp | Length: 60"
     named = summarize_packets(frames.filter("capture_id = 'unknown'"), {253: "lab"}).first()
     assert named.protocol == "lab"
+
+
+LONG_OPTIONS = bytes([6, 25]) + b"\0" * 206
+DEEP = {
+    "ipv6_208_octets": (1, ethernet(0x86DD, ip6(0, LONG_OPTIONS + tcp(1234, 80, flags=24, payload=b"0123456789")))),
+    "vlan_stack": (1, ethernet(0x0800, ip4(6, tcp(1234, 80, flags=24, payload=b"0123456789")), tags=80)),
+    "ip_in_ip": (1, ethernet(0x0800, ip4(4, ip4(6, tcp(1234, 80, flags=24, payload=b"0123456789"), ttl=9)))),
+    "6in4": (1, ethernet(0x0800, ip4(41, ip6(6, tcp(1234, 80, flags=24, payload=b"0123456789"))))),
+    "4in6": (1, ethernet(0x86DD, ip6(4, ip4(6, tcp(1234, 80, flags=24, payload=b"0123456789"))))),
+    "gre": (1, ethernet(0x0800, ip4(47, b"\x20\x00\x08\x00" + b"\0\0\0\7" + ip4(6, tcp(1234, 80, flags=24, payload=b"0123456789"))))),
+    "snap": (1, MACS + b"\x00\x60\xaa\xaa\x03\x00\x00\x00\x08\x00" + ip4(6, tcp(1234, 80, flags=24, payload=b"0123456789"))),
+}
+
+
+def test_long_and_nested_headers_are_read(spark):
+    rows = [(name, i, 0, link, bytearray(data)) for i, (name, (link, data)) in enumerate(DEEP.items())]
+    found = {r.capture_id: r for r in decode_frames(spark.createDataFrame(rows, FRAME_SCHEMA)).collect()}
+    for name, row in found.items():
+        assert (row.tcp_sport, row.tcp_dport, row.tcp_flag_int, row.payload_size, row.is_empty_payload) == (1234, 80, 24, 10, 0), name
+    assert (found["ip_in_ip"].ip_proto_number, found["ip_in_ip"].ip_ttl) == (4, 64)
+    assert (found["6in4"].ip_proto_number, found["4in6"].ip_proto_number) == (41, 6)
