@@ -25,20 +25,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.components import components
-from packetloom.llm.shingles import hashed_words, mix, shingle_set, shingle_sets
+from packetloom.llm.shingles import mix, shingle_sets
 from packetloom.llm.support import materialize, text_blocks, texts_of
 
 BANDS = 64
 ROWS = 7
-SKETCH_BITS = 1024
+SAMPLES = 960
+SKETCH_BITS = 2048
 # Members of one bucket that meet in a task; larger buckets are cut into pairs of blocks.
 BLOCK = 1024
+# Candidate pairs per member beyond which a block confirms them itself.
+DENSE = 3
 # Standard deviations that a true link may lie off its estimate before it is missed.
-SPREAD = 6.0
+SPREAD = 5.5
+# Bits of the map of wanted documents that spares their texts a shuffle; more documents only make it coarser.
+MAP_BITS = 1 << 22
 
 _draw = np.random.default_rng(3)
-_FACTOR = _draw.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1)
-_SHIFT = _draw.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
+_FACTOR = _draw.integers(0, 1 << 32, SAMPLES, np.uint64).astype(np.uint32) | np.uint32(1)
+_SHIFT = _draw.integers(0, 1 << 32, SAMPLES, np.uint64).astype(np.uint32)
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
@@ -46,12 +51,13 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     low = np.full(len(_FACTOR), 0xFFFFFFFF, np.uint32)
     for part in np.array_split(shingles, range(128, len(shingles), 128)):
         folded = (part >> np.uint64(32)).astype(np.uint32)
-        np.minimum(low, (folded[:, None] * _FACTOR + _SHIFT).min(axis=0), out=low)
+        np.minimum(low, (folded[:, None] * _FACTOR + _SHIFT).min(axis=0, initial=0xFFFFFFFF), out=low)
     return low
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    """One key per band, the band's number folded in; for a matrix, a row each."""
+    """One key per band of the first samples, the band's number folded in; for a matrix, a row each."""
+    samples = samples[..., : BANDS * ROWS]
     rows = samples.reshape(*samples.shape[:-1], BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:-1]).copy()
     for at in range(ROWS):
@@ -71,17 +77,21 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 def estimated_similarity(differing_bits: np.ndarray) -> np.ndarray:
     """Similarity that the XOR population count of two sketches estimates."""
     share = np.minimum(2.0 * differing_bits / SKETCH_BITS, 1 - 1e-9)
-    return 1 + SKETCH_BITS / (4 * BANDS * ROWS) * np.log1p(-share)
+    return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log1p(-share)
 
 
 def most_differing_bits(percent: int) -> int:
-    """Population count beyond which two sets are not ``percent`` similar, up to SPREAD deviations of
-    the sampled difference and of the bitmap."""
+    """Population count beyond which two sets are not ``percent`` similar, SPREAD standard deviations off.
+
+    The samples that differ are binomial and flip two bits each; the bitmap adds the noise of bits that
+    meet.  Both variances add up.
+    """
     miss = 1 - percent / 100
-    samples = BANDS * ROWS
-    off = 2 * (samples * miss + SPREAD * math.sqrt(samples * miss * (1 - miss)))
-    share = (1 - math.exp(-2 * off / SKETCH_BITS)) / 2
-    return int(SKETCH_BITS * share + SPREAD / 2 * math.sqrt(SKETCH_BITS * share * (1 - share)))
+    flips = 2 * SAMPLES * miss
+    stay = math.exp(-2 * flips / SKETCH_BITS)
+    share = (1 - stay) / 2
+    sampled = 2 * stay * math.sqrt(SAMPLES * miss * (1 - miss))
+    return int(SKETCH_BITS * share + SPREAD * math.hypot(sampled, math.sqrt(SKETCH_BITS * share * (1 - share))))
 
 
 def _signatures(width: int):
@@ -120,20 +130,33 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return texts_of(docs).mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``node, shingles`` of the documents named in ``ids`` (``node``), written once.
+
+    The texts are not shuffled for it: a bitmap of fixed size says which documents may be wanted, and the
+    sets of those meet the ids.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    words = ids.select(place("node").alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word"))
+    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")).alias("bits")).collect()
+    bits = np.zeros(MAP_BITS // 64, np.int64)
+    bits[[r.word for r in rows]] = [r.bits for r in rows]
+    held = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.column("at").to_numpy().astype(np.uint64)
+            wanted = np.flatnonzero((held.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            batch = batch.take(pa.array(wanted))
             for first, texts in text_blocks(batch.column("text")):
-                words, firsts, _, _ = hashed_words(texts)
-                sets = [shingle_set(words[firsts[i] : firsts[i + 1]], width).view(np.int64) for i in range(len(texts))]
+                sets = [s.view(np.int64) for s in shingle_sets(texts, width)]
                 offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                values = pa.array(np.concatenate(sets))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), values)],
-                    names=["node", "shingles"],
-                )
+                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(texts)), values], names=["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    rows = texts_of(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "text", place("doc_id").alias("at"))
+    found = rows.mapInArrow(run, "node long, shingles array<long>")
+    return materialize(found.join(ids, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,16 +184,20 @@ def _candidates(sketches: np.ndarray, sizes: np.ndarray, groups: np.ndarray, per
                 yield order[at], order[span][near]
 
 
-def _partners(rows: pd.DataFrame, percent: int) -> np.ndarray:
-    """Which rows have a row of another component in their block that size and sketch allow.
+_FOUND = ["key", "left", "right", "node", "other", "n_shingles", "component", "sketch"]
+
+
+def _partners(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of rows of different components in one block that size and sketch allow.
 
     Rows are sorted by block and set size; each is compared with the one ``lag`` rows on, for all blocks at
-    once, until no block is that long.
+    once, until no block is that long.  A block with few such pairs returns them (``node, other``); one with
+    many returns its rows that have a partner, so results never outgrow the rows by more than DENSE.
     """
     sketches = np.stack(rows.sketch.to_list()).view(np.uint64)
     block, sizes, groups = rows.block.to_numpy(), rows.n_shingles.to_numpy(), rows.component.to_numpy()
     limit = most_differing_bits(percent)
-    chosen = np.zeros(len(rows), bool)
+    found = [np.zeros((0, 2), np.int64)]
     at = np.arange(len(rows) - 1)
     for lag in range(1, len(rows)):
         at = at[at < len(rows) - lag]
@@ -178,17 +205,22 @@ def _partners(rows: pd.DataFrame, percent: int) -> np.ndarray:
         if not len(at):
             break
         pairs = at[groups[at] != groups[at + lag]]
-        for part in np.array_split(pairs, range(1 << 16, len(pairs), 1 << 16)):
-            near = np.bitwise_count(sketches[part] ^ sketches[part + lag]).sum(axis=1, dtype=np.int64) <= limit
-            chosen[part[near]] = True
-            chosen[part[near] + lag] = True
-    return chosen
+        for part in np.array_split(pairs, range(1 << 15, len(pairs), 1 << 15)):
+            near = part[np.bitwise_count(sketches[part] ^ sketches[part + lag]).sum(axis=1, dtype=np.int64) <= limit]
+            found.append(np.stack([near, near + lag], axis=1))
+    pairs = np.concatenate(found)
+    members = np.unique(pairs)
+    blocks = block.max() + 1
+    dense = np.bincount(block[pairs[:, 0]], minlength=blocks) > DENSE * np.bincount(block[members], minlength=blocks)
+    few = pairs[~dense[block[pairs[:, 0]]]]
+    many = rows.iloc[members[dense[block[members]]]].assign(other=pd.NA)[_FOUND]
+    nodes = rows.node.to_numpy()
+    single = pd.DataFrame({"node": nodes[few[:, 0]], "other": nodes[few[:, 1]]}).reindex(columns=_FOUND)
+    return pd.concat([many, single.astype(object).where(single.notna(), None)], ignore_index=True)
 
 
 def _with_partner(percent: int):
-    """Members that may link to a member of another component, from rows sorted by block; a block that a
-    batch cuts waits for its rest."""
-    columns = ["key", "left", "right", "node", "n_shingles", "component", "sketch"]
+    """``_partners`` over rows sorted by block; a block that a batch cuts waits for its rest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -202,9 +234,9 @@ def _with_partner(percent: int):
             whole = rows.iloc[: starts[-1]]
             held = rows.iloc[starts[-1] :].drop(columns="block")
             if len(whole):
-                yield whole.loc[_partners(whole, percent), columns]
+                yield _partners(whole, percent)
         if held is not None and len(held):
-            yield held.loc[_partners(held.assign(block=0), percent), columns]
+            yield _partners(held.assign(block=0), percent)
 
     return run
 
@@ -272,8 +304,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .where(_differing_bits("su", "sv") <= limit).select("u", "v")
     )
     stars = materialize(stars, "stars")
-    touched = stars.select(F.col("u").alias("doc_id")).union(stars.select(F.col("v").alias("doc_id"))).distinct()
-    links = materialize(_confirmed(stars, _sets_of(docs, touched, width), percent), "links")
+    touched = materialize(stars.select(F.col("u").alias("node")).union(stars.select(F.col("v").alias("node"))).distinct(), "touched")
+    sets = _sets(docs, touched, width)
+    links = materialize(_confirmed(stars, sets, percent), "links")
     merged = components(links)
 
     # Buckets that still hold several components: members of the largest one need not meet each other,
@@ -299,14 +332,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .select("key", "node", "component", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
         .join(sketches, "node")
     )
-    kept = materialize(
+    found = materialize(
         blocks.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "n_shingles").mapInPandas(
-            _with_partner(percent), "key long, left int, right int, node long, n_shingles long, component long, sketch array<long>"
+            _with_partner(percent),
+            "key long, left int, right int, node long, other long, n_shingles long, component long, sketch array<long>",
         ),
         "partners",
-    )
-    sets = _sets_of(docs, kept.select(F.col("node").alias("doc_id")).distinct(), width)
-    more = kept.join(sets, "node").groupBy("key", "left", "right").applyInPandas(_block_links(percent), "u long, v long")
+    )
+    named = found.select("node").union(found.select(F.col("other").alias("node"))).where("node is not null").distinct()
+    missing = materialize(named.join(sets, "node", "left_anti"), "missing")
+    if not missing.isEmpty():
+        sets = sets.union(_sets(docs, missing, width))
+    pairs = found.where("other is not null").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+    dense = found.where("other is null").drop("other").join(sets, "node").groupBy("key", "left", "right")
+    more = _confirmed(pairs, sets, percent).union(dense.applyInPandas(_block_links(percent), "u long, v long"))
     joined = components(links.union(more))
 
     member = filled.join(classes, ["n_shingles", "sum_a", "sum_b"]).select("doc_id", "n_shingles", "node")
@@ -341,11 +380,6 @@ def _differing_bits(left: str, right: str) -> Column:
     return sum(words[1:], words[0])
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """Full sets of the named documents, written once."""
-    return materialize(_sets(texts_of(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
-
-
 ORACLE = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
