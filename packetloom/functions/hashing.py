@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,18 +21,3 @@ def key_hash(df: DataFrame, keys: list[str], seed: int = 42) -> Column:
         text = F.concat_ws("|", F.lit(str(seed)), *parts)
         return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), 64 - HASH_BITS)
-
-
-def tuple_at_most(columns: list[Column], values: list) -> Column:
-    """``(c1, c2, …) <= (v1, v2, …)`` with NULLs first, as plain comparisons."""
-    pairs = list(zip(columns, values))
-    *head, (last, value) = pairs
-    inner = last.isNull() if value is None else last.isNull() | (last <= F.lit(value))
-    return reduce(_prepend_comparison, reversed(head), inner)
-
-
-def _prepend_comparison(tail: Column, pair: tuple[Column, object]) -> Column:
-    column, value = pair
-    if value is None:
-        return column.isNull() & tail
-    return column.isNull() | (column < F.lit(value)) | ((column == F.lit(value)) & tail)

@@ -1,84 +1,46 @@
 """Exact, seeded cuts of a table into parts of given sizes, independent of partitioning.
 
-Rows are ordered by a 32-bit hash of a unique key, ties by the key.  Only histogram counts
-and the few rows of a boundary bucket reach the driver; the assignment itself is a plain
-projection, so no row is sorted or shuffled.
+Rows are ordered by a 32-bit hash of a unique key, ties by the key.  The driver sees one count per class;
+the histograms in which the cut points are found stay DataFrames, and the assignment is a join of the
+cut points by class and a projection, so no row is sorted or shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from packetloom.functions.hashing import HASH_BITS, key_hash, tuple_at_most
+from packetloom.functions.hashing import HASH_BITS, key_hash
 from packetloom.session import materialize
 
-GATHER_ROWS = 20_000
-MAX_CLASSES = 1_000
-COPY_CHUNK = 1_000_000
+# Copies of one row that one task produces at a time, and rows per partition of their table.
+COPY_CHUNK = 10_000
+PARTITION_ROWS = 1_000_000
 COPY_COLUMN = "copy_no"
-# Bits of the hash that each refinement pass resolves.
-_LEVELS = (12, 22, 32)
+# Leading bits of the hash in the first histogram; at most 2 ** BUCKET_BITS rows per class.
+BUCKET_BITS = 16
 
 Sizes = dict[object, list[int]]
 SizePlan = Callable[[dict[object, int]], Sizes]
 
 
-@dataclass
-class _Boundary:
-    """The ``rank``-th row (1-based) among the rows of ``prefix`` in its class."""
+def _located(histogram: DataFrame, bounds: DataFrame, within: list[str], order: list[Column]) -> DataFrame:
+    """``bounds`` (with ``rank`` in their group) joined to the histogram row that holds that rank.
 
-    cls: object
-    index: int
-    rank: int
-    prefix: int = 0
-    rows: int = 0
-
-
-def _class_filter(by: str | None, cls: object) -> Column:
-    return F.lit(True) if by is None else F.col(by).eqNullSafe(F.lit(cls))
-
-
-def _locate(boundary: _Boundary, histogram: list[tuple[int, int]]) -> None:
-    """Moves a boundary into the bucket of a sorted ``(prefix, rows)`` histogram that holds it."""
-    for prefix, rows in histogram:
-        if boundary.rank <= rows:
-            boundary.prefix, boundary.rows = prefix, rows
-            return
-        boundary.rank -= rows
-    raise ValueError("the table changed between two passes of a cut")
-
-
-def _histogram(df: DataFrame, by: str | None, bits: int) -> dict[object, list[tuple[int, int]]]:
-    cls = F.lit(None) if by is None else F.col(by)
-    prefix = F.shiftright("_hash", HASH_BITS - bits)
-    rows = df.groupBy(cls.alias("cls"), prefix.alias("prefix")).count()
-    found: dict[object, list[tuple[int, int]]] = {}
-    for row in rows.limit((MAX_CLASSES << _LEVELS[0]) + 1).collect():
-        found.setdefault(row["cls"], []).append((row["prefix"], row["count"]))
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in column {by}")
-    return {c: sorted(h) for c, h in found.items()}
-
-
-def _in_bucket(boundary: _Boundary, by: str | None, bits: int) -> Column:
-    inside = F.shiftright("_hash", HASH_BITS - bits) == F.lit(boundary.prefix)
-    return inside & _class_filter(by, boundary.cls)
-
-
-def _any(conditions: list[Column]) -> Column:
-    combined = conditions[0]
-    for condition in conditions[1:]:
-        combined = combined | condition
-    return combined
-
-
-def _null_first(values: tuple) -> tuple:
-    return tuple((v is not None, v) for v in values)
+    ``rank`` becomes the rank among the rows of that histogram row, and ``n`` how many those are.
+    """
+    running = F.sum("n").over(W.partitionBy(*within).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    summed = histogram.withColumn("upto", running)
+    same = [F.col(f"h.{c}").eqNullSafe(F.col(f"b.{c}")) for c in within]
+    holds = (F.col("b.rank") <= F.col("h.upto")) & (F.col("b.rank") > F.col("h.upto") - F.col("h.n"))
+    joined = summed.alias("h").join(bounds.alias("b"), [*same, holds])
+    return joined.select("h.*", "b.index", (F.col("b.rank") - F.col("h.upto") + F.col("h.n")).alias("rank"))
 
 
 def exact_cut(
@@ -95,102 +57,78 @@ def exact_cut(
     sizes per class.  ``keys`` must be unique; ``number_copies`` makes them so for a
     table that has no key.  ValueError when a boundary falls among rows of one key.
     """
-    hashed = df.withColumn("_hash", key_hash(df, keys, seed))
-    top = _histogram(hashed, by, _LEVELS[0])
-    planned = sizes({c: sum(n for _, n in h) for c, h in top.items()})
-    boundaries, points = [], {}
-    for cls, histogram in top.items():
-        rows, taken = sum(n for _, n in histogram), 0
-        if sum(planned[cls]) != rows:
-            raise ValueError(f"part sizes of class {cls!r} do not add up to its {rows} rows")
-        for index, size in enumerate(planned[cls][:-1]):
+    names = [f"_k{i}" for i in range(len(keys))]
+    kind = T.IntegerType() if by is None else df.schema[by].dataType
+    cls = F.lit(None).cast("int") if by is None else F.col(by)
+    keyed = df.select(cls.alias("_cls"), key_hash(df, keys, seed).alias("_hash"), *[F.col(k).alias(n) for k, n in zip(keys, names)])
+    counts = {r["_cls"]: r["n"] for r in keyed.groupBy("_cls").agg(F.count(F.lit(1)).alias("n")).collect()}
+    planned = sizes(counts)
+    wanted, skipped = [], Counter()
+    for value, rows in counts.items():
+        if sum(planned[value]) != rows:
+            raise ValueError(f"part sizes of class {value!r} do not add up to its {rows} rows")
+        taken = 0
+        for index, size in enumerate(planned[value][:-1]):
             taken += size
             if 0 < taken < rows:
-                boundary = _Boundary(cls, index, taken)
-                _locate(boundary, histogram)
-                boundaries.append(boundary)
-            else:
-                points[cls, index] = taken > 0
-    points |= _boundary_points(hashed, keys, by, boundaries)
-    number = _part_number(hashed, keys, by, planned, points)
-    return hashed.withColumn(part, number).drop("_hash")
-
-
-def _boundary_points(
-    hashed: DataFrame, keys: list[str], by: str | None, boundaries: list[_Boundary]
-) -> dict[tuple[object, int], tuple]:
-    """The last ``(hash, key…)`` below each boundary."""
-    if not boundaries:
-        return {}
-    bits = {id(b): _LEVELS[0] for b in boundaries}
-    for level in _LEVELS[1:]:
-        large = [b for b in boundaries if b.rows > GATHER_ROWS]
-        if not large:
-            break
-        inside = hashed.filter(_any([_in_bucket(b, by, bits[id(b)]) for b in large]))
-        finer = _histogram(inside, by, level)
-        for b in large:
-            shift = level - bits[id(b)]
-            _locate(b, [(p, n) for p, n in finer[b.cls] if p >> shift == b.prefix])
-            bits[id(b)] = level
-    cls = F.lit(None) if by is None else F.col(by)
-    inside = hashed.filter(_any([_in_bucket(b, by, bits[id(b)]) for b in boundaries]))
-    names = [f"k{i}" for i in range(len(keys))]
-    columns = [F.col(k).alias(n) for k, n in zip(keys, names)]
-    # Rows of one key collapse here, so a repeated key cannot flood the driver.
-    gathered = inside.groupBy(cls.alias("cls"), F.col("_hash").alias("h"), *columns).count().collect()
-    points = {}
-    for b in boundaries:
-        shift = HASH_BITS - bits[id(b)]
-        rows = sorted(
-            (r for r in gathered if r["cls"] == b.cls and r["h"] >> shift == b.prefix),
-            key=lambda r: (r["h"], _null_first(tuple(r[n] for n in names))),
-        )
-        rank = b.rank
-        for row in rows:
-            rank -= row["count"]
-            if rank <= 0:
-                break
-        if rank < 0:
-            raise ValueError(f"key {keys} is not unique at a cut; number the copies first")
-        points[b.cls, b.index] = (row["h"], *(row[n] for n in names))
-    return points
-
-
-def _part_number(hashed: DataFrame, keys: list[str], by: str | None, planned: Sizes, points: dict) -> Column:
-    order = [F.col("_hash"), *[F.col(k) for k in keys]]
-    number = F.lit(None).cast("int")
-    for cls, parts in planned.items():
-        own = F.lit(0)
-        for index in range(len(parts) - 1):
-            point = points[cls, index]
-            if point is True:
-                continue
-            above = F.lit(1) if point is False else F.when(tuple_at_most(order, point), 0).otherwise(1)
-            own = own + above
-        number = own if by is None else F.when(_class_filter(by, cls), own).otherwise(number)
-    return number.cast("int")
+                wanted.append((value, index, taken))
+            elif not taken:
+                skipped[value] += 1
+    points = _cut_points(keyed, names, kind, wanted)
+    empty = [(value, skipped[value]) for value in counts]
+    fields = T.StructType([T.StructField("_class", kind), T.StructField("_empty", T.IntegerType())])
+    known = df.sparkSession.createDataFrame(empty, fields)
+    if points is not None:
+        known = known.join(points, F.col("_class").eqNullSafe(F.col("_cls")), "left").drop("_cls")
+    row = F.struct(key_hash(df, keys, seed).alias("_hash"), *[F.col(k).alias(n) for k, n in zip(keys, names)])
+    marked = df.withColumns({"_own": cls, "_row": row})
+    joined = marked.join(known, F.col("_own").eqNullSafe(F.col("_class")))
+    passed = F.lit(0) if points is None else F.coalesce(F.size(F.filter("_points", lambda p: F.col("_row") > p)), F.lit(0))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_empty") + passed).cast("int").alias(part))
+
+
+def _cut_points(keyed: DataFrame, names: list[str], kind: T.DataType, wanted: list[tuple[object, int, int]]) -> DataFrame | None:
+    """``_cls, _points``: the last ``(hash, key…)`` below each boundary; None without boundaries."""
+    if not wanted:
+        return None
+    fields = [T.StructField("_cls", kind), T.StructField("index", T.IntegerType()), T.StructField("rank", T.LongType())]
+    bounds = keyed.sparkSession.createDataFrame(wanted, T.StructType(fields))
+    bucket = F.shiftright("_hash", HASH_BITS - BUCKET_BITS).alias("_bucket")
+    count = F.count(F.lit(1)).alias("n")
+    coarse = keyed.groupBy("_cls", bucket).agg(count)
+    bounds = materialize(_located(coarse, bounds, ["_cls"], [F.col("_bucket")]).drop("n", "upto"), "buckets")
+    held = bounds.select(F.col("_cls").alias("_c"), F.col("_bucket").alias("_b")).distinct()
+    inside = keyed.withColumn("_bucket", bucket).join(
+        held, F.col("_cls").eqNullSafe(F.col("_c")) & (F.col("_bucket") == F.col("_b")), "left_semi"
+    )
+    # Rows of one key collapse here, so a repeated key is one row.
+    fine = inside.groupBy("_cls", "_bucket", "_hash", *names).agg(count)
+    order = [F.col(c).asc_nulls_first() for c in ("_hash", *names)]
+    found = materialize(_located(fine, bounds, ["_cls", "_bucket"], order), "points")
+    if not found.where("rank < n").isEmpty():
+        raise ValueError("the key is not unique at a cut; number the copies first")
+    return found.groupBy("_cls").agg(F.collect_list(F.struct("_hash", *names)).alias("_points"))
 
 
 def number_copies(df: DataFrame, copy: str = COPY_COLUMN) -> DataFrame:
     """Gives a keyless table a key: all its columns plus the number of the copy.
 
     Equal rows are counted with map-side combining and written once as (row, count); the
-    copies are produced again on reading.  A row with very many copies is spread by chunks,
-    so neither counting nor producing puts it into one task.
+    copies are produced again on reading.  Rows with many copies are spread by chunks over
+    as many partitions as the table's size asks for, so neither counting nor producing puts
+    a repeated row into one task.
     """
     columns = df.columns
     counted = materialize(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies")), "distinct")
-    most = counted.agg(F.max("_copies")).first()[0] or 0
-    if most > COPY_CHUNK:
-        last = F.floor((F.col("_copies") - 1) / COPY_CHUNK)
-        counted = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-        counted = counted.repartition("_chunk", *columns)
-    else:
-        counted = counted.withColumn("_chunk", F.lit(0).cast("long"))
+    total = counted.agg(F.sum("_copies")).first()[0] or 0
+    spread = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_ROWS))
+    last = F.floor((F.col("_copies") - 1) / COPY_CHUNK)
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    # A number of partitions that is asked for is kept, however small the rows look before they multiply.
+    chunks = chunks.repartition(spread, "_chunk", *columns)
     first = F.col("_chunk") * COPY_CHUNK
     final = F.least(first + COPY_CHUNK, F.col("_copies")) - 1
-    return counted.withColumn(copy, F.explode(F.sequence(first, final))).select(*columns, copy)
+    return chunks.withColumn(copy, F.explode(F.sequence(first, final))).select(*columns, copy)
 
 
 def split_sizes(rows: int, train_size: float) -> list[int]:

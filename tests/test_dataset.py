@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from packetloom.operators import cut, dataset
 from packetloom.operators.cut import exact_cut, fold_sizes, number_copies, proportional_sizes, stratified_fold_sizes
@@ -18,9 +19,9 @@ def keyed(spark):
     return spark.range(3000).selectExpr("id", "cast(id % 7 = 0 as int) as label")
 
 
-@pytest.mark.parametrize("gather", [1, 10, 10_000])
-def test_cut_equals_a_full_sort(keyed, monkeypatch, gather):
-    monkeypatch.setattr(cut, "GATHER_ROWS", gather)
+@pytest.mark.parametrize("bits", [1, 8, 16])
+def test_cut_equals_a_full_sort(keyed, monkeypatch, bits):
+    monkeypatch.setattr(cut, "BUCKET_BITS", bits)
     out = exact_cut(keyed, ["id"], lambda counts: {c: [100, n - 350, 250] for c, n in counts.items()})
     parts = {r.id: r.part for r in out.collect()}
     order = key_order(range(3000))
@@ -63,6 +64,18 @@ def test_copies_are_numbered_without_loss(spark, monkeypatch, chunk):
     assert sorted(r.copy_no for r in out if r.a == 1.0) == list(range(40))
 
 
+def test_many_classes(spark):
+    df = spark.range(6000).selectExpr("id", "id % 1200 as label")
+    out = exact_cut(df, ["id"], lambda c: {k: [2, n - 2] for k, n in c.items()}, by="label").collect()
+    assert Counter((r.label, r.part) for r in out) == {(k, p): 2 + p for k in range(1200) for p in (0, 1)}
+
+
+def test_copies_spread_over_partitions(spark):
+    df = spark.range(400_000).selectExpr("id % 2 as a")
+    sizes = [r["count"] for r in number_copies(df).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 400_000 and len(sizes) == 4 and max(sizes) < 250_000
+
+
 def test_hot_row_is_split_in_proportion(spark):
     df = spark.range(900).selectExpr("cast(if(id < 300, -1, id) as double) as a", "cast(id % 2 as int) as label")
     train, test = dataset.split_dataset(df, stratify=False)
