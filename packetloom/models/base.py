@@ -50,19 +50,18 @@ class AnomalyModel(ABC):
         self.training_dataset: str | None = None
         self.trained_at: str | None = None
 
-    @abstractmethod
     def _fit(self, df: DataFrame, label: str | None) -> None:
-        """Trains on a frame of DOUBLE features (and the label)."""
+        """Trains on a frame of DOUBLE features (and the label); a fixed rule has nothing to learn."""
 
     @abstractmethod
     def _transform(self, df: DataFrame) -> DataFrame:
         """Adds INT ``prediction`` and DOUBLE ``score``."""
 
-    @abstractmethod
-    def _save(self, spark: SparkSession, path: str) -> None: ...
+    def _save(self, spark: SparkSession, path: str) -> None:
+        """Writes what the model learned below ``path``; the parameters are part of the metadata."""
 
-    @abstractmethod
-    def _load(self, spark: SparkSession, path: str) -> None: ...
+    def _load(self, spark: SparkSession, path: str) -> None:
+        """Reads back what ``_save`` wrote."""
 
     def fit(
         self,

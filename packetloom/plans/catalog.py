@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,13 +13,13 @@ from pyspark.sql import functions as F
 from packetloom.functions.headers import HEADER_SCHEMA, decode_frames, summarize_packets
 from packetloom.models.autoencoder import AutoencoderModel
 from packetloom.models.forest import RandomForestModel
+from packetloom.models.registry import build_model
 from packetloom.models.svm import SVMModel
 from packetloom.operators import alerts as A
 from packetloom.operators import clean as C
 from packetloom.operators import dataset as D
 from packetloom.operators import metrics as M
 from packetloom.operators.gaps import with_gaps
-from packetloom.operators.joins import join_lookup
 from packetloom.operators.quantiles import exact_percentile, exact_percentiles
 from packetloom.operators.scaling import fit_scaler, scale, scaler_stats
 from packetloom.plans.catalog_files import ALERT_HOST, FILE_QUERIES, alert_time
@@ -31,12 +32,13 @@ from packetloom.plans.tables import (
     labelled_orders,
     line_frames,
     line_packets,
+    long_frames,
     micros,
     scored_lines,
     six_places,
     table,
 )
-from packetloom.session import materialize
+from packetloom.session import materialize, scratch_path
 from packetloom.sources.captures import bounded_capture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +68,7 @@ def bounded_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inter_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_gaps(feed_capture(spark, sf_dir), "capture_id", "event_id", "ts_us", chunk_packets=20_000)
+    return with_gaps(feed_capture(spark, sf_dir), "capture_id", "event_id", "ts_us", chunk_packets=1_000)
 
 
 def _header_columns(frames: DataFrame) -> DataFrame:
@@ -83,6 +85,14 @@ def decoded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _header_columns(line_frames(spark, sf_dir, cut=False))
 
 
+def long_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transport fields behind more header bytes than the head of a frame holds."""
+    decoded = decode_frames(long_frames(spark, sf_dir))
+    return decoded.select(
+        "l_orderkey", "l_linenumber", "length", "tcp_sport", "tcp_dport", "tcp_flag_int", "payload_size", "is_empty_payload"
+    )
+
+
 def packet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize_packets(line_frames(spark, sf_dir, cut=False)).drop("ts_us")
 
@@ -205,7 +215,7 @@ def recon_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
     means = vectors.groupBy("label").agg(Summarizer.mean(array_to_vector("x")).alias("mean"))
     centroids = materialize(means.select("label", vector_to_array("mean").alias("recon")), "centroids")
-    paired = join_lookup(vectors, centroids, ["label"], row_bytes=64 * 8 + 16)
+    paired = vectors.join(centroids, "label")
     gap = F.zip_with("x", "recon", lambda a, b: a - b)
     paired = paired.withColumn("gap", gap)
 
@@ -318,20 +328,65 @@ def _scores(spark: SparkSession, sf_dir: str, model) -> DataFrame:
     return model.transform(orders).select("o_orderkey", "label", "prediction", "score")
 
 
+def _facts(scores: DataFrame) -> DataFrame:
+    """Per class what holds of any trained model: every row has a score, and predictions follow the scores."""
+    edges = scores.agg(
+        F.max(F.when(F.col("prediction") == 0, F.col("score"))).alias("below"),
+        F.min(F.when(F.col("prediction") == 1, F.col("score"))).alias("above"),
+    )
+    counted = scores.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("scored"))
+    # One row of edges: the join adds two numbers to each class.
+    ordered = F.coalesce(F.col("below") <= F.col("above"), F.lit(True))
+    return counted.join(edges).select("label", "n", "scored", ordered.alias("ordered"))
+
+
+def rf_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(materialize(rf_scores(spark, sf_dir), "facts"))
+
+
+def svm_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(materialize(svm_scores(spark, sf_dir), "facts"))
+
+
+def kernel_svm_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(materialize(kernel_svm_scores(spark, sf_dir), "facts"))
+
+
+def autoencoder_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(materialize(autoencoder_scores(spark, sf_dir), "facts"))
+
+
+def model_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per model: rows, and rows that score differently once the model was saved and loaded by its name."""
+    orders = labelled_orders(spark, sf_dir)
+    found = []
+    for name in ("random_forest", "svm"):
+        model = build_model(name, **({"trees": 5, "max_depth": 5} if name == "random_forest" else {"max_iter": 5}))
+        model.fit(orders.drop("o_orderkey"))
+        path = model.save(spark, f"{scratch_path(spark)}/reload/{uuid.uuid4().hex}")
+        again = build_model(name).load(spark, path)
+        both = model.transform(orders).select("o_orderkey", F.col("score").alias("before")).join(
+            again.transform(orders).select("o_orderkey", "score"), "o_orderkey"
+        )
+        different = F.count_if(~F.col("before").eqNullSafe(F.col("score")))
+        found.append(both.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), different.alias("different")))
+    return found[0].unionByName(found[1])
+
+
 def rf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, RandomForestModel(trees=20, max_depth=8))
+    return _scores(spark, sf_dir, RandomForestModel())
 
 
 def svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, SVMModel(max_iter=30))
+    return _scores(spark, sf_dir, SVMModel())
 
 
 def kernel_svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, SVMModel(kernel="rbf", max_iter=20, width=64))
+    return _scores(spark, sf_dir, SVMModel(kernel="rbf"))
 
 
 def autoencoder_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, AutoencoderModel(epochs=5))
+    return _scores(spark, sf_dir, AutoencoderModel())
 
 
 QUERIES: dict[str, Query] = {
@@ -340,6 +395,7 @@ QUERIES: dict[str, Query] = {
     "inter_arrival": inter_arrival,
     "decoded_frames": decoded_frames,
     "malformed_frames": malformed_frames,
+    "long_headers": long_headers,
     "packet_summary": packet_summary,
     "clean_features": clean_events,
     "label_features": label_features,
@@ -377,4 +433,9 @@ QUERIES: dict[str, Query] = {
     "svm_scores": svm_scores,
     "kernel_svm_scores": kernel_svm_scores,
     "autoencoder_scores": autoencoder_scores,
+    "rf_facts": rf_facts,
+    "svm_facts": svm_facts,
+    "kernel_svm_facts": kernel_svm_facts,
+    "autoencoder_facts": autoencoder_facts,
+    "model_reload": model_reload,
 }

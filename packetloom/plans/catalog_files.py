@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from packetloom.operators.alerts import project_alerts
 from packetloom.operators.quantiles import exact_percentile
 from packetloom.operators.scaling import Scaler, fit_scaler
 from packetloom.plans.detect import detect
+from packetloom.plans.extract import land_captures
 from packetloom.plans.prepare import prepare_dataset
 from packetloom.plans.tables import (
     LINE_FEATURES,
@@ -25,6 +28,9 @@ from packetloom.plans.tables import (
     table,
 )
 from packetloom.session import scratch_path
+from packetloom.sources.captures import read_captures
+from packetloom.sources.files import create_binary
+from packetloom.sources.paths import make_directory
 from packetloom.sources.sinks import write_alerts, write_table
 from packetloom.sources.tabular import load_dataset
 from packetloom.streaming.live import (
@@ -97,12 +103,6 @@ class DistanceModel(AnomalyModel):
         scored = df.withColumn("score", distance(self.scaler)).withColumn("anomaly_score", F.col("score"))
         return scored.withColumn("prediction", (F.col("score") > F.lit(self.threshold)).cast("int"))
 
-    def _save(self, spark: SparkSession, path: str) -> None:
-        self.scaler.to_frame(spark).write.parquet(f"{path}/scaler")
-
-    def _load(self, spark: SparkSession, path: str) -> None:
-        raise NotImplementedError("the distance model is fitted where it is used")
-
 
 def batch_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole detection job: fit, score, write the table, forward the alerts."""
@@ -131,17 +131,11 @@ class GapModel(AnomalyModel):
     model_type = "gap"
     supervised = False
 
-    def _fit(self, df: DataFrame, label: str | None) -> None: ...
-
     def _transform(self, df: DataFrame) -> DataFrame:
         late = F.col("inter_arrival_time") > 20_000_000
         flagged = late | (F.col("udp_dport") < 100)
         return df.withColumns({"prediction": flagged.cast("int"), "score": F.col("payload_size") * 1.0, "anomaly_score": F.col("payload_size") * 1.0})
 
-    def _save(self, spark: SparkSession, path: str) -> None: ...
-
-    def _load(self, spark: SparkSession, path: str) -> None: ...
-
 
 def order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One UDP frame per order: the customer picks capture and port, the date the time."""
@@ -165,6 +159,44 @@ def order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_captures(frames: DataFrame, folder: str, prefix: str) -> None:
+    """A capture file per ``capture_id``, written by the task that holds its packets."""
+    make_directory(frames.sparkSession, folder)
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        path = f"{folder}/{prefix}{rows.capture_id.iloc[0]}.pcap"
+        with create_binary(path) as out:
+            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+            for row in rows.sort_values(["ts_us", "packet_no"]).itertuples():
+                size = len(row.frame)
+                out.write(struct.pack("<IIII", row.ts_us // 1_000_000, row.ts_us % 1_000_000, size, size) + row.frame)
+        return pd.DataFrame({"path": [path]})
+
+    frames.groupBy("capture_id").applyInPandas(write, "path STRING").collect()
+
+
+def _packets_of(frames: DataFrame) -> DataFrame:
+    return frames.select(
+        F.element_at(F.split("capture_id", "/"), -1).alias("capture"), "packet_no", "ts_us", F.length("frame").alias("length")
+    )
+
+
+def capture_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures written in tasks and read back in byte ranges."""
+    folder = _folder(spark, "captures")
+    write_captures(order_frames(spark, sf_dir), folder, "c")
+    return _packets_of(read_captures(spark, folder, split_bytes=1 << 16, strict=True))
+
+
+def landed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures that come in two lots, landed after each and once more without anything new."""
+    folder, target, state = (_folder(spark, name) for name in ("captures", "landed", "state"))
+    for prefix, arrived in zip("ab", _arrivals(spark, sf_dir)):
+        write_captures(arrived, folder, prefix)
+        land_captures(spark, folder, target, state)
+    return _packets_of(land_captures(spark, folder, target, state))
+
+
 def _arrivals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """All packets of the feed in two landings, in the order of their arrival."""
     frames = order_frames(spark, sf_dir)
@@ -212,6 +244,8 @@ FILE_QUERIES = {
     "csv_scan": csv_scan,
     "csv_directory": csv_directory,
     "dataset_build": dataset_build,
+    "capture_scan": capture_scan,
+    "landed_captures": landed_captures,
     "batch_detection": batch_detection,
     "alert_files": alert_files,
     "live_alerts": live_alerts,

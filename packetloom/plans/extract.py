@@ -10,7 +10,9 @@ from packetloom.functions.headers import decode_frames
 from packetloom.operators.clean import ADDRESS_COLUMNS, attach_label, clean_features
 from packetloom.operators.gaps import CHUNK_PACKETS, with_gaps
 from packetloom.schema import FEATURE_COLUMNS, FRAME_SCHEMA
-from packetloom.sources.captures import read_captures
+from packetloom.session import materialize
+from packetloom.sources.captures import capture_index, indexed_frames, read_captures
+from packetloom.sources.paths import path_exists
 from packetloom.sources.tabular import file_suffix, load_numeric
 
 CAPTURE_SUFFIXES = (".pcap", ".pcapng", ".cap")
@@ -62,6 +64,25 @@ def load_input(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return load_numeric(spark, [path], schema, ADDRESS_COLUMNS)
 
 
-def land_captures(spark: SparkSession, path: str, target: str) -> None:
-    """Decode-ready frames of all captures under ``path``, appended to a Parquet table."""
-    read_captures(spark, path).select(*FRAME_SCHEMA.names).write.mode("append").parquet(target)
+def land_captures(spark: SparkSession, path: str, target: str, state: str) -> DataFrame:
+    """Decode-ready frames of the captures under ``path`` that have not landed yet, added to ``target``.
+
+    New captures are found by a stream over the folder's listing, whose checkpoint at ``state``
+    remembers what has landed; each run handles all captures that have come since the last.  A run
+    that was cut short writes its folder again under the same number, so no packet lands twice.
+    Returns everything landed so far.
+    """
+    if not path_exists(spark, path):
+        raise FileNotFoundError(path)
+    listing = (
+        spark.readStream.format("binaryFile").schema("path STRING, modificationTime TIMESTAMP, length LONG, content BINARY")
+        .option("pathGlobFilter", "*.{pcap,pcapng,cap}").load(path).select("path", "length")
+    )
+
+    def land(files: DataFrame, number: int) -> None:
+        index = capture_index(materialize(files, "arrived"))
+        indexed_frames(index).select(*FRAME_SCHEMA.names).write.mode("overwrite").parquet(f"{target}/landing={number}")
+
+    query = listing.writeStream.foreachBatch(land).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(FRAME_SCHEMA).parquet(target).select(*FRAME_SCHEMA.names)

@@ -262,7 +262,34 @@ _COMBINED = """(SELECT l_quantity, l_discount, label, CAST(NULL AS INTEGER) AS l
 
 _CORR = ", ".join(f"round(abs(corr(CAST({f} AS DOUBLE), CAST(label AS DOUBLE))), 6) AS {f}" for f in CORRELATED)
 
+LONG_HEADERS = """SELECT l_orderkey, l_linenumber,
+  CAST(CASE WHEN l_orderkey % 2 = 1 THEN 54 + 4 * (l_partkey % 90) ELSE 74 + 8 * (l_partkey % 64 + 1) END
+    + CAST(l_quantity AS INTEGER) AS INTEGER) AS length,
+  CAST(1024 + l_orderkey % 60000 AS INTEGER) AS tcp_sport, CAST(l_partkey % 1024 AS INTEGER) AS tcp_dport,
+  CAST(CAST(l_quantity AS INTEGER) % 64 AS INTEGER) AS tcp_flag_int, CAST(l_quantity AS INTEGER) AS payload_size,
+  CAST(CAST(l_quantity AS INTEGER) = 0 AS INTEGER) AS is_empty_payload FROM lineitem"""
+
+_CAPTURED = """SELECT {prefix} || (o_custkey % 8) || '.pcap' AS capture,
+  row_number() OVER (PARTITION BY {prefix}, o_custkey % 8 ORDER BY o_orderdate, o_orderkey) - 1 AS packet_no,
+  epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS ts_us, CAST(42 + o_custkey % 40 AS INTEGER) AS length FROM {source}"""
+CAPTURED = _CAPTURED.format(prefix="'c'", source="orders")
+LANDED = _CAPTURED.format(
+    prefix="lot",
+    source="(SELECT *, CASE WHEN o_orderkey <= (SELECT quantile_cont(o_orderkey, 0.5) FROM orders) THEN 'a' ELSE 'b' END AS lot FROM orders)",
+)
+FACTS = "SELECT CAST(o_orderstatus = 'F' AS INTEGER) AS label, count(*) AS n, count(*) AS scored, TRUE AS ordered FROM orders GROUP BY 1"
+RELOADED = """SELECT m AS model, count(*) AS n, CAST(0 AS BIGINT) AS different
+  FROM orders, (VALUES ('random_forest'), ('svm')) v(m) GROUP BY 1"""
+
 ORACLE_SQL: dict[str, str] = {
+    "long_headers": LONG_HEADERS,
+    "capture_scan": CAPTURED,
+    "landed_captures": LANDED,
+    "rf_facts": FACTS,
+    "svm_facts": FACTS,
+    "kernel_svm_facts": FACTS,
+    "autoencoder_facts": FACTS,
+    "model_reload": RELOADED,
     "flagged_by_class": f"WITH {SCORED} SELECT label, count(*) AS n, count(*) FILTER (prediction = 1) AS flagged FROM scored GROUP BY label",
     "bounded_capture": """WITH feed AS (SELECT user_id % 8 AS capture_id, event_id, epoch_us(ts) AS ts_us FROM events)
 SELECT * FROM feed WHERE ts_us <= (SELECT min(ts_us) FROM feed) + 864000 * 1000000::BIGINT ORDER BY ts_us, event_id LIMIT 5000""",

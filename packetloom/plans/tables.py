@@ -124,3 +124,26 @@ def line_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(number == 5, 0).when(number < 7, seconds).alias("timestamp"),
         "prediction",
     )
+
+
+def long_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TCP frames behind up to 89 VLAN tags (odd orders) or an IPv6 extension header of up to 512 bytes."""
+    order, part, supplier = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    payload = F.col("l_quantity").cast("int")
+    tcp = F.concat(
+        hex_field(1024 + order % 60000, 4), hex_field(part % 1024, 4), F.lit("0000000100000002"),
+        F.lit("50"), hex_field(payload % 64, 2), F.lit("0FFF00000000"),
+    )
+    zeros = F.repeat(F.lit("00"), payload)
+    tags = (part % 90).cast("int")
+    ip4 = F.concat(F.lit("4500"), hex_field(40 + payload, 4), F.lit("0001000040060000"), F.lit("0A0000010A000002"), tcp)
+    units = (part % 64).cast("int")
+    ip6 = F.concat(
+        F.lit("60000000"), hex_field(8 * (units + 1) + 20 + payload, 4), F.lit("0040"), F.repeat(F.lit("11"), F.lit(32)),
+        F.lit("06"), hex_field(units, 2), F.repeat(F.lit("00"), 8 * (units + 1) - 2), tcp,
+    )
+    tagged = F.concat(F.repeat(F.lit("81000005"), tags), F.lit("0800"), ip4, zeros)
+    text = F.concat(F.repeat(F.lit("AB"), F.lit(12)), F.when(order % 2 == 1, tagged).otherwise(F.concat(F.lit("86DD"), ip6, zeros)))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.lit(0).cast("long").alias("ts_us"), F.lit(1).alias("linktype"), F.unhex(text).alias("frame")
+    )

@@ -5,11 +5,15 @@ first plausible chain of records in its range and walks to its end; the ranges a
 exactly when every walk ends where the next one began, which is checked, and ranges that
 began wrong are walked again from the proven position.  So one huge capture is read by many
 tasks, packet numbers are exact, and each task streams its range with bounded memory.
+
+What cannot be read is counted: ``capture_report`` says for each capture how many packets were read, how
+many bytes at its end were not, and why.
 """
 
 from __future__ import annotations
 
 import io
+import logging
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,8 +45,9 @@ PLAUSIBLE_SECONDS = 10 * 366 * 86_400
 
 INDEX_SCHEMA = (
     "path STRING, length LONG, split LONG, start LONG, stop LONG, first LONG, next LONG, "
-    "packets LONG, last_us LONG"
+    "packets LONG, last_us LONG, status STRING, unread_bytes LONG"
 )
+_log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -177,19 +182,19 @@ def _packets(stream, form: _Format, first: int, stop: int, length: int, data: bo
     return _classic_packets(stream, form, first, stop, length, data)
 
 
-def _find_record(stream: io.BufferedReader, form: _Format, start: int, length: int) -> int:
-    """The first offset from ``start`` that begins a plausible chain of records."""
+def _find_record(stream: io.BufferedReader, form: _Format, start: int, stop: int, length: int) -> int | None:
+    """The first offset in the range that begins a plausible chain of records."""
     stream.seek(PCAP_HEADER)
     about = struct.unpack(form.order + "I", stream.read(4))[0]
-    window = 4 * LARGEST_RECORD
-    while start < length:
+    while start < stop:
         stream.seek(start)
+        window = min(4 * LARGEST_RECORD, stop - start + RECORD_HEADER - 1)
         block = np.frombuffer(stream.read(window), dtype=np.uint8).astype(np.int64)
         if len(block) < RECORD_HEADER:
             break
         shifts = (0, 8, 16, 24) if form.order == "<" else (24, 16, 8, 0)
         words = sum(block[i : len(block) - 3 + i] << shift for i, shift in enumerate(shifts))
-        spots = len(words) - 12
+        spots = len(block) - RECORD_HEADER + 1
         seconds, fraction = words[:spots], words[4 : spots + 4]
         captured, original = words[8 : spots + 8], words[12 : spots + 12]
         plausible = (
@@ -201,56 +206,88 @@ def _find_record(stream: io.BufferedReader, form: _Format, start: int, length: i
         for spot in np.flatnonzero(plausible):
             if _chain_holds(stream, form, start + int(spot), length):
                 return start + int(spot)
-        start += max(spots, 1)
-    return length
+        start += spots
+    return None
 
 
 def _chain_holds(stream: io.BufferedReader, form: _Format, at: int, length: int) -> bool:
     header = struct.Struct(form.order + "IIII")
-    previous = None
     for _ in range(CHAIN_RECORDS):
         if at + RECORD_HEADER > length:
             return at == length
         stream.seek(at)
-        seconds, fraction, captured, original = header.unpack(stream.read(RECORD_HEADER))
+        _, fraction, captured, original = header.unpack(stream.read(RECORD_HEADER))
         if fraction >= form.ticks or captured > min(original, LARGEST_RECORD):
             return False
-        if previous is not None and abs(seconds - previous) > 86_400:
-            return False
-        previous = seconds
         at += RECORD_HEADER + captured
     return True
 
 
-def _index_range(row) -> tuple[int, int, int, int | None]:
-    """``(first, next, packets, last time)`` of one byte range."""
+def _walked(stream: io.BufferedReader, form: _Format, first: int, stop: int, length: int) -> dict:
+    """What a range holds whose first record begins at ``first``."""
+    following, packets, last = first, 0, None
+    for following, last, _, _ in _packets(stream, form, first, stop, length, data=False):
+        packets += 1
+    found = {"first": first, "next": following, "packets": packets, "last_us": last, "status": "ok", "unread_bytes": 0}
+    if form.next_generation:
+        end = 0
+        for end, *_ in _blocks(stream, length) if first == 0 else ():
+            pass
+        found |= {"next": length}
+        if first == 0 and end < length:
+            found |= {"status": "broken", "unread_bytes": length - end}
+    elif following < stop:
+        # The next record does not fit into the file: it is cut off, or its length is damaged.
+        found |= {"next": length, "status": "broken", "unread_bytes": length - following}
+    return found
+
+
+def _index_range(row) -> dict:
+    """The first record of one byte range as far as the range itself can tell, and what follows it."""
     with _open(row.path) as stream:
         form = _read_format(stream)
         if form is None:
-            return row.length, row.length, 0, None
-        if not pd.isna(row.first):
-            first = int(row.first)
-        elif row.start == 0:
+            lost = row.stop - row.start
+            status = "foreign" if row.length else "empty"
+            return {"first": None, "next": row.length if row.start == 0 else None, "packets": 0, "last_us": None, "status": status, "unread_bytes": lost}
+        if row.start == 0:
             first = 0 if form.next_generation else PCAP_HEADER
         elif form.next_generation:
-            first = row.length
+            first = None
         else:
-            first = _find_record(stream, form, row.start, row.length)
-        following, packets, last = first, 0, None
-        for following, last, _, _ in _packets(stream, form, first, row.stop, row.length, data=False):
-            packets += 1
-        if form.next_generation or following < row.stop:
-            following = row.length  # nothing usable behind the last record
-        return first, following, packets, last
+            first = _find_record(stream, form, row.start, row.stop, row.length)
+        if first is None:
+            return {"first": None, "next": None, "packets": 0, "last_us": None, "status": "ok", "unread_bytes": 0}
+        return _walked(stream, form, first, row.stop, row.length)
+
+
+def _framed(rows: pd.DataFrame, found: list[dict]) -> pd.DataFrame:
+    columns = pd.DataFrame(found, columns=["first", "next", "packets", "last_us", "status", "unread_bytes"])
+    numbers = {c: "Int64" for c in columns.columns if c != "status"}
+    return pd.concat([rows[["path", "length", "split", "start", "stop"]].reset_index(drop=True), columns.astype(numbers)], axis=1)
 
 
 def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [_index_range(row) for row in batch.itertuples(index=False)]
-        first, following, packets, last = zip(*found) if found else ((), (), (), ())
-        yield batch.assign(
-            first=first, next=following, packets=packets, last_us=pd.array(last, dtype="Int64")
-        )
+        yield _framed(batch, [_index_range(row) for row in batch.itertuples(index=False)])
+
+
+def _repaired(rows: pd.DataFrame) -> pd.DataFrame:
+    """All ranges of one file in order: those that began right stay, the others are walked from where the
+    range before ended.  Only wrong ranges are read again."""
+    rows = rows.sort_values("split")
+    found, due = [], None
+    with _open(rows.path.iloc[0]) as stream:
+        form = _read_format(stream)
+        for row in rows.itertuples(index=False):
+            own = {c: None if pd.isna(v := getattr(row, c)) else v for c in ("first", "next", "packets", "last_us", "status", "unread_bytes")}
+            if due is not None and due >= row.stop:
+                own = {"first": None, "next": None, "packets": 0, "last_us": None, "status": "ok", "unread_bytes": 0}
+            elif due is not None and own["first"] != due:
+                own = _walked(stream, form, int(due), int(row.stop), int(row.length))
+            due = own["next"] if own["next"] is not None else due
+            found.append(own)
+    return _framed(rows, found)
 
 
 _ARROW_SCHEMA = pa.schema(
@@ -293,9 +330,15 @@ def _spread(ranges: DataFrame) -> DataFrame:
     return ranges.repartition(max(1, min(ranges.count(), MAX_TASKS)))
 
 
-def capture_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Proven byte ranges of all captures under ``path`` with their packet counts."""
-    files = list_files(spark, path, "*.{pcap,pcapng,cap}")
+def capture_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length`` of all captures under ``path``."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(path)
+    return list_files(spark, path, "*.{pcap,pcapng,cap}")
+
+
+def capture_index(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Proven byte ranges of captures (``path, length``) with their packet counts."""
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes))
     ranges = files.select("path", "length", F.posexplode(starts).alias("split", "start")).select(
         "path",
@@ -303,34 +346,50 @@ def capture_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
         F.col("split").cast("long").alias("split"),
         "start",
         F.least(F.col("start") + split_bytes, "length").alias("stop"),
-        F.lit(None).cast("long").alias("first"),
     )
     index = materialize(_spread(ranges).mapInPandas(_index, INDEX_SCHEMA), "captures")
-    order = Window.partitionBy("path").orderBy("split")
-    while True:
-        proven = F.coalesce(F.lag("next").over(order), F.col("first"))
-        checked = index.withColumn("_proven", proven)
-        # The first wrong range of a file follows a right one, so its start is now known.
-        wrong = checked.filter("first <> _proven").withColumn("first", F.col("_proven"))
-        wrong = wrong.select("path", "length", "split", "start", "stop", "first")
-        if wrong.limit(1).count() == 0:
-            return index
-        again = _spread(wrong).mapInPandas(_index, INDEX_SCHEMA)
-        kept = checked.filter("first = _proven").drop("_proven")
-        index = materialize(kept.unionByName(again), "captures")
+    # A range is right if its first record is where the last record before it ended, or if that record
+    # ends behind the range.
+    order = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    due = F.last("next", ignorenulls=True).over(order)
+    right = due.isNull() | F.when(due >= F.col("stop"), F.col("first").isNull()).otherwise(F.col("first").eqNullSafe(due))
+    wrong = index.withColumn("_wrong", ~right & (F.col("status") != "foreign")).where("_wrong").select("path").distinct()
+    wrong = materialize(wrong, "wrong-captures")
+    if wrong.isEmpty():
+        return index
+    repaired = index.join(wrong, "path", "left_semi").groupBy("path").applyInPandas(_repaired, INDEX_SCHEMA)
+    return materialize(index.join(wrong, "path", "left_anti").unionByName(repaired), "captures")
+
+
+def capture_report(index: DataFrame) -> DataFrame:
+    """``path, packets, status, unread_bytes`` of every capture; ``ok`` unless something was not read."""
+    worst = F.max(F.when(F.col("status") != "ok", F.col("status")))
+    return index.groupBy("path").agg(
+        F.sum("packets").alias("packets"), F.coalesce(worst, F.lit("ok")).alias("status"), F.sum("unread_bytes").alias("unread_bytes")
+    )
 
 
 def read_captures(
-    spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, previous: bool = False
+    spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, previous: bool = False, strict: bool = False
 ) -> DataFrame:
     """All packets of the captures under ``path`` as a ``frames`` table.
 
     With ``previous`` a column ``previous_us`` holds the time of the packet before in the
-    same capture; the reader knows it, so no window over the packets is needed.
+    same capture; the reader knows it, so no window over the packets is needed.  Captures that
+    could not be read whole are logged; with ``strict`` they are a ValueError.
     """
-    if not path_exists(spark, path):
-        raise FileNotFoundError(path)
-    index = capture_index(spark, path, split_bytes)
+    index = capture_index(capture_files(spark, path), split_bytes)
+    lost = capture_report(index).where("status not in ('ok', 'empty')")
+    summary = lost.groupBy("status").agg(F.count("*").alias("files"), F.sum("unread_bytes").alias("bytes"), F.min("path").alias("one")).collect()
+    for row in summary:
+        _log.warning("%d %s captures, %d bytes not read, such as %s", row.files, row.status, row.bytes, row.one)
+    if strict and summary:
+        raise ValueError(f"captures that cannot be read whole, such as {summary[0].one}")
+    return indexed_frames(index, previous)
+
+
+def indexed_frames(index: DataFrame, previous: bool = False) -> DataFrame:
+    """The packets of proven ranges."""
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     placed = index.select(
         "path",

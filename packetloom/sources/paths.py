@@ -35,6 +35,11 @@ def unused_path(spark: SparkSession, path: str, now: datetime | None = None) ->
     return candidate
 
 
+def make_directory(spark: SparkSession, path: str) -> None:
+    file_system, jvm_path = _file_system(spark, path)
+    file_system.mkdirs(jvm_path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     file_system, jvm_path = _file_system(spark, path)
     file_system.delete(jvm_path, True)

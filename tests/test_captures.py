@@ -7,7 +7,7 @@ import pytest
 from packets import ethernet, ip4, pcap, pcapng, tcp, udp
 
 from packetloom.plans.extract import extract_features, land_captures, load_input
-from packetloom.sources.captures import bounded_capture, read_captures
+from packetloom.sources.captures import bounded_capture, capture_files, capture_index, capture_report, read_captures
 
 FRAME = ethernet(0x0800, ip4(6, tcp()))
 
@@ -60,6 +60,8 @@ def test_cut_empty_and_foreign_files(spark, tmp_path):
     (tmp_path / "empty.pcap").write_bytes(b"")
     (tmp_path / "text.pcap").write_bytes(b"this is not a capture at all")
     rows = read_captures(spark, str(tmp_path)).collect()
+    report = {r.path.rsplit("/", 1)[1]: (r.packets, r.status) for r in capture_report(capture_index(capture_files(spark, str(tmp_path)))).collect()}
+    assert report == {"cut.pcap": (4, "broken"), "text.pcap": (0, "foreign")}
     assert len(rows) == 4 and {r.capture_id.rsplit("/", 1)[1] for r in rows} == {"cut.pcap"}
     with pytest.raises(FileNotFoundError):
         read_captures(spark, str(tmp_path / "missing.pcap"))
@@ -74,14 +76,35 @@ def test_reader_gaps_equal_window_gaps(spark, tmp_path):
 
 
 def test_landing_and_bounds(spark, tmp_path):
-    (tmp_path / "a.pcap").write_bytes(pcap([(i * 1_000_000, ethernet(0x0800, ip4(17, udp()))) for i in range(1, 11)]))
-    land_captures(spark, str(tmp_path / "a.pcap"), str(tmp_path / "landed"))
-    landed = spark.read.parquet(str(tmp_path / "landed"))
-    assert landed.count() == 10
-    assert bounded_capture(landed, packets=3).count() == 3
-    assert bounded_capture(landed, seconds=4).count() == 5
-    assert bounded_capture(landed, packets=2, seconds=4).agg({"packet_no": "max"}).first()[0] == 1
-    assert bounded_capture(landed, packets=0).count() == 10
+    for name, first in (("a", 1), ("b", 101)):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        packets = [((first + i) * 1_000_000, ethernet(0x0800, ip4(17, udp()))) for i in range(10)]
+        (tmp_path / "in" / f"{name}.pcap").write_bytes(pcap(packets))
+        for _ in range(2):  # a second run finds nothing new
+            landed = land_captures(spark, str(tmp_path / "in"), str(tmp_path / "landed"), str(tmp_path / "state"))
+            assert landed.count() == (10 if name == "a" else 20)
+    first = landed.where("ts_us < 100000000")
+    assert bounded_capture(first, packets=3).count() == 3
+    assert bounded_capture(first, seconds=4).count() == 5
+    assert bounded_capture(first, packets=2, seconds=4).agg({"packet_no": "max"}).first()[0] == 1
+    assert bounded_capture(first, packets=0).count() == 10
+
+
+def test_sparse_and_broken_captures(spark, tmp_path):
+    sparse = [(i * 100_000_000_000, FRAME + bytes([i % 251]) * 40) for i in range(1, 401)]
+    (tmp_path / "sparse.pcap").write_bytes(pcap(sparse))
+    check(read_captures(spark, str(tmp_path / "sparse.pcap"), 4_000, previous=True), sparse)
+    data = bytearray(pcap(packets(400)))
+    at = 24
+    for _ in range(200):
+        at += 16 + struct.unpack_from("<I", data, at + 8)[0]
+    struct.pack_into("<I", data, at + 8, 0xFFFFFF)
+    (tmp_path / "broken.pcap").write_bytes(data)
+    for split in (9_000, 1 << 26):
+        index = capture_index(capture_files(spark, str(tmp_path / "broken.pcap")), split)
+        assert [tuple(r)[1:] for r in capture_report(index).collect()] == [(200, "broken", len(data) - at)]
+    with pytest.raises(ValueError, match="broken"):
+        read_captures(spark, str(tmp_path), strict=True)
 
 
 def test_unsupported_suffix(spark, tmp_path):

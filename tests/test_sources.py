@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.operators.alerts import ALERT_FIELDS, project_alerts, render_alerts
-from packetloom.operators.joins import join_lookup
 from packetloom.plans.extract import load_input
 from packetloom.plans.prepare import combine_sources, prepare_dataset
 from packetloom.session import checkpoint_root, checkpointed, materialize, release_scratch, scratch_path
@@ -99,15 +98,6 @@ def test_lineage_helpers(spark):
     assert not path_exists(spark, scratch_path(spark))
 
 
-def test_join_lookup_broadcasts_only_small_tables(spark):
-    large, small = spark.range(100), spark.range(10).withColumn("v", F.lit(1))
-    near = join_lookup(large, small, ["id"], row_bytes=16)
-    far = join_lookup(large, small, ["id"], row_bytes=1 << 30)
-    assert near.count() == far.count() == 10
-    plan = near._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in plan and "broadcast" not in far._jdf.queryExecution().analyzed().toString()
-
-
 @pytest.fixture(scope="module")
 def scored(spark):
     rows = [
