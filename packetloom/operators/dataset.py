@@ -127,8 +127,9 @@ def balance_labels(
 
 
 def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
-    """Rows in a seeded pseudo-random order."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns))
+    """Rows in a seeded pseudo-random order; copies of one row are spread over it like any others."""
+    numbered = number_copies(df)
+    return numbered.orderBy(F.xxhash64(F.lit(seed), *numbered.columns)).drop(COPY_COLUMN)
 
 
 def assign_folds(

@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 from packetloom.operators.clean import require_no_text, text_or_null
 from packetloom.operators.dataset import combine
 from packetloom.schema import FEATURE_SCHEMA, LABEL
+from packetloom.session import materialize
 from packetloom.sources.files import list_files, open_binary
 from packetloom.sources.paths import is_directory, path_exists
 
-MAX_HEADERS = 1_000
 _KNOWN_TYPES = {f.name: f.dataType for f in FEATURE_SCHEMA} | {LABEL: T.IntegerType()}
 
 
@@ -51,8 +51,7 @@ def load_text(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
     """One CSV file, or all ``*.csv`` directly inside a directory, united by column name, as text.
 
     Files are grouped by identical header, since one reader binds columns by position.
-    Headers are read in tasks; only the distinct ones reach the driver, with their file
-    lists when there are several.
+    Headers are read in tasks, once per file; the driver gets the distinct ones with their paths.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
@@ -60,10 +59,9 @@ def load_text(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
         files = list_files(spark, path, "*.csv").select("path")
     else:
         files = spark.createDataFrame([(path,)], "path STRING")
-    headers = files.mapInPandas(_headers, "path STRING, header ARRAY<STRING>")
-    distinct = headers.groupBy("header").agg(F.min("path").alias("first")).limit(MAX_HEADERS + 1).collect()
-    if len(distinct) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers in {path}")
+    headers = materialize(files.mapInPandas(_headers, "path STRING, header ARRAY<STRING>"), "headers")
+    # One reader per distinct header, so the paths of each are needed here, once.
+    distinct = headers.groupBy("header").agg(F.min("path").alias("first"), F.collect_list("path").alias("paths")).collect()
     if not distinct:
         raise ValueError(f"no CSV files in {path}")
     for row in distinct:
@@ -73,9 +71,7 @@ def load_text(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
         return _read(spark, path, distinct[0].header, infer)
     tables = []
     for row in sorted(distinct, key=lambda r: r.first):
-        same = headers.filter(F.col("header") == F.array(*[F.lit(name) for name in row.header]))
-        paths = sorted(r.path for r in same.select("path").collect())
-        tables.append(_read(spark, paths, row.header, infer))
+        tables.append(_read(spark, sorted(row.paths), row.header, infer))
     return combine(tables)
 
 

@@ -3,7 +3,6 @@ from __future__ import annotations
 import os
 import sys
 
-import numpy as np
 import pandas as pd
 import pytest
 
@@ -34,10 +33,10 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def labelled_rows() -> pd.DataFrame:
-    """Two well separated classes in three features."""
-    draw = np.random.default_rng(42)
-    points = np.r_[draw.normal(0, 0.3, (10, 3)), draw.normal(3, 0.3, (10, 3))]
-    return pd.DataFrame(points, columns=["f1", "f2", "f3"]).assign(label=[0] * 10 + [1] * 10)
+    """Fourteen calm and twelve busy links on a fixed grid; each feature tells the classes apart."""
+    calm = [(1 + i % 5 / 10, 2 + i % 3 / 5, i % 7 / 8, -1 - i % 2 / 4) for i in range(14)]
+    busy = [(6 + i % 4 / 10, 8 + i % 5 / 5, 4 + i % 3 / 8, 3 + i % 6 / 9) for i in range(12)]
+    return pd.DataFrame(calm + busy, columns=["rate", "size", "spread", "burst"]).assign(label=[0] * 14 + [1] * 12)
 
 
 @pytest.fixture(scope="session")

@@ -140,5 +140,5 @@ def test_combine_and_dedup(spark):
 
 
 def test_normal_only(labelled):
-    assert dataset.normal_only(labelled).count() == 10
-    assert dataset.count_dropped(labelled) == 10
+    assert dataset.normal_only(labelled).count() == 14
+    assert dataset.count_dropped(labelled) == 12

@@ -16,7 +16,7 @@ def test_train(spark, labelled, labelled_rows, tmp_path):
     labelled_rows.to_csv(tmp_path / "in.csv", index=False)
     out = str(tmp_path / "model")
     model, metrics = train_model(spark, "random_forest", str(tmp_path / "in.csv"), out, trees=5)
-    assert model.training_rows == 16 and model.training_dataset.endswith("in.csv")
+    assert model.training_rows == 20 and model.training_dataset.endswith("in.csv")
     assert set(metrics) == {"accuracy", "precision", "recall", "f1_score", "roc_auc"}
     train_model(spark, "autoencoder", labelled, out, epochs=2)
     assert len([p for p in tmp_path.iterdir() if p.name.startswith("model")]) == 2  # never replaced
