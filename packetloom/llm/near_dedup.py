@@ -197,7 +197,9 @@ def _partners(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     sketches = np.stack(rows.sketch.to_list()).view(np.uint64)
     block, sizes, groups = rows.block.to_numpy(), rows.n_shingles.to_numpy(), rows.component.to_numpy()
     limit = most_differing_bits(percent)
-    found = [np.zeros((0, 2), np.int64)]
+    blocks = block.max() + 1
+    most = DENSE * np.bincount(block, minlength=blocks)
+    counts, chosen, found = np.zeros(blocks, np.int64), np.zeros(len(rows), bool), [np.zeros((0, 2), np.int64)]
     at = np.arange(len(rows) - 1)
     for lag in range(1, len(rows)):
         at = at[at < len(rows) - lag]
@@ -207,11 +209,14 @@ def _partners(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         pairs = at[groups[at] != groups[at + lag]]
         for part in np.array_split(pairs, range(1 << 15, len(pairs), 1 << 15)):
             near = part[np.bitwise_count(sketches[part] ^ sketches[part + lag]).sum(axis=1, dtype=np.int64) <= limit]
+            chosen[near] = chosen[near + lag] = True
+            counts += np.bincount(block[near], minlength=blocks)
+            # A block beyond its bound will return rows, so its pairs need not be held.
+            near = near[counts[block[near]] <= most[block[near]]]
             found.append(np.stack([near, near + lag], axis=1))
+    members = np.flatnonzero(chosen)
+    dense = counts > DENSE * np.bincount(block[members], minlength=blocks)
     pairs = np.concatenate(found)
-    members = np.unique(pairs)
-    blocks = block.max() + 1
-    dense = np.bincount(block[pairs[:, 0]], minlength=blocks) > DENSE * np.bincount(block[members], minlength=blocks)
     few = pairs[~dense[block[pairs[:, 0]]]]
     many = rows.iloc[members[dense[block[members]]]].assign(other=pd.NA)[_FOUND]
     nodes = rows.node.to_numpy()
