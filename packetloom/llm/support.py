@@ -48,19 +48,17 @@ def labelled_sample(
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.col(label).cast("int")).alias("label")
     )
-    start = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - chars + 1))
-    usable = F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out)
-    rows = materialize(
-        docs.where(usable)
-        .select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(label), "doc_id", "text").alias("rank"),
-                F.substr("text", start, F.lit(chars)).alias("text"))
-        .join(marks, "doc_id"),
-        "labelled",
-    )
+    usable = docs.where(F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
+    ids = usable.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rows = materialize(ids.join(marks, "doc_id"), "labelled")
     totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    order = W.partitionBy("label").orderBy("rank", "doc_id", "text")
-    drawn = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("text", "label", "rank")
-    return [(r.text.encode(), r.label) for r in sorted(drawn.collect(), key=lambda r: (r.rank, r.text))], totals
+    order = W.partitionBy("label").orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id")
+    drawn = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).drop("n")
+    # Two times per_label ids at most: only their texts are looked up, in a join that moves no other text.
+    start = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - chars + 1))
+    passages = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.substr("text", start, F.lit(chars)).alias("text"))
+    found = passages.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    return [(r.text.encode(), r.label) for r in sorted(found, key=lambda r: r.doc_id * 0x9E3779B1 % (1 << 32))], totals
 
 
 def text_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:

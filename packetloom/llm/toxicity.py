@@ -17,20 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.shingles import LOWER, hashes_from, joined, mix, running_sums, word_spans
+from packetloom.llm.shingles import LOWER, hashes_from, joined, mix, running_sums, shingle_sets, word_spans
 from packetloom.llm.support import fold_of, labelled_sample, text_blocks, texts_of
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: The sample that the field learns from: documents of each label, and characters of each from a place that its hash names.
-TEXTS_PER_LABEL, SAMPLE_CHARS = 1000, 8000
+TEXTS_PER_LABEL, SAMPLE_CHARS = 1500, 3000
 TABLE_BITS = 18
-PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
+PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (3, 4)
 # A feature marks toxic tokens if it is this many times more frequent among toxic documents.
 ODDS = 15.0
 SEGMENT = 32
 EPOCHS, BATCH, RATE, DECAY = 4, 256, 0.05, 1e-5
 _SPAN = 64
+_ORDERS = np.random.default_rng(40).integers(0, 1 << 64, 3, np.uint64) | np.uint64(1)
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[33:48] = _PUNCTUATION[58:65] = _PUNCTUATION[91:97] = _PUNCTUATION[123:127] = True
 
@@ -55,7 +56,7 @@ def features(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarr
     """Table places of the word, its beginnings and its ends, a row per word; 0 where it is too short."""
     sums = running_sums(data)
     sizes = ends - begins
-    out = np.zeros((len(begins), 1 + len(PREFIXES) + len(SUFFIXES)), np.int64)
+    out = np.zeros((len(begins), 1 + len(PREFIXES) + len(SUFFIXES)), np.int32)
     spans = [(begins, ends, None)]
     spans += [(begins, np.minimum(begins + k, ends), k) for k in PREFIXES]
     spans += [(np.maximum(ends - k, begins), ends, k) for k in SUFFIXES]
@@ -139,19 +140,40 @@ class Field:
         moves = (joint - seen)[:, inner].sum(axis=1).reshape(2, 2)
         return weights, moves, float(error[starts].sum())
 
-    def document_features(self, marginals: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """Strongest marginal and log expected number of likely toxic words, a row per text."""
+    def document_features(self, marginals: np.ndarray, words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Strongest marginal and log expected number of different likely toxic words, a row per text.
+
+        ``words`` tells words apart: one that a text repeats counts once, with its strongest marginal.
+        """
         out = np.zeros((len(firsts) - 1, 3))
         out[:, 0] = 1
         filled = np.flatnonzero(firsts[1:] > firsts[:-1])
         if len(filled):
-            cuts = firsts[filled]
-            out[filled, 1] = np.maximum.reduceat(marginals, cuts)
-            out[filled, 2] = np.log1p(np.add.reduceat(np.where(marginals >= 0.5, marginals, 0), cuts))
+            out[filled, 1] = np.maximum.reduceat(marginals, firsts[filled])
+        hot = np.flatnonzero(marginals >= 0.5)
+        text = np.searchsorted(firsts, hot, "right") - 1
+        order = np.lexsort((-marginals[hot], words[hot], text))
+        hot, text = hot[order], text[order]
+        new = np.ones(len(hot), bool)
+        new[1:] = (text[1:] != text[:-1]) | (words[hot[1:]] != words[hot[:-1]])
+        out[:, 2] = np.log1p(np.bincount(text[new], marginals[hot[new]], len(out)))
         return out
 
-    def scores(self, marginals: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.document_features(marginals, firsts) @ self.logistic))
+    def scores(self, marginals: np.ndarray, words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.document_features(marginals, words, firsts) @ self.logistic))
+
+
+def _without_copies(sample: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
+    """One text of each group of near copies, as far as any of three smallest shingles tells: a copied
+    text would make all its words look typical of its label."""
+    seen: set[tuple[int, int, int]] = set()
+    kept = []
+    for (text, label), shingles in zip(sample, shingle_sets([t for t, _ in sample], 5)):
+        marks = {(label, i, int((shingles * factor).min())) for i, factor in enumerate(_ORDERS)} if len(shingles) else set()
+        if not marks & seen:
+            kept.append((text, label))
+        seen |= marks
+    return kept
 
 
 def _weak_tags(places: np.ndarray, text: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -160,10 +182,13 @@ def _weak_tags(places: np.ndarray, text: np.ndarray, labels: np.ndarray) -> np.n
     counts = []
     for label in (0, 1):
         held = labels[text] == label
-        pairs = np.unique((text[held, None] << TABLE_BITS | places[held]).ravel())
-        counts.append(np.bincount(pairs & ((1 << TABLE_BITS) - 1), minlength=1 << TABLE_BITS))
+        count = np.zeros(1 << TABLE_BITS, np.int64)
+        for column in range(places.shape[1]):
+            pairs = np.unique(text[held] << TABLE_BITS | places[held, column])
+            count += np.bincount(pairs & ((1 << TABLE_BITS) - 1), minlength=1 << TABLE_BITS)
+        counts.append(count)
     others, toxic = counts
-    least = max(2, totals[1] // 100)
+    least = max(2, totals[1] // 75)
     marked = (toxic >= least) & (toxic * totals[0] >= ODDS * (others + 0.5) * totals[1])
     marked[0] = False
     return marked[places].any(axis=1) & (labels[text] == 1)
@@ -189,6 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
 
 def fit(sample: list[tuple[bytes, int]], totals: dict[int, int]) -> Field:
     """A field from texts with labels, both of which occur; ``totals`` are the labels' true shares."""
+    sample = _without_copies(sample)
     marks = np.array([label for _, label in sample])
     data, begins, ends, firsts = words_of([text for text, _ in sample])
     places = features(data, begins, ends)
@@ -220,7 +246,7 @@ def fit(sample: list[tuple[bytes, int]], totals: dict[int, int]) -> Field:
             field.first -= 2.0 * opening / max(1, begin.sum())
         draw.shuffle(chosen)
     share = np.array([totals[0], totals[1]]) / np.bincount(marks, minlength=2)
-    x = field.document_features(field.marginals(places, starts), firsts)
+    x = field.document_features(field.marginals(places, starts), places[:, 0], firsts)
     field.logistic = _logistic(x, marks, share[marks] / share.min())
     return field
 
@@ -257,8 +283,9 @@ def _predict(field: Field | None):
                     data, begins, ends, firsts = words_of(texts)
                     starts = np.zeros(len(begins), bool)
                     starts[firsts[:-1][np.diff(firsts) > 0]] = True
-                    marginals = field.marginals(features(data, begins, ends), starts)
-                    scores = field.scores(marginals, firsts)
+                    places = features(data, begins, ends)
+                    marginals = field.marginals(places, starts)
+                    scores = field.scores(marginals, places[:, 0], firsts)
                     offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
                     spans = _spans(data, begins, ends, firsts, marginals, offsets)
                 ids = batch.column("doc_id").slice(at, len(texts))
