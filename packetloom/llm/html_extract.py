@@ -138,10 +138,11 @@ def layout(draw: np.random.Generator, words: list[str]) -> str:
 
 def learn(pages: DataFrame) -> BoostedTrees:
     """Trees from a bounded sample of pages by hash, and from layouts made of their words."""
-    rows = (
-        pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
-        .select("html", F.xxhash64("page_id", "html").alias("rank")).orderBy("rank", "html").limit(SAMPLE_PAGES).collect()
-    )
+    usable = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("html", F.xxhash64("html").alias("rank"))
+    # The smallest ranks first, without their pages: so a task sends numbers and not its candidates.
+    ranks = [r.rank for r in usable.select("rank").distinct().orderBy("rank").limit(SAMPLE_PAGES).collect()]
+    rows = usable.where(F.col("rank") <= max(ranks, default=0)).groupBy("rank").agg(F.min("html").alias("html")).collect()
+    rows = sorted(rows, key=lambda r: r.rank) if ranks else []
     return fit([r.html for r in rows])
 
 
