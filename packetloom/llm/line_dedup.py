@@ -29,28 +29,32 @@ def _filled(text: Column) -> Column:
     return F.filter(numbered, lambda row: row["line"].rlike(_WORD))
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, at, a, b``: every window of three filled lines; ``at`` numbers filled lines."""
+def windows(docs: DataFrame, short_texts: bool = False) -> DataFrame:
+    """``doc_id, text_key, at, a, b``: every window of three filled lines; ``at`` numbers filled lines.
+
+    With ``short_texts`` the one or two filled lines of a shorter text are a window, too, which only
+    another text of as many lines can repeat.
+    """
     hashed = F.transform(
         _filled(F.col("text")),
         lambda row: F.struct(F.xxhash64(row["line"]).alias("x"), F.xxhash64(F.lit(9), row["line"]).alias("y")),
     )
 
     def runs(rows: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(rows) - (LINES - 1))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(rows) - (LINES - 1), F.lit(1)))
         return F.transform(starts, lambda at: F.slice(rows, at, LINES))
 
     # The array is bound once, as the element of a one-element array.
-    cut = F.when(F.size(hashed) >= LINES, F.transform(F.array(hashed), runs)[0])
+    cut = F.when(F.size(hashed) >= (1 if short_texts else LINES), F.transform(F.array(hashed), runs)[0])
     return (
         docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(cut).alias("at", "run"))
-        .select("doc_id", "text_key", "at", F.xxhash64("run.x").alias("a"), F.xxhash64("run.y").alias("b"))
+        .select("doc_id", "text_key", "at", F.xxhash64(F.size("run"), "run.x").alias("a"), F.xxhash64(F.size("run"), "run.y").alias("b"))
     )
 
 
-def covered(docs: DataFrame) -> DataFrame:
+def covered(docs: DataFrame, short_texts: bool = False) -> DataFrame:
     """``doc_id, text_key, marks``: first filled lines of the windows to remove, for documents that have any."""
-    found = materialize(windows(docs), "line-windows")
+    found = materialize(windows(docs, short_texts), "line-windows")
     place = F.struct("doc_id", "text_key", "at")
     repeated = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
     later = found.join(repeated.select("a", "b", "first"), ["a", "b"]).where(
@@ -63,9 +67,9 @@ def covered(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("marks"))
 
 
-def _reduced(docs: DataFrame) -> DataFrame:
+def _reduced(docs: DataFrame, short_texts: bool) -> DataFrame:
     """``_row`` (all columns), ``_text`` (what remains), ``_lines`` and ``_removed``."""
-    marks = covered(docs.select("doc_id", "text")).toDF("_id", "_key", "_marks")
+    marks = covered(docs.select("doc_id", "text"), short_texts).toDF("_id", "_key", "_marks")
     rows = docs.select(whole_row(docs).alias("_row"), F.col("text").alias("_text"))
     same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_key"))
     filled = _filled(F.col("_text"))
@@ -73,7 +77,7 @@ def _reduced(docs: DataFrame) -> DataFrame:
     def dropped(lines: Column) -> Column:
         """Positions in the text of the lines that the marked windows cover."""
         covers = F.flatten(F.transform("_marks", lambda s: F.array(*[s + i for i in range(LINES)])))
-        return F.transform(F.array_distinct(covers), lambda n: F.get(lines, n)["at"])
+        return F.transform(F.filter(F.array_distinct(covers), lambda n: n < F.size(lines)), lambda n: F.get(lines, n)["at"])
 
     gone = F.transform(F.array(filled), dropped)[0]
     return (
@@ -89,27 +93,29 @@ def _restored(columns: list[str], **changed: Column) -> list[Column]:
     return [changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns]
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short_texts: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``text`` reduced to its remaining lines, and ``n_lines`` (lines that
     held a word) and ``n_removed``.
 
     Lines without a word are never part of a window and stay; a line survives unless a later
     occurrence of a repeated window covers it.  NULL texts stay NULL with 0 lines.  Texts of fewer
-    than three filled lines have no window and stay as they are.  Rows that repeat a document (same id
+    than three filled lines have no window and stay as they are, copies included, unless ``short_texts``
+    makes a window of all their lines (``ORACLE`` is the form without).  Rows that repeat a document (same id
     and text) count as one, and all stay alike.  A window that occurs twice in one text loses the later
     occurrence, too.  Columns named like the results are replaced; an empty table gives an empty table.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    reduced = _reduced(docs)
+    reduced = _reduced(docs, short_texts)
     return reduced.select(
         *_restored(columns, text=F.col("_text")), F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed")
     )
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, short_texts: bool = False) -> DataFrame:
     """``docs`` with reduced texts (and ``n_chars``, where there is one, brought up to date), without the
-    documents that lost every line that held a word; their columns stay as they are."""
-    reduced = _reduced(docs).where("_removed = 0 or _removed < _lines")
+    documents that lost every line that held a word; their columns stay as they are.  ``short_texts`` as
+    in :func:`dedup_lines`."""
+    reduced = _reduced(docs, short_texts).where("_removed = 0 or _removed < _lines")
     changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         size = F.when(F.col("_removed") > 0, F.length("_text")).otherwise(F.col("_row.n_chars"))

@@ -10,7 +10,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from packetloom.llm import byte_cnn, decontaminate, near_dedup, packing, pii, pii_detect, shingles, toxicity
+from packetloom.llm import byte_cnn, decontaminate, line_dedup, near_dedup, packing, pii, pii_detect, shingles, toxicity
 from packetloom.llm.boosted_trees import BoostedTrees
 from packetloom.llm.components import components
 
@@ -214,6 +214,19 @@ def test_decontamination_equals_brute_force(spark):
     assert {(r.doc_id, r.item_id, r.n_covered) for r in found.collect()} == want
 
 
+def test_copies_of_short_texts_lose_their_lines(spark):
+    texts = [(1, "only line"), (2, "only line"), (3, "only line\n \n"), (4, "one\ntwo"), (5, "one\n\ntwo"), (6, "two\none"), (7, "one\ntwo\nthree"),
+             (8, "one\ntwo\nthree"), (9, "only line\nonly line"), (None, "one\ntwo"), (2, "only line"), (10, " "), (11, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    lost = {(2, ""), (3, " \n"), (5, ""), (8, ""), (4, "")}
+    rows = line_dedup.dedup_lines(df, short_texts=True).collect()
+    kept = {(i, t) for i, t in texts if i not in (2, 3, 4, 5, 8)}
+    assert {(r.doc_id, r.text) for r in rows} == kept | lost and len(rows) == len(texts)
+    assert all(r.n_removed == (r.n_lines if (r.doc_id, r.text) in lost else 0) for r in rows)
+    assert {r.doc_id for r in line_dedup.drop_repeated_lines(df, short_texts=True).collect()} == {i for i, _ in kept}
+    assert {r.doc_id for r in line_dedup.dedup_lines(df).where("n_removed > 0").collect()} == {8}
+
+
 def test_surrogates_keep_type_and_stay_distinct(spark):
     lines = [f"Mail person{i}@firm{i % 5}.example.org or call +1 ({200 + i}) 555-{1000 + i}; card 4111 1111 1111 {1000 + i}." for i in range(60)]
     lines += ["Mr. John Smith met Dr. Anna Weber. Later Mr Smith left.", "Mr. JOHN SMITH; Mr. John Smith again, PERSON1@firm1.example.org", "Call +1 200 555 1000 now."]
