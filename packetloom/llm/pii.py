@@ -5,6 +5,9 @@ on it without asking each other and all mentions of one thing get the same one,
 Distinctness needs the corpus: the distinct entities are drawn together, and an entity whose surrogate
 another one has, or that is itself some entity, draws again.  Attempts beyond the first are rare; only
 they are brought to the documents that mention them.
+
+A name is one entity in whatever place it stands: the corpus decides whether it counts as a given name
+(and of which gender) or as a surname, and all names of a script share one pool of surrogates.
 """
 
 from __future__ import annotations
@@ -13,9 +16,10 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.pii_detect import GIVEN_NAMES, detect, script_of
@@ -37,6 +41,8 @@ SURNAMES = {
     "cyrillic": "Иванов Смирнов Кузнецов Попов Соколов Лебедев Козлов Новиков Морозов Волков".split(),
 }
 _DIGITS = frozenset(("phone", "card", "ssn"))
+_LETTERS = ("abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "абвгдежзийклмнопрстуфхцчшщъыьэюяё")
+_NAME = r"^(given-.|surname)-"
 
 
 class _Draw:
@@ -83,6 +89,14 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+@lru_cache(maxsize=1024)
+def _initial(letter: str, key: bytes) -> str:
+    """The letter after ``letter`` in a keyed circle of its alphabet: another one, and for each letter a different one."""
+    letters = next(a for a in _LETTERS if letter in a)
+    circle = sorted(letters, key=lambda c: hmac.new(key, b"initial\x1f" + c.encode(), hashlib.sha256).digest())
+    return circle[(circle.index(letter) + 1) % len(circle)]
+
+
 def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
     """The canonical form that replaces ``norm``: same kind, length and format, gender and script."""
     draw = _Draw(key, kind, norm, str(attempt))
@@ -113,6 +127,8 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
     if kind == "secret":
         return _shaped(draw, norm)
     part, *gender, script = kind.split("-")
+    if part == "initial":
+        return _initial(norm, key)
     names = SURNAMES[script] if part == "surname" else [
         n for g in ("f", "m") for n in GIVEN_NAMES[g] if gender[0] in (g, "u") and script_of(n) == script
     ]
@@ -127,26 +143,27 @@ def rendered(kind: str, raw: str, replacement: str) -> str:
     if replacement.startswith("["):
         return replacement
     if kind in _DIGITS:
-        digits = iter(replacement)
+        # A phone number without its country code takes what follows the code.
+        digits = iter(replacement[-sum(c.isdigit() for c in raw) :])
         return "".join(next(digits) if c.isdigit() else c for c in raw)
     if kind == "iban":
         signs = iter(replacement)
         return "".join(c if c == " " else next(signs) for c in raw)
     if kind == "email":
         return "".join(b.upper() if a.isupper() else b for a, b in zip(raw, replacement)) if len(raw) == len(replacement) else replacement
-    if kind.startswith(("given", "surname")):
+    if kind.startswith(("given", "surname", "initial")):
         return replacement.upper() if len(raw) > 1 and raw.isupper() else replacement[:1].upper() + replacement[1:]
     return replacement
 
 
 def _entities(rows: DataFrame) -> DataFrame:
-    """``id, text_key, kind, norm``: each entity once per text."""
+    """``id, text_key, kind, norm``: each entity once per text and kind (initials need no table)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for doc_id, key, text in zip(*(batch.column(c) for c in ("id", "text_key", "text"))):
-                found = {(m.kind, m.norm) for m in detect(text.as_py())}
+                found = {(m.kind, m.norm) for m in detect(text.as_py()) if not m.kind.startswith("initial")}
                 out.extend((doc_id.as_py(), key.as_py(), *pair) for pair in found)
             ids, keys, kinds, norms = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -169,22 +186,45 @@ def _drawn(entities: DataFrame, key: bytes) -> DataFrame:
     return entities.mapInArrow(run, "kind string, norm string, attempt int, surrogate string")
 
 
+def _pool(kind: Column) -> Column:
+    """What surrogates are distinct in: the kind, for names all names of the script."""
+    return F.regexp_replace(kind, _NAME, "name-")
+
+
+def _settled(mentioned: DataFrame) -> DataFrame:
+    """``kind, norm, mixed``: one kind for each entity, and whether texts say others.
+
+    A name counts as what more texts have it as, a surname in a tie; its gender is the one that its given
+    names list or titles say, none if they say both.
+    """
+    kind, last = F.col("kind"), F.max("kind")  # of both, the name of surnames is the last
+    male, female = F.bool_or(kind.startswith("given-m-")), F.bool_or(kind.startswith("given-f-"))
+    gender = F.when(male & ~female, "m").when(female & ~male, "f").otherwise("u")
+    given = F.concat(F.lit("given-"), gender, F.lit("-"), F.substring_index(last, "-", -1))
+    more = F.count_if(kind.startswith("given-")) > F.count_if(kind.startswith("surname-"))
+    return mentioned.groupBy(_pool(kind).alias("pool"), "norm").agg(
+        F.when(more, given).otherwise(last).alias("kind"), (F.min("kind") != last).alias("mixed")
+    ).select("kind", "norm", "mixed")
+
+
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
-    """``kind, norm, attempt, surrogate`` with distinct surrogates per kind that are no entity of that kind.
+    """``kind, norm, attempt, surrogate`` with distinct surrogates per kind (of all names together) that are
+    no entity of that kind.
 
     Each round, of the entities that drew the same surrogate the one with fewest attempts (then the
     smallest) keeps it and the others draw again; rounds end when none has to.
     """
-    names = entities.select("kind", F.col("norm").alias("surrogate"))
+    pool, place = _pool(F.col("kind")).alias("pool"), F.struct("attempt", "norm", "kind")
+    names = entities.select(pool, F.col("norm").alias("surrogate")).distinct()
     drawn = materialize(_drawn(entities.select("kind", "norm", F.lit(0).alias("attempt")), key), "surrogates")
     while True:
-        first = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n"))
-        taken = first.join(names.withColumn("_is", F.lit(True)), ["kind", "surrogate"], "left")
-        clash = taken.where((F.col("n") > 1) | F.col("_is")).select("kind", "surrogate", "first", "_is")
+        first = drawn.groupBy(pool, "surrogate").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+        taken = first.join(names.withColumn("_is", F.lit(True)), ["pool", "surrogate"], "left")
+        clash = taken.where((F.col("n") > 1) | F.col("_is")).select("pool", "surrogate", "first", "_is")
         judged = materialize(
-            drawn.join(clash, ["kind", "surrogate"], "left").select(
+            drawn.withColumn("pool", pool).join(clash, ["pool", "surrogate"], "left").select(
                 "kind", "norm", "attempt", "surrogate",
-                (F.col("_is").isNotNull() | (F.col("first").isNotNull() & (F.col("first.norm") != F.col("norm")))).alias("again"),
+                (F.col("_is").isNotNull() | (F.col("first").isNotNull() & (F.col("first") != place))).alias("again"),
             ),
             "judged",
         )
@@ -205,11 +245,16 @@ def replace(docs: DataFrame, key: str = DEMONSTRATION_KEY) -> DataFrame:
     secret = key.encode()
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key"), "text")
     mentioned = materialize(_entities(rows.where(F.col("text").isNotNull())), "mentioned")
-    entities = materialize(mentioned.select("kind", "norm").distinct(), "entities")
-    later = assign(entities, secret).where("attempt > 0").select("kind", "norm", "attempt")
+    entities = materialize(_settled(mentioned), "entities")
+    pool = _pool(F.col("kind")).alias("pool")
+    later = (
+        assign(entities.select("kind", "norm"), secret)
+        .join(entities.where("mixed"), ["kind", "norm"], "left")
+        .where("attempt > 0 or mixed").select(pool, "norm", "kind", "attempt")
+    )
     overrides = materialize(
-        mentioned.join(later, ["kind", "norm"])
-        .groupBy("id", "text_key").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("attempts"))
+        mentioned.select("id", "text_key", pool, "norm").join(later, ["pool", "norm"])
+        .groupBy("id", "text_key").agg(F.collect_set(F.struct("pool", "norm", "kind", "attempt")).alias("attempts"))
         .withColumnsRenamed({"id": "_id", "text_key": "_key"}),
         "overrides",
     )
@@ -227,12 +272,13 @@ def _replacing(key: bytes):
             texts, entities = [], []
             for text, attempts in zip(batch.column("text"), batch.column("attempts")):
                 text, parts, at, found = text.as_py(), [], 0, []
-                tries = {(a["kind"], a["norm"]): a["attempt"] for a in attempts.as_py() or ()}
+                tries = {(a["pool"], a["norm"]): (a["kind"], a["attempt"]) for a in attempts.as_py() or ()}
                 for m in detect(text) if text else ():
-                    new = rendered(m.kind, text[m.start : m.end], surrogate(m.kind, m.norm, tries.get((m.kind, m.norm), 0), key))
+                    kind, attempt = tries.get((re.sub(_NAME, "name-", m.kind), m.norm), (m.kind, 0))
+                    new = rendered(kind, text[m.start : m.end], surrogate(kind, m.norm, attempt, key))
                     parts += [text[at : m.start], new]
                     at = m.end
-                    found.append({"kind": m.kind, "start": m.start, "end": m.end, "surrogate": new})
+                    found.append({"kind": kind, "start": m.start, "end": m.end, "surrogate": new})
                 texts.append("".join(parts) + text[at:] if text is not None else None)
                 entities.append(found)
             yield pa.RecordBatch.from_arrays(

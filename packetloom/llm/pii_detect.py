@@ -30,6 +30,7 @@ _HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])")
 _SECRET = re.compile(r"""(?:token|secret|passw(?:or)?d|api[_\-]?key)["']?\s*[=:]\s*["']?(?P<value>[A-Za-z0-9_\-+/=.]{8,})""", re.I)
 _SECRET_WORDS = ("token", "secret", "passw", "key")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_PIECE = re.compile(r"[^\-]+")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w’'\-]*")
 
 # Forms of address with the gender they say (u: none), and given names.
@@ -51,6 +52,7 @@ GIVEN_NAMES = {
     ).split(),
 }
 _GENDER = {name: gender for gender, names in GIVEN_NAMES.items() for name in names}
+_GENDER_OF = {name.lower(): gender for name, gender in _GENDER.items()}
 
 
 def script_of(word: str) -> str:
@@ -69,36 +71,69 @@ def _emails(text: str) -> list[Mention]:
     return found
 
 
+def _trimmed(word: str) -> str:
+    """A word without a possessive ending or trailing hyphens and apostrophes."""
+    word = word.rstrip("’'-")
+    return word[:-2] if word[-2:] in ("'s", "’s", "'S", "’S") else word
+
+
 def _names(text: str) -> list[Mention]:
+    """Names after a title or a given name, with all capitalised words and initials that follow, and every
+    other place where a part of one of them stands alone."""
     found: list[Mention] = []
-    words = list(_CAPITAL.finditer(text))
+    words = [(m.start(), _trimmed(m[0])) for m in _CAPITAL.finditer(text)]
+
+    def end(i: int) -> int:
+        return words[i][0] + len(words[i][1])
 
     def follows(i: int, dot: bool) -> bool:
+        """Whether the next word is a further part of what word ``i`` belongs to."""
         if i + 1 >= len(words):
             return False
-        between = text[words[i].end() : words[i + 1].start()]
+        between = text[end(i) : words[i + 1][0]]
         return between in ((" ", ". ", ".") if dot else (" ",))
 
-    def add(match: re.Match, kind: str) -> None:
-        found.append(Mention(match.start(), match.end(), f"{kind}-{script_of(match[0])}", match[0].lower()))
+    def part(i: int) -> bool:
+        word = words[i][1]
+        return word not in TITLES and (word != "I" or text[end(i) : end(i) + 1] == ".")
+
+    def add(start: int, word: str, kind: str) -> None:
+        found.append(Mention(start, start + len(word), f"{kind}-{script_of(word)}", word.lower()))
 
-    i = 0
+    i, alone = 0, []
     while i < len(words):
-        gender = TITLES.get(words[i][0])
-        if gender and follows(i, True):
-            i += 1
-            if follows(i, False) or words[i][0] in _GENDER:
-                add(words[i], f"given-{_GENDER.get(words[i][0], gender)}")
-                if follows(i, False):
-                    i += 1
-                    add(words[i], "surname")
+        first, gender = i, "u"
+        while words[first][1] in TITLES and follows(first, True):
+            gender = TITLES[words[first][1]] if gender == "u" else gender
+            first += 1
+        if not part(first) or first == i and not (words[i][1] in _GENDER and follows(i, False) and part(i + 1)):
+            alone += words[i : first + 1]
+            i = first + 1
+            continue
+        last = first
+        while follows(last, len(words[last][1]) == 1) and part(last + 1):
+            last += 1
+        full = [k for k in range(first, last + 1) if len(words[k][1]) > 1]
+        for k in range(first, last + 1):
+            start, word = words[k]
+            if k not in full:
+                add(start, word, "initial")
+            elif word.lower() in _GENDER_OF:
+                add(start, word, f"given-{_GENDER_OF[word.lower()]}")
             else:
-                add(words[i], "surname")
-        elif words[i][0] in _GENDER and follows(i, False):
-            add(words[i], f"given-{_GENDER[words[i][0]]}")
-            i += 1
-            add(words[i], "surname")
-        i += 1
+                add(start, word, f"given-{gender}" if k == full[0] and len(full) > 1 else "surname")
+        i = last + 1
+
+    own = {m.norm: m.kind.rsplit("-", 1)[0] for m in reversed(found) if not m.kind.startswith("initial")}
+    for start, word in alone if own else ():
+        if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+            continue
+        pieces = [(start, word)]
+        if word.lower() not in own:
+            pieces = [(start + m.start(), _trimmed(m[0])) for m in _PIECE.finditer(word)]
+        for at, piece in pieces:
+            if piece.lower() in own and piece[0].isupper():
+                add(at, piece, own[piece.lower()])
     return found
 
 
@@ -109,6 +144,8 @@ def detect(text: str) -> list[Mention]:
         for match in _NUMBER.finditer(text, cluster.start(), min(len(text), cluster.end() + 1)):
             kind, raw = match.lastgroup, match[0]
             norm = raw if kind == "ip" else "".join(c for c in raw if c.isdigit())
+            if kind == "phone" and not raw.startswith("+"):
+                norm = "1" + norm  # ten digits of North America, which may stand with +1 elsewhere
             found.append(Mention(match.start(), match.end(), kind, norm))
     found += [Mention(m.start(), m.end(), "secret", m[0]) for m in _HEX.finditer(text)]
     lowered = text.lower() if len(text.lower()) == len(text) else text

@@ -249,6 +249,39 @@ def test_surrogates_keep_type_and_stay_distinct(spark):
     assert pii.luhn(pii.surrogate("card", "4111111111111111", 0, b"k")) == 0
 
 
+def test_parts_of_names_and_numbers_keep_one_surrogate(spark):
+    lines = [
+        "Mary Smith met us. Later Smith left, and Mary's friend asked for SMITH's coat; Mary-Smith-Park.",
+        "John F. Kennedy spoke. I saw Kennedy. A fact.", "Juan Carlos Garcia Lopez came; Garcia and Lopez and Carlos sat down.",
+        "Mr Zed Smith called.", "Dr Zed Smith called, Zed said.", "Prof. Dr. J. R. Weber; Mr Kennedy Jones; Ms Taylor Green; Mr Baker",
+        "Call +1 (200) 555-1000 now.", "Call (200) 555-1000 now or 200-555-1000.", "Smith is a common word here, and I am F.",
+    ]
+    rows = {r.doc_id: r for r in pii.replace(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "k").collect()}
+    mapping = defaultdict(set)
+    for i, line in enumerate(lines):
+        for entity in rows[i].entities:
+            mapping[line[entity.start : entity.end].lower()].add(entity.surrogate.lower())
+    words = "mary smith john f kennedy juan carlos garcia lopez zed j r weber jones taylor green baker".split()
+    phones = [p for p in mapping if p[-1].isdigit()]
+    assert set(mapping) == {*words, *phones} and all(len(v) == 1 for v in mapping.values())
+    made = [next(iter(mapping[w])) for w in words if len(w) > 1]
+    assert len(set(made)) == len(made) and not set(made) & set(words)
+    assert all(next(iter(mapping[w])) != w and len(next(iter(mapping[w]))) == 1 for w in "fjr")
+    assert len(phones) == 3 and len({re.sub(r"\D", "", next(iter(mapping[p])))[-10:] for p in phones}) == 1
+    assert rows[6].text.startswith("Call +1 (") and rows[8].text == lines[8]
+    for i, gone in ((0, "mary smith"), (1, "john kennedy"), (2, "juan carlos garcia lopez"), (4, "zed smith")):
+        assert not set(re.findall(r"[a-z]+", rows[i].text.lower())) & set(gone.split())
+    kinds = {line[e.start : e.end].lower(): e.kind for i, line in enumerate(lines) for e in rows[i].entities}
+    assert kinds["zed"] == "given-m-latin" and kinds["kennedy"] == "surname-latin" and kinds["carlos"] == "given-m-latin"
+
+
+def test_names_of_all_kinds_share_one_pool(spark):
+    kinds = ("surname-latin", "given-m-latin", "given-f-latin", "given-u-latin")
+    entities = [(kinds[i % 4], f"name{i}") for i in range(120)] + [("given-f-latin", n.lower()) for n in pii.SURNAMES["latin"][:20]]
+    rows = pii.assign(spark.createDataFrame(entities, "kind string, norm string"), b"k").collect()
+    assert len({r.surrogate for r in rows}) == len(rows) == 140 and not {r.surrogate for r in rows} & {n for _, n in entities}
+
+
 def test_colliding_names_draw_again(spark):
     entities = spark.createDataFrame([("surname-latin", f"name{i}") for i in range(300)], "kind string, norm string")
     rows = pii.assign(entities, b"k").collect()
