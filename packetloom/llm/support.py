@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from packetloom.session import materialize
@@ -36,6 +35,14 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def _drawn(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+    """``per_label`` rows of each label, by a hash.  A top-k for each label, so that every task hands on
+    ``per_label`` ids at most; a window does so only for numbers up to a threshold of Spark's."""
+    order = F.xxhash64(F.lit(label), "doc_id"), F.col("doc_id")
+    zero, one = (rows.where(F.col("label") == value).orderBy(*order).limit(per_label) for value in (0, 1))
+    return zero.union(one)
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_label: int, chars: int
 ) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
@@ -52,8 +59,7 @@ def labelled_sample(
     ids = usable.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     rows = materialize(ids.join(marks, "doc_id"), "labelled")
     totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    order = W.partitionBy("label").orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id")
-    drawn = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).drop("n")
+    drawn = _drawn(rows, label, per_label)
     # Two times per_label ids at most: only their texts are looked up, in a join that moves no other text.
     start = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - chars + 1))
     passages = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.substr("text", start, F.lit(chars)).alias("text"))

@@ -8,7 +8,10 @@ from html import unescape
 import numpy as np
 import pytest
 
-from packetloom.llm import html_extract, language_id, quality_classifier, toxicity
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from packetloom.llm import html_extract, language_id, quality_classifier, support, toxicity
 from packetloom.llm.dom import block_text, parse
 from packetloom.llm.support import table
 
@@ -30,6 +33,16 @@ def ranking(scores, marks):
     return np.mean([(scores[marks == 0] < s).mean() + (scores[marks == 0] == s).mean() / 2 for s in scores[marks == 1]])
 
 
+def test_sample_is_a_top_k_of_each_label(spark):
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 5 == 0).cast("int").alias("label"))
+    drawn = support._drawn(rows, "toxic", 1500)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("TakeOrderedAndProject(limit=1500") >= 2
+    order = W.partitionBy("label").orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id")
+    want = rows.withColumn("n", F.row_number().over(order)).where("n <= 1500").drop("n")
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, want.collect())) and drawn.count() == 3000
+
+
 def test_languages_of_held_out_texts(docs):
     got = language_id.identify(docs, language_id.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in got if r.lang]) > 0.96
