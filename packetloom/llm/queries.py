@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, html_extract, language_id, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, toxicity
+from packetloom.llm import (
+    decontaminate,
+    html_extract,
+    language_id,
+    lexical_search,
+    line_dedup,
+    near_dedup,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    spelling,
+    substring_dedup,
+    toxicity,
+)
 from packetloom.llm.support import table
 
 
@@ -64,6 +78,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every text without passages of 400 bytes that also start elsewhere."""
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usual form and the root of every word."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_line_dedup,
         op10_benchmark_decontamination,
+        op11_suffix_array_dedup,
+        op12_spelling_variants,
+        op13_lexical_search,
     )
 }
 
@@ -84,4 +116,7 @@ ORACLE_SQL = {
     "op3_minhash_near_dedup": near_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op11_suffix_array_dedup": substring_dedup.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
