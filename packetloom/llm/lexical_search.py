@@ -1,9 +1,8 @@
 """Ranked lexical search of many queries at once, sharing what they have in common.
 
 All items of a block are evaluated over all documents in one pass.  Their terms are mined for shared sets:
-terms that occur in the same items (as often) are one node, and nodes that stand side by side in several
-items, ordered by how many items hold them, are paired into new nodes until no pair repeats.  The result is
-a graph in which every shared set is a sum of smaller ones.  Per document the partial score of each node is
+terms that occur in the same items (as often) are one node, and the nodes that most items hold together are
+paired into new nodes, round by round, until no pair is held by two items.  The result is a graph in which every shared set is a sum of smaller ones.  Per document the partial score of each node is
 accumulated once, level by level, and items add up the few nodes that cover them.
 
 Documents pass twice: once for their length and the frequencies of the block's terms, which are written, and
@@ -31,6 +30,8 @@ from packetloom.llm.support import materialize, text_blocks, texts_of
 TOP = 10
 # Terms of the items that are evaluated together, about; more items are further passes over the documents.
 BLOCK_TERMS = 200_000
+# Nodes of an item that are tried as partners of each of its nodes when shared sets are mined.
+NEAREST = 64
 # Partial scores that a task holds at a time.
 HELD = 1 << 22
 
@@ -82,37 +83,36 @@ def mine(rows: pd.DataFrame) -> pd.DataFrame:
         classes.setdefault(tuple(keys), []).append(atom)
     ordered = sorted(classes, key=lambda keys: (-len(keys), keys))
     out = [("atom", term, times, node) for node, keys in enumerate(ordered) for term, times in classes[keys]]
-    lists: dict[int, list[int]] = {}
-    for node, keys in enumerate(ordered):
-        for key in keys:
-            lists.setdefault(key, []).append(node)
-    nodes = len(ordered)
+    holding = {node: set(keys) for node, keys in enumerate(ordered)}
     level = 0
     while True:
-        counts = Counter(pair for held in lists.values() for pair in zip(held, held[1:]))
-        named: dict[tuple[int, int], int] = {}
-        level += 1
-        for key, held in lists.items():
-            found = [counts[pair] for pair in zip(held, held[1:])]
-            merged, at = [], 0
-            while at < len(held):
-                here = found[at] if at < len(found) else 0
-                # A pair is taken where it is as frequent as the pairs that overlap it.
-                if here > 1 and here >= max(found[at + 1 : at + 2], default=0):
-                    pair = held[at], held[at + 1]
-                    if pair not in named:
-                        named[pair] = nodes
-                        out.append(("pair", *pair, nodes))
-                        nodes += 1
-                    merged.append(named[pair])
-                    at += 2
-                else:
-                    merged.append(held[at])
-                    at += 1
-            lists[key] = merged
-        if not named:
+        lists: dict[int, list[int]] = {}
+        for node in sorted(holding, key=lambda n: (-len(holding[n]), n)):
+            for key in holding[node]:
+                lists.setdefault(key, []).append(node)
+        counts: Counter = Counter()
+        for held in lists.values():
+            shared = [node for node in held if len(holding[node]) > 1]
+            for lag in range(1, min(NEAREST, len(shared))):
+                counts.update((min(x), max(x)) for x in zip(shared, shared[lag:]))
+        taken: dict[int, set[int]] = {key: set() for key in lists}
+        low = len(holding)
+        for (left, right), times in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+            if times < 2:
+                break
+            keys = {k for k in holding[left] & holding[right] if not taken[k] & {left, right}}
+            if len(keys) > 1:
+                node = len(holding)
+                out.append(("pair", left, right, node))
+                holding[node] = keys
+                for rest in (left, right):
+                    holding[rest] -= keys
+                for key in keys:
+                    taken[key] |= {left, right, node}
+        if len(holding) == low:
             break
-        out.append(("round", level, nodes, 0))
+        level += 1
+        out.append(("round", level, len(holding), 0))
     out += [("item", key, 0, node) for key, held in lists.items() for node in held]
     return pd.DataFrame(out, columns=["part", "a", "b", "c"])
 
