@@ -1,8 +1,11 @@
 """Exact, seeded cuts of a table into parts of given sizes, independent of partitioning.
 
-Rows are ordered by a 32-bit hash of a unique key, ties by the key.  The driver sees one count per class;
-the histograms in which the cut points are found stay DataFrames, and the assignment is a join of the
-cut points by class and a projection, so no row is sorted or shuffled.
+Rows are ordered by a 32-bit hash of a unique key, ties by the key.  With few classes, one scan counts
+the rows of each class by the leading bits of their hash, which is all that reaches the driver; further scans
+look only into the counts that a boundary falls in, until few rows are left, and the boundaries are literals of
+a projection: no row is sorted, shuffled or joined.  With many classes or boundaries the histograms stay
+DataFrames and the boundaries come back by class, in a broadcast while their number allows it, else in a join
+that spreads large classes.
 """
 
 from __future__ import annotations
@@ -17,14 +20,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.functions.hashing import HASH_BITS, key_hash
+from packetloom.operators.skew import join_counted
 from packetloom.session import materialize
 
 # Copies of one row that one task produces at a time, and rows per partition of their table.
 COPY_CHUNK = 10_000
 PARTITION_ROWS = 1_000_000
 COPY_COLUMN = "copy_no"
-# Leading bits of the hash in the first histogram; at most 2 ** BUCKET_BITS rows per class.
+# Leading bits of the hash that a histogram on the driver refines at a time.
+STEP_BITS = 12
+# Classes and boundaries up to which the driver holds histograms and boundaries are literals.
+FEW_CLASSES = 16
+FEW_BOUNDS = 256
+# Rows around all boundaries that are read instead of refined.
+GATHER_ROWS = 20_000
+# Leading bits of the hash in the first histogram of many classes; at most 2 ** BUCKET_BITS rows per class.
 BUCKET_BITS = 16
+# Classes whose boundaries are broadcast; each is a few numbers.
+BROADCAST_CLASSES = 100_000
 
 Sizes = dict[object, list[int]]
 SizePlan = Callable[[dict[object, int]], Sizes]
@@ -61,8 +74,30 @@ def exact_cut(
     kind = T.IntegerType() if by is None else df.schema[by].dataType
     cls = F.lit(None).cast("int") if by is None else F.col(by)
     keyed = df.select(cls.alias("_cls"), key_hash(df, keys, seed).alias("_hash"), *[F.col(k).alias(n) for k, n in zip(keys, names)])
-    counts = {r["_cls"]: r["n"] for r in keyed.groupBy("_cls").agg(F.count(F.lit(1)).alias("n")).collect()}
-    planned = sizes(counts)
+    plain = all(isinstance(df.schema[k].dataType, T.AtomicType) for k in keys)
+    coarse = _histogram(keyed, STEP_BITS, None) if plain else None
+    if coarse is None:
+        counts = {r["_cls"]: r["n"] for r in keyed.groupBy("_cls").agg(F.count(F.lit(1)).alias("n")).collect()}
+    else:
+        counts = {c: sum(n for _, n in found) for c, found in coarse.items()}
+    wanted, skipped = _wanted(counts, sizes(counts))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if coarse is not None and len(wanted) <= FEW_BOUNDS:
+        row = [key_hash(df, keys, seed), *[F.col(k) for k in keys]]
+        types = [T.LongType(), *[df.schema[k].dataType for k in keys]]
+        points = _literal_points(keyed, names, coarse, wanted)
+        placed = F.lit(None).cast("int")
+        for value in counts:
+            own = F.lit(skipped[value])
+            for point in points.get(value, []):
+                own = own + _beyond(row, types, point).cast("int")
+            placed = own if by is None else F.when(cls.eqNullSafe(F.lit(value).cast(kind)), own).otherwise(placed)
+        return df.select(*columns, placed.cast("int").alias(part))
+    return _by_class(df, keyed, keys, names, seed, kind, cls, counts, wanted, skipped, part, columns)
+
+
+def _wanted(counts: dict[object, int], planned: Sizes) -> tuple[list[tuple[object, int, int]], Counter]:
+    """Boundaries as (class, index, rows below), and how many leading parts of a class are empty."""
     wanted, skipped = [], Counter()
     for value, rows in counts.items():
         if sum(planned[value]) != rows:
@@ -74,17 +109,101 @@ def exact_cut(
                 wanted.append((value, index, taken))
             elif not taken:
                 skipped[value] += 1
+    return wanted, skipped
+
+
+def _histogram(keyed: DataFrame, bits: int, inside: Column | None) -> dict[object, list[tuple[int, int]]] | None:
+    """Per class the rows by the leading ``bits`` of their hash, ascending; None if there are many classes."""
+    rows = keyed if inside is None else keyed.where(inside)
+    most = max(FEW_CLASSES << STEP_BITS, FEW_BOUNDS << STEP_BITS if inside is not None else 0)
+    counted = rows.groupBy("_cls", F.shiftright("_hash", HASH_BITS - bits).alias("_bucket")).agg(F.count(F.lit(1)).alias("n"))
+    found = counted.limit(most + 1).collect()
+    by_class: dict[object, list[tuple[int, int]]] = {}
+    for r in found:
+        by_class.setdefault(r["_cls"], []).append((r["_bucket"], r["n"]))
+    if len(found) > most or inside is None and len(by_class) > FEW_CLASSES:
+        return None
+    return {c: sorted(held) for c, held in by_class.items()}
+
+
+def _holding(histogram: list[tuple[int, int]], rank: int) -> tuple[int, int, int]:
+    """The bucket that holds the ``rank``-th row, the rank in it and its rows."""
+    for bucket, n in histogram:
+        if rank <= n:
+            return bucket, rank, n
+        rank -= n
+    raise ValueError("the rows changed between two scans")
+
+
+def _literal_points(keyed: DataFrame, names: list[str], coarse: dict, wanted: list) -> dict[object, list[tuple]]:
+    """The last ``(hash, key...)`` below each boundary, by class."""
+    if not wanted:
+        return {}
+    types = {f.name: f.dataType for f in keyed.schema}
+    bits = STEP_BITS
+    open_ = [(value, *_holding(coarse[value], rank)) for value, _, rank in wanted]
+
+    def inside() -> Column:
+        """Rows in the buckets that hold a boundary."""
+        found: dict[object, set[int]] = {}
+        for value, bucket, _, _ in open_:
+            found.setdefault(value, set()).add(bucket)
+        prefix = F.shiftright("_hash", HASH_BITS - bits)
+        condition = F.lit(False)
+        for value, buckets in found.items():
+            condition = condition | (F.col("_cls").eqNullSafe(F.lit(value).cast(types["_cls"])) & prefix.isin(sorted(buckets)))
+        return condition
+
+    while bits < HASH_BITS and sum(n for _, _, _, n in open_) > GATHER_ROWS:
+        step = min(STEP_BITS, HASH_BITS - bits)
+        finer = _histogram(keyed, bits + step, inside())
+        open_ = [
+            (value, *_holding([(b, n) for b, n in finer[value] if b >> step == bucket], rank)) for value, bucket, rank, _ in open_
+        ]
+        bits += step
+    order = [F.col(c).asc_nulls_first() for c in ("_hash", *names)]
+    rows = keyed.where(inside()).groupBy("_cls", "_hash", *names).agg(F.count(F.lit(1)).alias("n")).sort(*order).collect()
+    points: dict[object, list[tuple]] = {}
+    for value, bucket, rank, _ in open_:
+        for r in rows:
+            if r["_cls"] == value and r["_hash"] >> (HASH_BITS - bits) == bucket:
+                if rank <= r["n"]:
+                    if rank < r["n"]:
+                        raise ValueError("the key is not unique at a cut; number the copies first")
+                    points.setdefault(value, []).append((r["_hash"], *[r[n] for n in names]))
+                    break
+                rank -= r["n"]
+    return points
+
+
+def _beyond(row: list[Column], types: list[T.DataType], point: tuple) -> Column:
+    """Whether a row comes after ``point``; the keys are looked at where the hashes are equal only."""
+    keys = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(row[1:])])
+    last = F.struct(*[F.lit(v).cast(t).alias(f"_{i}") for i, (v, t) in enumerate(zip(point[1:], types[1:]))])
+    return (row[0] > F.lit(point[0])) | ((row[0] == F.lit(point[0])) & (keys > last))
+
+
+def _by_class(
+    df: DataFrame, keyed: DataFrame, keys: list[str], names: list[str], seed: int, kind: T.DataType, cls: Column,
+    counts: dict[object, int], wanted: list, skipped: Counter, part: str, columns: list[Column],
+) -> DataFrame:
+    """The assignment for many classes: boundaries are a table, one row per class."""
     points = _cut_points(keyed, names, kind, wanted)
-    empty = [(value, skipped[value]) for value in counts]
-    fields = T.StructType([T.StructField("_class", kind), T.StructField("_empty", T.IntegerType())])
-    known = df.sparkSession.createDataFrame(empty, fields)
+    fields = T.StructType([T.StructField("_class", kind), T.StructField("_empty", T.IntegerType()), T.StructField("_rows", T.LongType())])
+    known = df.sparkSession.createDataFrame([(value, skipped[value], rows) for value, rows in counts.items()], fields)
     if points is not None:
         known = known.join(points, F.col("_class").eqNullSafe(F.col("_cls")), "left").drop("_cls")
     row = F.struct(key_hash(df, keys, seed).alias("_hash"), *[F.col(k).alias(n) for k, n in zip(keys, names)])
-    marked = df.withColumns({"_own": cls, "_row": row})
-    joined = marked.join(known, F.col("_own").eqNullSafe(F.col("_class")))
+    marked = df.select(F.struct(*columns).alias("_all"), cls.alias("_own"), row.alias("_row"))
+    if len(counts) <= BROADCAST_CLASSES:
+        joined = marked.join(F.broadcast(known), F.col("_own").eqNullSafe(F.col("_class")))
+    else:
+        # A NULL class is named by an extra column, so that the join is by equality.
+        named = [F.col("_own").isNull().alias("_none"), F.coalesce(F.col("_own").cast("string"), F.lit("")).alias("_name")]
+        known = known.select("*", F.col("_class").isNull().alias("_none"), F.coalesce(F.col("_class").cast("string"), F.lit("")).alias("_name"))
+        joined = join_counted(marked.select("*", *named), ["_none", "_name"], materialize(known, "classes"), "_rows")
     passed = F.lit(0) if points is None else F.coalesce(F.size(F.filter("_points", lambda p: F.col("_row") > p)), F.lit(0))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_empty") + passed).cast("int").alias(part))
+    return joined.select(*[F.col(f"_all.`{c}`").alias(c) for c in df.columns], (F.col("_empty") + passed).cast("int").alias(part))
 
 
 def _cut_points(keyed: DataFrame, names: list[str], kind: T.DataType, wanted: list[tuple[object, int, int]]) -> DataFrame | None:

@@ -7,6 +7,8 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as entry
+from packetloom.plans.catalog import QUERIES
+from packetloom.plans.oracle import ORACLE_SQL
 
 TABLES = ("orders", "lineitem", "events", "labels", "embeddings")
 
@@ -23,10 +25,10 @@ def canonical(rows, order):
     return sorted((tuple("nan" if isinstance(r[i], float) and math.isnan(r[i]) else r[i] for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
-    df = entry.queries()[name](spark, SF_DIR)
-    cursor = duck.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_DIR)
+    cursor = duck.execute(ORACLE_SQL[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     names = sorted(columns)
@@ -35,9 +37,9 @@ def test_query_equals_sql(spark, duck, name):
     assert found == wanted and found
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.endswith("_scores")))
 def test_trained_models_score_every_row(spark, name):
-    df = entry.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     rows = df.collect()
     assert len(rows) == 1500 and {r.prediction for r in rows} <= {0, 1}
     assert all(r.score >= 0 for r in rows)
@@ -45,3 +47,8 @@ def test_trained_models_score_every_row(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 2
+
+
+def test_every_query_has_sql_or_scores():
+    assert {n for n in QUERIES if n not in ORACLE_SQL} == {n for n in QUERIES if n.endswith("_scores")}
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())

@@ -20,8 +20,13 @@ def keyed(spark):
 
 
 @pytest.mark.parametrize("bits", [1, 8, 16])
-def test_cut_equals_a_full_sort(keyed, monkeypatch, bits):
+@pytest.mark.parametrize("few", [0, 16])
+def test_cut_equals_a_full_sort(keyed, monkeypatch, bits, few):
+    """With boundaries as literals, after one or several histograms, and as a table."""
     monkeypatch.setattr(cut, "BUCKET_BITS", bits)
+    monkeypatch.setattr(cut, "STEP_BITS", bits)
+    monkeypatch.setattr(cut, "GATHER_ROWS", 10)
+    monkeypatch.setattr(cut, "FEW_CLASSES", few)
     out = exact_cut(keyed, ["id"], lambda counts: {c: [100, n - 350, 250] for c, n in counts.items()})
     parts = {r.id: r.part for r in out.collect()}
     order = key_order(range(3000))
@@ -39,6 +44,40 @@ def test_cut_by_class_whatever_the_partitioning(keyed):
     assert one != other
 
 
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return rows, plan[: plan.find("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+
+
+@pytest.mark.parametrize("by", [None, "label"])
+def test_few_classes_move_no_row(spark, tmp_path, by):
+    spark.range(0, 200_000, 1, 6).selectExpr("id", "cast(id % 3 as int) as label").write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    out = exact_cut(table, ["id"], lambda c: {k: [n // 5, n - n // 5] for k, n in c.items()}, by=by)
+    rows, plan = final_plan(out)
+    assert not any(word in plan for word in ("Exchange", "Join", "Sort", "Generate"))
+    assert Counter(r.part for r in rows)[0] in (40_000, 3 * (66_667 // 5) - 1, 39_999)
+
+
+def test_shuffle_has_no_range_sort(spark, keyed):
+    rows, plan = final_plan(dataset.shuffled(keyed.union(keyed)))
+    assert "rangepartitioning" not in plan and len(rows) == 6000
+    ids = [r.id for r in rows]
+    assert ids != sorted(ids) and abs(sum(ids[:600]) / 600 - 1500) < 150
+
+
+def test_many_classes_are_broadcast_and_more_are_joined(spark, keyed, monkeypatch):
+    table = keyed.selectExpr("id", "cast(if(id % 10 = 0, null, id % 50) as int) as label")
+    sizes = lambda c: {k: [n // 4, n - n // 4] for k, n in c.items()}
+    few, plan = final_plan(exact_cut(table, ["id"], sizes, by="label"))
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+    monkeypatch.setattr(cut, "BROADCAST_CLASSES", 3)
+    more = exact_cut(table, ["id"], sizes, by="label").collect()
+    assert {tuple(r) for r in more} == {tuple(r) for r in few} and len(more) == 3000
+
+
 def test_empty_parts_and_repeated_keys(spark, keyed):
     out = exact_cut(keyed, ["id"], lambda c: {k: [0, n, 0] for k, n in c.items()})
     assert {r.part for r in out.select("part").distinct().collect()} == {1}
