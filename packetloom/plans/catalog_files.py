@@ -159,20 +159,48 @@ def order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Packets that one capture file is cut at; a file's packets are sorted in one task.
+LOT_PACKETS = 100_000
+
+
+def _block(order: str, kind: int, body: bytes) -> bytes:
+    """A pcapng block: its length stands at both ends."""
+    body += bytes(-len(body) % 4)
+    size = struct.pack(order + "I", 12 + len(body))
+    return struct.pack(order + "I", kind) + size + body + size
+
+
+def _section(order: str) -> bytes:
+    """The beginning of a pcapng section with one Ethernet interface."""
+    return _block(order, 0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1)) + _block(order, 1, struct.pack(order + "HHI", 1, 0, 65535))
+
+
 def write_captures(frames: DataFrame, folder: str, prefix: str) -> None:
-    """A capture file per ``capture_id``, written by the task that holds its packets."""
+    """Capture files of at most ``LOT_PACKETS`` keys each, written by the tasks that hold their packets.
+
+    Odd captures are pcapng files of two sections, the first of little and the second of big byte order.
+    """
     make_directory(frames.sparkSession, folder)
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        path = f"{folder}/{prefix}{rows.capture_id.iloc[0]}.pcap"
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        capture, lot = key
+        ng = int(capture) % 2 == 1
+        path = f"{folder}/{prefix}{capture}-{lot}.pcap{'ng' * ng}"
+        rows = rows.sort_values(["ts_us", "packet_no"])
         with create_binary(path) as out:
-            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
-            for row in rows.sort_values(["ts_us", "packet_no"]).itertuples():
-                size = len(row.frame)
-                out.write(struct.pack("<IIII", row.ts_us // 1_000_000, row.ts_us % 1_000_000, size, size) + row.frame)
+            out.write(_section("<") if ng else struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+            for number, row in enumerate(rows.itertuples()):
+                size, order = len(row.frame), "<" if 2 * number < len(rows) else ">"
+                if not ng:
+                    out.write(struct.pack("<IIII", row.ts_us // 1_000_000, row.ts_us % 1_000_000, size, size) + row.frame)
+                    continue
+                if order == ">" and 2 * (number - 1) < len(rows):
+                    out.write(_section(order))
+                out.write(_block(order, 6, struct.pack(order + "IIIII", 0, row.ts_us >> 32, row.ts_us & 0xFFFFFFFF, size, size) + row.frame))
         return pd.DataFrame({"path": [path]})
 
-    frames.groupBy("capture_id").applyInPandas(write, "path STRING").collect()
+    lot = F.expr(f"packet_no div {LOT_PACKETS}").alias("lot")
+    frames.groupBy("capture_id", lot).applyInPandas(write, "path STRING").write.format("noop").mode("overwrite").save()
 
 
 def _packets_of(frames: DataFrame) -> DataFrame:

@@ -269,8 +269,9 @@ LONG_HEADERS = """SELECT l_orderkey, l_linenumber,
   CAST(CAST(l_quantity AS INTEGER) % 64 AS INTEGER) AS tcp_flag_int, CAST(l_quantity AS INTEGER) AS payload_size,
   CAST(CAST(l_quantity AS INTEGER) = 0 AS INTEGER) AS is_empty_payload FROM lineitem"""
 
-_CAPTURED = """SELECT {prefix} || (o_custkey % 8) || '.pcap' AS capture,
-  row_number() OVER (PARTITION BY {prefix}, o_custkey % 8 ORDER BY o_orderdate, o_orderkey) - 1 AS packet_no,
+_CAPTURED = """SELECT {prefix} || (o_custkey % 8) || '-' || (o_orderkey // 100000)
+    || CASE WHEN o_custkey % 2 = 1 THEN '.pcapng' ELSE '.pcap' END AS capture,
+  row_number() OVER (PARTITION BY {prefix}, o_custkey % 8, o_orderkey // 100000 ORDER BY o_orderdate, o_orderkey) - 1 AS packet_no,
   epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS ts_us, CAST(42 + o_custkey % 40 AS INTEGER) AS length FROM {source}"""
 CAPTURED = _CAPTURED.format(prefix="'c'", source="orders")
 LANDED = _CAPTURED.format(

@@ -6,6 +6,10 @@ exactly when every walk ends where the next one began, which is checked, and ran
 began wrong are walked again from the proven position.  So one huge capture is read by many
 tasks, packet numbers are exact, and each task streams its range with bounded memory.
 
+Blocks of pcapng name their length at both ends, which is what ranges look for.  What such a block means depends
+on the section and the interfaces announced before it; every range collects those it holds, and then
+takes over what the ranges before it announced since their last section began.
+
 What cannot be read is counted: ``capture_report`` says for each capture how many packets were read, how
 many bytes at its end were not, and why.
 """
@@ -40,13 +44,16 @@ PCAP_HEADER, RECORD_HEADER = 24, 16
 NG_SECTION, NG_INTERFACE, NG_OLD_PACKET, NG_SIMPLE_PACKET, NG_PACKET = 0x0A0D0D0A, 1, 2, 3, 6
 NG_BYTE_ORDER = 0x1A2B3C4D
 NG_OPTION_RESOLUTION, NG_OPTION_OFFSET = 9, 14
+NG_KINDS = (NG_SECTION, NG_INTERFACE, NG_OLD_PACKET, NG_SIMPLE_PACKET, 4, 5, NG_PACKET, 9, 10, 0xBAD, 0x40000BAD)
 LARGEST_RECORD = 1 << 20
 PLAUSIBLE_SECONDS = 10 * 366 * 86_400
 
 INDEX_SCHEMA = (
     "path STRING, length LONG, split LONG, start LONG, stop LONG, first LONG, next LONG, "
-    "packets LONG, last_us LONG, status STRING, unread_bytes LONG"
+    "packets LONG, last_us LONG, status STRING, unread_bytes LONG, byte_order STRING, "
+    "heads ARRAY<STRUCT<at: LONG, byte_order: STRING, kind: LONG, body: BINARY>>"
 )
+_OWN = ["first", "next", "packets", "last_us", "status", "unread_bytes", "byte_order", "heads"]
 _log = logging.getLogger(__name__)
 
 
@@ -128,11 +135,14 @@ def _interface_of(order: str, body: bytes) -> _Interface:
     return found
 
 
-def _blocks(stream: io.BufferedReader, length: int) -> Iterator[tuple[int, str, int, bytes]]:
-    """``(next offset, byte order, type, body)`` of whole pcapng blocks."""
-    at, order = 0, "<"
-    stream.seek(0)
-    while at + 12 <= length:
+def _blocks(
+    stream: io.BufferedReader, length: int, first: int = 0, stop: int | None = None, order: str = "<", skip: bool = False
+) -> Iterator[tuple[int, int, str, int, bytes]]:
+    """``(offset, next offset, byte order, type, body)`` of whole pcapng blocks that begin from ``first`` to
+    ``stop``.  With ``skip`` only the start of a body is read, except of sections and interfaces."""
+    at = first
+    stream.seek(at)
+    while at < (length if stop is None else stop) and at + 12 <= length:
         head = stream.read(12)
         kind = struct.unpack(order + "I", head[:4])[0]
         if kind == NG_SECTION:
@@ -140,9 +150,13 @@ def _blocks(stream: io.BufferedReader, length: int) -> Iterator[tuple[int, str,
         size = struct.unpack(order + "I", head[4:8])[0]
         if size < 12 or size % 4 or at + size > length:
             return
-        body = head[8:] + stream.read(size - 12)
-        at += size
-        yield at, order, kind, body[:-4]
+        if skip and kind not in (NG_SECTION, NG_INTERFACE) and size > 64:
+            body = head[8:] + stream.read(20)
+            stream.seek(at + size)
+        else:
+            body = (head[8:] + stream.read(size - 12))[:-4]
+        begin, at = at, at + size
+        yield begin, at, order, kind, body
 
 
 def _block_packet(section: _Section, kind: int, body: bytes) -> tuple[int, int, bytes] | None:
@@ -164,24 +178,78 @@ def _block_packet(section: _Section, kind: int, body: bytes) -> tuple[int, int,
     return ticks + source.offset_seconds * 1_000_000, source.linktype, body[20 : 20 + captured]
 
 
-def _ng_packets(stream: io.BufferedReader, length: int) -> Iterator[Packet]:
+def _ng_packets(
+    stream: io.BufferedReader, first: int, stop: int, length: int, state: list | None, data: bool
+) -> Iterator[Packet]:
+    """Packets of the blocks of a range; ``state`` holds the section and interface blocks it takes over."""
     section = _Section()
-    for following, order, kind, body in _blocks(stream, length):
-        if kind == NG_SECTION:
-            section = _Section(order)
-        elif kind == NG_INTERFACE:
-            section.interfaces.append(_interface_of(order, body))
-        elif (packet := _block_packet(section, kind, body)) is not None:
+    for head in state if state is not None else ():
+        section = _announced(section, head["byte_order"], head["kind"], bytes(head["body"]))
+    for _, following, order, kind, body in _blocks(stream, length, first, stop, section.order, not data):
+        section = _announced(section, order, kind, body)
+        if (packet := _block_packet(section, kind, body)) is not None:
             time_us, linktype, content = packet
             yield following, time_us, linktype, content
 
 
-def _packets(stream, form: _Format, first: int, stop: int, length: int, data: bool) -> Iterator[Packet]:
+def _announced(section: _Section, order: str, kind: int, body: bytes) -> _Section:
+    if kind == NG_SECTION:
+        return _Section(order)
+    if kind == NG_INTERFACE:
+        section.interfaces.append(_interface_of(order, body))
+    return section
+
+
+def _packets(stream, form: _Format, first: int, stop: int, length: int, data: bool, state: list | None = None) -> Iterator[Packet]:
     if form.next_generation:
-        return _ng_packets(stream, length) if first == 0 else iter(())
+        return _ng_packets(stream, first, stop, length, state, data)
     return _classic_packets(stream, form, first, stop, length, data)
 
 
+def _find_block(stream: io.BufferedReader, start: int, stop: int, length: int) -> tuple[int, str] | None:
+    """The first offset in the range that begins a plausible chain of blocks, and their byte order.
+
+    Blocks begin at multiples of four; a candidate has a known type and a length that fits."""
+    start += -start % 4
+    while start < stop:
+        stream.seek(start)
+        raw = stream.read(min(4 * LARGEST_RECORD, stop - start + 4))
+        words = {order: np.frombuffer(raw[: len(raw) // 4 * 4], order + "u4").astype(np.int64) for order in "<>"}
+        spots = len(words["<"]) - 1
+        if spots <= 0:
+            break
+        at = start + 4 * np.arange(spots)
+        for spot in np.flatnonzero(
+            np.logical_or.reduce([
+                np.isin(w[:spots], NG_KINDS) & (w[1:] >= 12) & (w[1:] % 4 == 0) & (at + w[1:] <= length) for w in words.values()
+            ])
+        ):
+            for order in "<>":
+                if _blocks_hold(stream, order, int(at[spot]), length):
+                    return int(at[spot]), order
+        start += 4 * spots
+    return None
+
+
+def _blocks_hold(stream: io.BufferedReader, order: str, at: int, length: int) -> bool:
+    for number in range(CHAIN_RECORDS):
+        if at + 12 > length:
+            return at == length and number > 0
+        stream.seek(at)
+        head = stream.read(12)
+        kind = struct.unpack(order + "I", head[:4])[0]
+        if kind == NG_SECTION:
+            order = "<" if struct.unpack("<I", head[8:])[0] == NG_BYTE_ORDER else ">"
+        size = struct.unpack(order + "I", head[4:8])[0]
+        if size < 12 or size % 4 or at + size > length or number == 0 and kind not in NG_KINDS:
+            return False
+        stream.seek(at + size - 4)
+        if struct.unpack(order + "I", stream.read(4))[0] != size:
+            return False
+        at += size
+    return True
+
+
 def _find_record(stream: io.BufferedReader, form: _Format, start: int, stop: int, length: int) -> int | None:
     """The first offset in the range that begins a plausible chain of records."""
     stream.seek(PCAP_HEADER)
@@ -223,22 +291,25 @@ def _chain_holds(stream: io.BufferedReader, form: _Format, at: int, length: int)
     return True
 
 
-def _walked(stream: io.BufferedReader, form: _Format, first: int, stop: int, length: int) -> dict:
-    """What a range holds whose first record begins at ``first``."""
-    following, packets, last = first, 0, None
-    for following, last, _, _ in _packets(stream, form, first, stop, length, data=False):
-        packets += 1
-    found = {"first": first, "next": following, "packets": packets, "last_us": last, "status": "ok", "unread_bytes": 0}
+def _found(first: int | None, following: int | None, **more: object) -> dict:
+    return {"first": first, "next": following, "packets": 0, "last_us": None, "status": "ok", "unread_bytes": 0, "byte_order": None, "heads": None} | more
+
+
+def _walked(stream: io.BufferedReader, form: _Format, first: int, stop: int, length: int, order: str = "<") -> dict:
+    """What a range holds whose first record begins at ``first``; packets of pcapng are counted later."""
+    found = _found(first, first)
     if form.next_generation:
-        end = 0
-        for end, *_ in _blocks(stream, length) if first == 0 else ():
-            pass
-        found |= {"next": length}
-        if first == 0 and end < length:
-            found |= {"status": "broken", "unread_bytes": length - end}
-    elif following < stop:
+        heads = []
+        for at, found["next"], order, kind, body in _blocks(stream, length, first, stop, order, skip=True):
+            if kind in (NG_SECTION, NG_INTERFACE):
+                heads.append({"at": at, "byte_order": order, "kind": kind, "body": body})
+        found |= {"byte_order": order, "heads": heads}
+    else:
+        for found["next"], found["last_us"], _, _ in _packets(stream, form, first, stop, length, data=False):
+            found["packets"] += 1
+    if found["next"] < stop:
         # The next record does not fit into the file: it is cut off, or its length is damaged.
-        found |= {"next": length, "status": "broken", "unread_bytes": length - following}
+        found |= {"next": length, "status": "broken", "unread_bytes": length - found["next"]}
     return found
 
 
@@ -248,22 +319,20 @@ def _index_range(row) -> dict:
         form = _read_format(stream)
         if form is None:
             lost = row.stop - row.start
-            status = "foreign" if row.length else "empty"
-            return {"first": None, "next": row.length if row.start == 0 else None, "packets": 0, "last_us": None, "status": status, "unread_bytes": lost}
+            return _found(None, row.length if row.start == 0 else None, status="foreign" if row.length else "empty", unread_bytes=lost)
+        order = "<"
         if row.start == 0:
             first = 0 if form.next_generation else PCAP_HEADER
         elif form.next_generation:
-            first = None
+            first, order = _find_block(stream, row.start, row.stop, row.length) or (None, order)
         else:
             first = _find_record(stream, form, row.start, row.stop, row.length)
-        if first is None:
-            return {"first": None, "next": None, "packets": 0, "last_us": None, "status": "ok", "unread_bytes": 0}
-        return _walked(stream, form, first, row.stop, row.length)
+        return _found(None, None) if first is None else _walked(stream, form, first, row.stop, row.length, order)
 
 
 def _framed(rows: pd.DataFrame, found: list[dict]) -> pd.DataFrame:
-    columns = pd.DataFrame(found, columns=["first", "next", "packets", "last_us", "status", "unread_bytes"])
-    numbers = {c: "Int64" for c in columns.columns if c != "status"}
+    columns = pd.DataFrame(found, columns=_OWN)
+    numbers = {c: "Int64" for c in _OWN if c not in ("status", "byte_order", "heads")}
     return pd.concat([rows[["path", "length", "split", "start", "stop"]].reset_index(drop=True), columns.astype(numbers)], axis=1)
 
 
@@ -276,20 +345,54 @@ def _repaired(rows: pd.DataFrame) -> pd.DataFrame:
     """All ranges of one file in order: those that began right stay, the others are walked from where the
     range before ended.  Only wrong ranges are read again."""
     rows = rows.sort_values("split")
-    found, due = [], None
+    found, due, order = [], None, "<"
     with _open(rows.path.iloc[0]) as stream:
         form = _read_format(stream)
         for row in rows.itertuples(index=False):
-            own = {c: None if pd.isna(v := getattr(row, c)) else v for c in ("first", "next", "packets", "last_us", "status", "unread_bytes")}
+            own = {c: getattr(row, c) for c in _OWN}
+            own |= {c: None if pd.isna(own[c]) else own[c] for c in _OWN if c != "heads"}
             if due is not None and due >= row.stop:
-                own = {"first": None, "next": None, "packets": 0, "last_us": None, "status": "ok", "unread_bytes": 0}
+                own = _found(None, None)
             elif due is not None and own["first"] != due:
-                own = _walked(stream, form, int(due), int(row.stop), int(row.length))
+                own = _walked(stream, form, int(due), int(row.stop), int(row.length), order)
             due = own["next"] if own["next"] is not None else due
+            order = own["byte_order"] or order
             found.append(own)
     return _framed(rows, found)
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Packets and last time of pcapng ranges, with what they take over (``state``)."""
+    for batch in batches:
+        packets, last = [], []
+        for row in batch.itertuples(index=False):
+            number, time_us = 0, None
+            with _open(row.path) as stream:
+                for _, time_us, _, _ in _ng_packets(stream, int(row.first), int(row.stop), int(row.length), row.state, data=False):
+                    number += 1
+            packets.append(number)
+            last.append(time_us)
+        yield batch.assign(packets=packets, last_us=pd.array(last, "Int64"))
+
+
+def _with_state(index: DataFrame) -> DataFrame:
+    """Adds ``state``, the blocks announced since the last section that began before a range, and counts pcapng packets."""
+    index = index.withColumn("state", F.lit(None).cast(index.schema["heads"].dataType))
+    ranges = index.where("heads is not null")
+    if ranges.isEmpty():
+        return index.drop("heads", "byte_order")
+    heads = ranges.select("path", F.explode("heads").alias("head"))
+    begins = heads.where(F.col("head.kind") == NG_SECTION).select("path", F.col("head.at").alias("begin"))
+    # One row per range and section before it, of which the last counts; then the blocks from there to the range.
+    last = ranges.select("path", "split", "first").join(begins, "path").where("begin < first").groupBy("path", "split").agg(F.max("begin").alias("begin"))
+    taken = last.join(ranges.select("path", "split", "first"), ["path", "split"]).join(heads, "path")
+    taken = taken.where((F.col("head.at") >= F.col("begin")) & (F.col("head.at") < F.col("first")))
+    states = taken.groupBy("path", "split").agg(F.array_sort(F.collect_list("head")).alias("state"))
+    told = ranges.drop("state").join(states, ["path", "split"], "left").drop("heads", "byte_order")
+    counted = _spread(materialize(told, "sections")).mapInPandas(_counted, told.schema)
+    return index.where("heads is null").drop("heads", "byte_order").unionByName(counted)
+
+
 _ARROW_SCHEMA = pa.schema(
     [
         ("capture_id", pa.string()),
@@ -314,7 +417,7 @@ def _frame_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 form = _read_format(stream)
                 rows, held, number, previous = [], 0, row["base"], row["carry_us"]
                 for _, time_us, linktype, content in _packets(
-                    stream, form, row["first"], row["stop"], row["length"], data=True
+                    stream, form, row["first"], row["stop"], row["length"], data=True, state=row["state"]
                 ):
                     rows.append((row["path"], number, time_us, linktype, content, previous))
                     number, previous, held = number + 1, time_us, held + len(content)
@@ -355,10 +458,10 @@ def capture_index(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
     right = due.isNull() | F.when(due >= F.col("stop"), F.col("first").isNull()).otherwise(F.col("first").eqNullSafe(due))
     wrong = index.withColumn("_wrong", ~right & (F.col("status") != "foreign")).where("_wrong").select("path").distinct()
     wrong = materialize(wrong, "wrong-captures")
-    if wrong.isEmpty():
-        return index
-    repaired = index.join(wrong, "path", "left_semi").groupBy("path").applyInPandas(_repaired, INDEX_SCHEMA)
-    return materialize(index.join(wrong, "path", "left_anti").unionByName(repaired), "captures")
+    if not wrong.isEmpty():
+        repaired = index.join(wrong, "path", "left_semi").groupBy("path").applyInPandas(_repaired, INDEX_SCHEMA)
+        index = materialize(index.join(wrong, "path", "left_anti").unionByName(repaired), "captures")
+    return materialize(_with_state(index), "capture-ranges")
 
 
 def capture_report(index: DataFrame) -> DataFrame:
@@ -397,6 +500,7 @@ def indexed_frames(index: DataFrame, previous: bool = False) -> DataFrame:
         "first",
         "stop",
         "packets",
+        "state",
         F.coalesce(F.sum("packets").over(before), F.lit(0)).alias("base"),
         F.last("last_us", ignorenulls=True).over(before).alias("carry_us"),
     ).filter("packets > 0")

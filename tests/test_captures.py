@@ -54,6 +54,58 @@ def test_range_that_begins_on_a_false_record(spark, tmp_path):
     check(read_captures(spark, str(tmp_path / "a.pcap"), 2_000, previous=True), wanted)
 
 
+def two_sections(count):
+    """A file of two sections of opposite byte order, each with two interfaces that count time differently."""
+    wanted, data = [], b""
+    for section, order in enumerate("<>"):
+        rows = [(us // 1000 * 1000, body) for us, body in packets(count, section)]
+        fine, coarse = pcapng(rows, order), pcapng(rows, order, True)
+
+        def blocks(raw):
+            at = 0
+            while at < len(raw):
+                size = struct.unpack_from(order + "I", raw, at + 4)[0]
+                yield struct.unpack_from(order + "I", raw, at)[0], raw[at : at + size]
+                at += size
+
+        first, second = list(blocks(fine)), list(blocks(coarse))
+        announced = [b for k, b in first if k != 6] + [b for k, b in second if k == 1]
+        bodies = [[b for k, b in held if k == 6] for held in (first, second)]
+        data += b"".join(announced)
+        for n in range(count):
+            # Every other packet is of the second interface.
+            block = bytearray(bodies[n % 2][n])
+            struct.pack_into(order + "I", block, 8, n % 2)
+            data += bytes(block)
+        wanted += rows
+    return data, wanted
+
+
+@pytest.mark.parametrize("split", [700, 5_000, 60_000, 1 << 26])
+def test_sections_and_interfaces_reach_every_range(spark, tmp_path, split):
+    data, wanted = two_sections(120)
+    (tmp_path / "a.pcapng").write_bytes(data)
+    index = capture_index(capture_files(spark, str(tmp_path)), split)
+    check(read_captures(spark, str(tmp_path / "a.pcapng"), split, previous=True, strict=True), wanted)
+    assert index.where("packets > 0").count() > len(data) // max(split, 2_000) // 2
+
+
+def test_range_that_begins_inside_a_packet_of_blocks(spark, tmp_path):
+    inner = two_sections(60)[0]
+    wanted = [(1_700_000_000_000_000, FRAME), (1_700_000_000_000_500, FRAME + b"xx" + inner), (1_700_000_000_000_900, FRAME)]
+    for order in "<>":
+        (tmp_path / "a.pcapng").write_bytes(pcapng(wanted, order))
+        check(read_captures(spark, str(tmp_path / "a.pcapng"), 2_000, previous=True), wanted)
+
+
+def test_cut_pcapng(spark, tmp_path):
+    data, wanted = two_sections(50)
+    (tmp_path / "a.pcapng").write_bytes(data[:-7])
+    for split in (2_000, 1 << 26):
+        index = capture_index(capture_files(spark, str(tmp_path)), split)
+        assert [(r.packets, r.status) for r in capture_report(index).collect()] == [(99, "broken")]
+
+
 def test_cut_empty_and_foreign_files(spark, tmp_path):
     wanted = packets(5)
     (tmp_path / "cut.pcap").write_bytes(pcap(wanted)[:-10])
