@@ -7,10 +7,12 @@ cannot rule out are confirmed on full sets.
 
 Large groups are not expanded into pairs.  First every member of a bucket meets only the smallest
 member, and what that links is merged.  Then only buckets that still hold several components are
-looked at again, in blocks of bounded size: inside a block, sketches of members of different
-components are compared, full sets are fetched for members with a candidate, and each block returns
-at most one link per member.  Every pair that shares a band is therefore either already connected or
-compared; two texts at the threshold share no band with probability (1 - threshold^rows)^bands.
+looked at again: sketches of members of different components are compared, full sets are fetched for
+members with a candidate, and a bucket returns at most one link per member.  A bucket of more than BLOCK
+members is first taken apart by bands twice as long, of samples of their own, so its rows grow with its
+members and not with their square; what even those leave together meets in pairs of blocks.  Every pair that
+shares a band is therefore either already connected or compared; two texts at the threshold share no band
+with probability (1 - threshold^rows)^bands.
 """
 
 from __future__ import annotations
@@ -26,14 +28,17 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.components import components
 from packetloom.llm.shingles import mix, shingle_sets
-from packetloom.llm.support import materialize, text_blocks, texts_of
+from packetloom.llm.support import join_counted, materialize, text_blocks, texts_of
 
 BANDS = 64
 ROWS = 7
 SAMPLES = 960
 SKETCH_BITS = 2048
-# Members of one bucket that meet in a task; larger buckets are cut into pairs of blocks.
-BLOCK = 1024
+# Members of one bucket that meet in a task; larger buckets are taken apart by longer bands.
+BLOCK = 4096
+# Bands of larger buckets: two texts at a similarity of 0.8 share none with probability 1e-6.
+LONG_BANDS = 307
+LONG_ROWS = 14
 # Candidate pairs per member beyond which a block confirms them itself.
 DENSE = 3
 # Standard deviations that a true link may lie off its estimate before it is missed.
@@ -44,23 +49,25 @@ MAP_BITS = 1 << 22
 _draw = np.random.default_rng(3)
 _FACTOR = _draw.integers(0, 1 << 32, SAMPLES, np.uint64).astype(np.uint32) | np.uint32(1)
 _SHIFT = _draw.integers(0, 1 << 32, SAMPLES, np.uint64).astype(np.uint32)
+_LONG_FACTOR = _draw.integers(0, 1 << 32, LONG_BANDS * LONG_ROWS, np.uint64).astype(np.uint32) | np.uint32(1)
+_LONG_SHIFT = _draw.integers(0, 1 << 32, LONG_BANDS * LONG_ROWS, np.uint64).astype(np.uint32)
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
+def minhash(shingles: np.ndarray, factor: np.ndarray = _FACTOR, shift: np.ndarray = _SHIFT) -> np.ndarray:
     """The samples of one set: for each of the seeded orders, the smallest element's rank."""
-    low = np.full(len(_FACTOR), 0xFFFFFFFF, np.uint32)
+    low = np.full(len(factor), 0xFFFFFFFF, np.uint32)
     for part in np.array_split(shingles, range(128, len(shingles), 128)):
         folded = (part >> np.uint64(32)).astype(np.uint32)
-        np.minimum(low, (folded[:, None] * _FACTOR + _SHIFT).min(axis=0, initial=0xFFFFFFFF), out=low)
+        np.minimum(low, (folded[:, None] * factor + shift).min(axis=0, initial=0xFFFFFFFF), out=low)
     return low
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
+def band_keys(samples: np.ndarray, bands: int = BANDS, length: int = ROWS) -> np.ndarray:
     """One key per band of the first samples, the band's number folded in; for a matrix, a row each."""
-    samples = samples[..., : BANDS * ROWS]
-    rows = samples.reshape(*samples.shape[:-1], BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:-1]).copy()
-    for at in range(ROWS):
+    samples = samples[..., : bands * length]
+    rows = samples.reshape(*samples.shape[:-1], bands, length).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(1000 * (length - ROWS)), rows.shape[:-1]).copy()
+    for at in range(length):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[..., at])
     return key.view(np.int64)
 
@@ -105,16 +112,13 @@ def _signatures(width: int):
             ids = batch.column("doc_id")
             for first, texts in text_blocks(batch.column("text")):
                 sets = shingle_sets(texts, width)
-                sums = [(s.sum(), mix(s).sum()) for s in sets]
                 samples = np.stack([minhash(s) for s in sets])
                 full = [len(s) > 0 for s in sets]
                 keys, sketches = band_keys(samples), odd_sketch(samples)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, len(texts)),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(np.array([a for a, _ in sums], np.uint64).view(np.int64)),
-                        pa.array(np.array([b for _, b in sums], np.uint64).view(np.int64)),
+                        *_sums(sets),
                         pa.array([list(k) if f else [] for k, f in zip(keys, full)], pa.list_(pa.int64())),
                         pa.array([list(s) for s in sketches], pa.list_(pa.int64())),
                     ],
@@ -130,14 +134,23 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return texts_of(docs).mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``node, shingles`` of the documents named in ``ids`` (``node``), written once.
+_CLASS = ["n_shingles", "sum_a", "sum_b"]
+
+
+def _sums(sets: list[np.ndarray]) -> list[pa.Array]:
+    """What names a set: its size and two sums of its hashes."""
+    both = np.array([(x.sum(), mix(x).sum()) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+    return [pa.array([len(x) for x in sets], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``node, shingles`` of the classes in ``nodes`` (``node``, the class's name and its least ``doc_id``), written once.
 
     The texts are not shuffled for it: a bitmap of fixed size says which documents may be wanted, and the
-    sets of those meet the ids.
+    sets of those meet the classes by name, so an id with several texts gives each its own set.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
-    words = ids.select(place("node").alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word"))
+    words = nodes.select(place("least_id").alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word"))
     rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")).alias("bits")).collect()
     bits = np.zeros(MAP_BITS // 64, np.int64)
     bits[[r.word for r in rows]] = [r.bits for r in rows]
@@ -148,15 +161,25 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             at = batch.column("at").to_numpy().astype(np.uint64)
             wanted = np.flatnonzero((held.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
             batch = batch.take(pa.array(wanted))
-            for first, texts in text_blocks(batch.column("text")):
-                sets = [s.view(np.int64) for s in shingle_sets(texts, width)]
-                offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(texts)), values], names=["node", "shingles"])
+            for _, texts in text_blocks(batch.column("text")):
+                sets = shingle_sets(texts, width)
+                offsets = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*_sums(sets), values], names=[*_CLASS, "shingles"])
+
+    found = texts_of(docs).select("text", place("doc_id").alias("at")).mapInArrow(
+        run, "n_shingles long, sum_a long, sum_b long, shingles array<long>"
+    )
+    matched = found.join(nodes.select("node", *_CLASS), _CLASS).select("node", "shingles")
+    return materialize(matched.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
+
 
-    rows = texts_of(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "text", place("doc_id").alias("at"))
-    found = rows.mapInArrow(run, "node long, shingles array<long>")
-    return materialize(found.join(ids, "node", "left_semi").dropDuplicates(["node"]), "sets")
+def _long_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, keys``: the long bands of every set."""
+    for batch in batches:
+        sets = [np.asarray(x.values).view(np.uint64) for x in batch.column("shingles")]
+        keys = [band_keys(minhash(x, _LONG_FACTOR, _LONG_SHIFT), LONG_BANDS, LONG_ROWS) for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "keys"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -284,21 +307,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     are linked; a component is named by its smallest ``doc_id``, which is the one kept.
 
     NULL and empty texts (or texts of white space) have an empty set and are linked with nothing;
-    texts of fewer words than ``width`` have their whole word sequence as one shingle.  Rows with
-    equal ids count as copies of one document and come back as often as they came; columns other
-    than ``doc_id`` and ``text`` are ignored.  An empty table gives an empty table.
+    texts of fewer words than ``width`` have their whole word sequence as one shingle.  Every row is a
+    text of its own, also where several rows have one id or none: a row's component is the smallest id
+    among all rows it reaches (NULL if none of them has an id), whatever the order of the rows.  Columns
+    other than ``doc_id`` and ``text`` are ignored.  An empty table gives an empty table.
     """
     signed = materialize(signatures(docs, width), "signatures")
     filled = signed.where("n_shingles > 0")
-    classes = filled.groupBy("n_shingles", "sum_a", "sum_b").agg(F.min("doc_id").alias("node"))
-    # One signature per class: ids may repeat, sets of a class are equal, so any of its rows will do.
-    heads = materialize(
-        filled.join(classes, ["n_shingles", "sum_a", "sum_b"]).where("doc_id = node").dropDuplicates(["node", "sum_a", "sum_b"])
-        .select("node", "n_shingles", "sketch", "bands"), "heads"
+    # Equal sets are one node, with one of their equal signatures.
+    classes = filled.groupBy(*_CLASS).agg(
+        F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")
     )
+    # The ids are written with the rows, so a lost task does not change them.
+    heads = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "heads")
+    named = heads.select("node", "least_id", *_CLASS)
     banded = heads.select("node", F.explode("bands").alias("key"))
     pivots = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    buckets = materialize(banded.join(pivots, "key").select("key", "node", "pivot", "members"), "buckets")
+    buckets = materialize(banded.join(pivots, "key").select("key", "node", "pivot"), "buckets")
 
     sketches = heads.select("node", "sketch", "n_shingles")
     limit = most_differing_bits(percent)
@@ -309,34 +334,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .where(_differing_bits("su", "sv") <= limit).select("u", "v")
     )
     stars = materialize(stars, "stars")
-    touched = materialize(stars.select(F.col("u").alias("node")).union(stars.select(F.col("v").alias("node"))).distinct(), "touched")
-    sets = _sets(docs, touched, width)
+    touched = stars.select(F.col("u").alias("node")).union(stars.select(F.col("v").alias("node"))).distinct()
+    sets = _sets(docs, materialize(named.join(touched, "node", "left_semi"), "touched"), width)
     links = materialize(_confirmed(stars, sets, percent), "links")
     merged = components(links)
 
-    # Buckets that still hold several components: members of the largest one need not meet each other,
-    # all others meet everyone, in pairs of blocks of bounded size.
-    placed = buckets.join(merged.select("node", F.col("component").alias("_c")), "node", "left").select(
-        "key", "node", F.coalesce("_c", "node").alias("component")
-    )
-    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    shares = (
-        counted.groupBy("key")
-        .agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("groups"))
-        .where("groups > 1")
-        .select("key", F.col("main.component").alias("main"), _blocks(F.col("main.n")).alias("mains"),
-                _blocks(F.col("n") - F.col("main.n")).alias("others"))
-    )
-    at_main = F.col("component") == F.col("main")
-    hashed = F.xxhash64("node")
-    own = F.when(at_main, F.pmod(hashed, F.col("mains"))).otherwise(F.col("mains") + F.pmod(hashed, F.col("others")))
-    first = F.when(at_main, F.col("mains")).otherwise(F.lit(0))
-    blocks = (
-        placed.join(shares, "key").withColumn("own", own.cast("int"))
-        .select("key", "node", "component", "own", F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1)).alias("other"))
-        .select("key", "node", "component", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
-        .join(sketches, "node")
-    )
+    # Buckets that still hold several components: members of the largest one need not meet each other.
+    placed, shares = _open_buckets(buckets.select("key", "node"), merged)
+    small = placed.join(shares.where(F.col("n") <= BLOCK), "key")
+    crowded = placed.join(shares.where(F.col("n") > BLOCK), "key", "left_semi").select("node").distinct()
+    crowded = materialize(named.join(crowded, "node", "left_semi"), "crowded")
+    if not crowded.isEmpty():
+        longer = _sets(docs, crowded, width).mapInArrow(_long_bands, "node long, keys array<long>")
+        taken, parts = _open_buckets(materialize(longer.select("node", F.explode("keys").alias("key")), "long-bands"), merged)
+        small = small.unionByName(taken.join(parts, "key"))
+    blocks = _in_blocks(small).join(sketches, "node")
     found = materialize(
         blocks.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "n_shingles").mapInPandas(
             _with_partner(percent),
@@ -344,23 +356,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         ),
         "partners",
     )
-    named = found.select("node").union(found.select(F.col("other").alias("node"))).where("node is not null").distinct()
-    missing = materialize(named.join(sets, "node", "left_anti"), "missing")
+    wanted = found.select("node").union(found.select(F.col("other").alias("node"))).where("node is not null").distinct()
+    missing = materialize(named.join(wanted, "node", "left_semi").join(sets, "node", "left_anti"), "missing")
     if not missing.isEmpty():
         sets = sets.union(_sets(docs, missing, width))
     pairs = found.where("other is not null").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
     dense = found.where("other is null").drop("other").join(sets, "node").groupBy("key", "left", "right")
     more = _confirmed(pairs, sets, percent).union(dense.applyInPandas(_block_links(percent), "u long, v long"))
-    joined = components(links.union(more))
+    joined = materialize(components(links.union(more)), "components")
 
-    member = filled.join(classes, ["n_shingles", "sum_a", "sum_b"]).select("doc_id", "n_shingles", "node")
-    member = member.join(joined, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")
-    )
+    # Components are named by ids at last.
+    least = joined.join(named, "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
+    linked = joined.join(least, "component").select("node", "component_id")
+    final = heads.join(linked, "node", "left").select(*_CLASS, "copies", F.coalesce("component_id", "least_id").alias("component_id"))
+    member = join_counted(filled.select("doc_id", *_CLASS), _CLASS, materialize(final, "final"), "copies").select("doc_id", "n_shingles", "component_id")
     rest = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return member.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _open_buckets(buckets: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of all buckets with their component, and the buckets that hold several: their largest one,
+    ``main``, how many are of it, ``n_main``, and of all, ``n``."""
+    placed = buckets.join(merged.select("node", F.col("component").alias("_c")), "node", "left").select(
+        "key", "node", F.coalesce("_c", "node").alias("component")
+    )
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    shares = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("groups"))
+    return placed, shares.where("groups > 1").select("key", F.col("main.component").alias("main"), F.col("main.n").alias("n_main"), "n")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """``key, node, component, left, right``: a bucket of up to BLOCK members is one block; in a larger one,
+    members of the largest component meet all others, and those meet each other, in pairs of blocks."""
+    parts = lambda n: F.ceil(n / F.lit(BLOCK // 2)).cast("int")
+    mains, others = parts(F.col("n_main")), parts(F.col("n") - F.col("n_main"))
+    at_main, hashed = F.col("component") == F.col("main"), F.xxhash64("node")
+    own = F.when(at_main, F.pmod(hashed, mains)).otherwise(mains + F.pmod(hashed, others)).cast("int")
+    first = F.when(at_main, mains).otherwise(F.lit(0))
+    one = F.col("n") <= BLOCK
+    return (
+        rows.withColumn("own", F.when(one, F.lit(0)).otherwise(own))
+        .select("key", "node", "component", "own", F.explode(F.when(one, F.array(F.lit(0))).otherwise(F.sequence(first, mains + others - 1))).alias("other"))
+        .select("key", "node", "component", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
+    )
+
+
 def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each component, with all their columns.
 
@@ -375,10 +415,6 @@ def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80) ->
     return once.union(more).union(docs.where(F.col("doc_id").isNull()))
 
 
-def _blocks(members: Column) -> Column:
-    return F.ceil(members / F.lit(BLOCK // 2)).cast("int")
-
-
 def _differing_bits(left: str, right: str) -> Column:
     """Population count of the XOR of two sketches."""
     words = [F.bit_count(F.col(left)[at].bitwiseXOR(F.col(right)[at])) for at in range(SKETCH_BITS // 64)]

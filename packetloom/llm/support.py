@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.operators.skew import join_counted
 from packetloom.session import materialize
 
-__all__ = ["BLOCK_BYTES", "fold_of", "labelled_sample", "materialize", "table", "text_blocks", "texts_of", "whole_row"]
+__all__ = ["BLOCK_BYTES", "fold_of", "join_counted", "labelled_sample", "materialize", "table", "text_blocks", "texts_of", "whole_row"]
 
 # Bytes of text that one NumPy step handles; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -44,12 +45,11 @@ def _drawn(rows: DataFrame, label: str, per_label: int) -> DataFrame:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_label: int, chars: int
+    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_label: int
 ) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
-    """A sample of labelled texts outside the held-out fold, and how many there are of each label.
+    """A sample of whole labelled texts outside the held-out fold, and how many there are of each label.
 
-    At most ``per_label`` documents of each label, drawn by a hash, and of each a passage of at most
-    ``chars`` characters from a place that another hash names.  A document with contradicting labels has
+    At most ``per_label`` documents of each label, drawn by a hash.  A document with contradicting labels has
     the larger one; rows without text or label are left out.
     """
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
@@ -61,9 +61,8 @@ def labelled_sample(
     totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     drawn = _drawn(rows, label, per_label)
     # Two times per_label ids at most: only their texts are looked up, in a join that moves no other text.
-    start = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - chars + 1))
-    passages = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.substr("text", start, F.lit(chars)).alias("text"))
-    found = passages.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    texts = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     return [(r.text.encode(), r.label) for r in sorted(found, key=lambda r: r.doc_id * 0x9E3779B1 % (1 << 32))], totals
 
 

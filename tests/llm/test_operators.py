@@ -10,6 +10,8 @@ from zlib import crc32
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from packetloom.llm import byte_cnn, decontaminate, line_dedup, near_dedup, packing, pii, pii_detect, shingles, toxicity
 from packetloom.llm.boosted_trees import BoostedTrees
 from packetloom.llm.components import components
@@ -352,3 +354,38 @@ def test_trees_learn_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
     trees = BoostedTrees(3).fit(x[:1000], y[:1000], trees=30)
     assert ((trees.probability(x[1000:]) > 0.5) == y[1000:]).mean() > 0.95
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_an_id_with_several_texts_links_by_each(spark, turned):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base), (5, "quite another text of its own"), (5, base + " more"), (None, base), (None, "alone here now")]
+    df = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").coalesce(1)
+    found = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 2, 80).collect()]
+    assert sorted(found, key=repr) == sorted(
+        [(3, 59, 3, True), (5, 5, 5, True), (5, 60, 3, False), (None, 59, 3, False), (None, 2, None, True)], key=repr
+    )
+
+
+def test_links_just_above_the_threshold_are_found(spark):
+    draw = np.random.default_rng(8)
+    texts, pairs = [], 0
+    for n in range(400):
+        words = [f"v{x}" for x in draw.integers(0, 1 << 40, 150)]
+        copy = list(words)
+        for at in draw.permutation(150):
+            copy[at] = "x" + copy[at]
+            a, b = shingles_of(" ".join(words), 2), shingles_of(" ".join(copy), 2)
+            if 0.80 <= (share := len(a & b) / len(a | b)) <= 0.82:
+                break
+        pairs += 0.80 <= share <= 0.82
+        texts += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(copy))] if 0.80 <= share <= 0.82 else []
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = near_dedup.near_duplicates(df, 2, 80).where("kept").count()
+    assert kept == pairs > 300
+
+
+def test_block_rows_are_members(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("key"), F.col("id").alias("node"), F.col("id").alias("component"))
+    rows = rows.withColumns({"main": F.col("key"), "n_main": F.lit(1), "n": F.lit(1000)})
+    assert near_dedup._in_blocks(rows).count() == 3000
