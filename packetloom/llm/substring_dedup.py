@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.shingles import hashes_from, joined, mix, running_sums
 from packetloom.llm.suffix_array import suffix_array
-from packetloom.llm.support import materialize, text_blocks, texts_of
+from packetloom.llm.support import join_counted, materialize, text_blocks, texts_of
 
 SIZE = 400
 GRAM = 64
@@ -39,6 +39,8 @@ REACH = SIZE - GRAM + 1
 STEP = 16
 # Pieces of one core that meet in one suffix array; cores with more are counted window by window.
 MEMBERS = 4096
+# Pieces that one task sorts, about.
+TASK_PIECES = 20_000
 # Symbols of one suffix array, about.
 SYMBOLS = 1 << 14
 
@@ -234,8 +236,9 @@ def _equal_windows(pieces: DataFrame) -> DataFrame:
     each = pieces.select("*", F.explode(F.sequence(F.lit(STEP - 1) - F.least(right, F.lit(STEP - 1)), left)).alias("x"))
     side = F.concat(F.substr("left", left - F.col("x") + 1, F.col("x")), F.substr("right", F.lit(1), F.lit(STEP - 1) - F.col("x")))
     each = each.withColumn("side", side)
-    twice = each.groupBy("a", "x", "side").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    found = each.where("n = 1").join(twice, ["a", "x", "side"], "left_semi")
+    each = materialize(each, "hot-windows")
+    twice = each.groupBy("a", "x", "side").agg(F.count("*").alias("times")).where("times > 1")
+    found = join_counted(each.where("n = 1"), ["a", "x", "side"], materialize(twice, "hot-repeats"), "times", "left_semi")
     spans = found.select("place.doc_id", "place.text_key", (F.col("place.at") - F.col("x")).alias("first"), (F.col("place.at") - F.col("x") + SIZE).alias("last"))
     return spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("s")).select(
         "doc_id", "text_key", F.explode("s").alias("s")
@@ -266,11 +269,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = _keyed(docs)
     anchors = materialize(texts.mapInArrow(_anchors, _ANCHOR), "anchors")
     counted = materialize(_counted(anchors), "anchor-counts")
-    again = anchors.join(counted.where("n > 1").select("a", "b"), ["a", "b"], "left_semi")
+    again = join_counted(anchors, ["a", "b"], counted.where("n > 1").select("a", "b", "n"), "n", "left_semi")
     spans = again.select("doc_id", "text_key", "first", "last")
 
     # One representative of every repeated anchor is enough to compare the others with.
-    wanted = counted.join(_undecided(counted), "a").select("a", "b", "place.*")
+    wanted = join_counted(counted, ["a"], materialize(_undecided(counted), "open-anchors"), "members", "left_semi").select("a", "b", "place.*")
     ranges = anchors.select("a", "b", "doc_id", "text_key", "at", "low", "high")
     same = [F.col(f"w.{c}").eqNullSafe(F.col(f"r.{c}")) if c == "doc_id" else F.col(f"w.{c}") == F.col(f"r.{c}") for c in ("a", "b", "doc_id", "text_key", "at")]
     opened = (
@@ -280,13 +283,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
     pieces = materialize(_matched(texts, opened, "inner").mapInArrow(_pieces, _PIECE), "pieces")
     sides = materialize(_counted(pieces, "left", "right"), "piece-counts")
-    twice = pieces.join(sides.where("n > 1").select("a", "b"), ["a", "b"], "left_semi")
+    twice = join_counted(pieces, ["a", "b"], sides.where("n > 1").select("a", "b", "n"), "n", "left_semi")
     left, right = F.octet_length("left"), F.octet_length("right")
     settled = twice.select(
         "doc_id", "text_key", (F.col("at") - left).alias("first"), (F.col("at") + (SIZE - STEP + 1) + right).alias("last")
     )
-    open_sides = materialize(sides.join(_undecided(sides), "a"), "open-pieces")
-    small = open_sides.where(F.col("members") <= MEMBERS).repartition("a").sortWithinPartitions("a")
+    undecided = materialize(_undecided(sides), "open-cores")
+    open_sides = materialize(join_counted(sides, ["a"], undecided, "members"), "open-pieces")
+    # By their number, since a suffix array is slow for its few bytes and small partitions would be merged.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-open_sides.count() // TASK_PIECES))
+    small = open_sides.where(F.col("members") <= MEMBERS).repartition(parts, "a").sortWithinPartitions("a")
     sorted_out = small.select("a", "n", "place", "left", "right").mapInArrow(_sorted_pieces, _SPAN)
     return spans.union(settled).union(sorted_out).union(_equal_windows(open_sides.where(F.col("members") > MEMBERS)))
 
