@@ -120,10 +120,14 @@ class ByteCNN:
         return self
 
     def _slopes(self, windows: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> list[np.ndarray]:
-        patches = self._patches(windows)
-        response = patches @ self.filters
-        best = response.argmax(axis=1)
-        peak = np.take_along_axis(response, best[:, None], axis=1)[:, 0]
+        # A few windows at a time; of a long text, too, only the winning places are kept.
+        step = max(1, _BYTES // windows.shape[1])
+        best = np.empty((len(windows), self.filters.shape[1]), np.int64)
+        peak = np.empty(best.shape, np.float32)
+        for at in range(0, len(windows), step):
+            response = self._patches(windows[at : at + step]) @ self.filters
+            best[at : at + step] = response.argmax(axis=1)
+            peak[at : at + step] = np.take_along_axis(response, best[at : at + step, None], axis=1)[:, 0]
         # Pool the windows of an example; remember which window won.
         firsts = np.r_[0, np.cumsum(counts)[:-1]]
         owner = np.repeat(np.arange(len(counts)), counts)
@@ -138,12 +142,16 @@ class ByteCNN:
         error /= len(wanted)
         back = (error @ self.top.T) * (features > 0)
         place = best[winner, filters]
-        won = patches[winner, place]
-        slope_filters = np.einsum("nfk,nf->kf", won, back)
         channels = self.table.shape[1] + self.repetition
         widest = len(self.filters) // channels
-        sent = (back[:, :, None] * self.filters.T[None]).reshape(*back.shape, widest, channels)[..., : self.table.shape[1]]
         read = windows[winner[:, :, None], place[:, :, None] + np.arange(widest)]
+        won = self.table[read]
+        if self.repetition:
+            rows, back_to = np.unique(winner, return_inverse=True)
+            marks = repeats(windows[rows])[back_to.reshape(winner.shape)[:, :, None], place[:, :, None] + np.arange(widest)]
+            won = np.concatenate([won, marks[..., None].astype(np.float32)], axis=3)
+        slope_filters = np.einsum("nfk,nf->kf", won.reshape(*winner.shape, -1), back)
+        sent = (back[:, :, None] * self.filters.T[None]).reshape(*back.shape, widest, channels)[..., : self.table.shape[1]]
         slope_table = np.zeros_like(self.table)
         np.add.at(slope_table, read.ravel(), sent.reshape(-1, self.table.shape[1]))
         return [slope_table, slope_filters, back.sum(axis=0), features.T @ error, error.sum(axis=0)]

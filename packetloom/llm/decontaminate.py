@@ -80,6 +80,13 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     quotes = np.flatnonzero((data == 0xE2) & (after == 0x80))
     for step in range(3):
         kind[np.minimum(quotes + step, len(kind) - 1)] = 0
+    # Scripts without spaces (kana and ideographs, Thai and Lao): each character is a token of its own; their
+    # punctuation (0xE3 0x80, and the full-width forms of ASCII punctuation) parts.
+    wide = np.flatnonzero(((data >= 0xE3) & (data <= 0xE9)) | ((data == 0xE0) & (after >= 0xB8) & (after <= 0xBB)))
+    third = data[np.minimum(np.arange(len(data)) + 2, len(data) - 1)]
+    full = (data == 0xEF) & (((after == 0xBC) & ((third <= 0x8F) | (third >= 0x9A) & (third <= 0xA0))) | ((after == 0xBD) & (third >= 0x9B) & (third <= 0xA5)))
+    for step in range(3):
+        kind[np.minimum(np.flatnonzero(full | ((data == 0xE3) & (after == 0x80))) + step, len(kind) - 1)] = 0
     # Latin-1 capitals: 0xC3 and a second byte from 0x80 to 0x9E.
     capital = np.flatnonzero((data == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97))
     lowered = np.where(_UPPER[data] == 1, data + 32, data).astype(np.uint8)
@@ -89,6 +96,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.ones(len(data) + 1, bool)
     edge[1:-1] = kind[1:] != kind[:-1]
     edge[starts] = True
+    edge[wide] = edge[np.minimum(wide + 3, len(data))] = True
     cuts = np.flatnonzero(edge)
     begins, ends = cuts[:-1], cuts[1:]
     real = kind[begins] > 0
@@ -198,7 +206,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = COVERED_P
     """``doc_id, text_key, item_id, n_tokens, n_covered, n_slots, n_changed`` of every document and item
     it contains: item tokens, tokens covered, distinct slots and those with another value.
 
-    NULL and empty texts have no windows, and items of fewer than three tokens match nothing; an item
+    In scripts without spaces every character is a token.  NULL and empty texts have no windows, and items of fewer than three tokens match nothing; an item
     shorter than a window has to occur as a whole.  Repeated documents and items are reported once each
     by id and text.  Other columns are ignored; an empty table on either side gives an empty table.
     """

@@ -20,10 +20,12 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Fixed values of HTML: elements without end, whose content is no text, and that stand inside lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-SILENT = RAW | frozenset("head svg math object select option button datalist canvas audio video map".split())
+SILENT = RAW | frozenset("head svg select option button datalist canvas audio video map annotation annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var".split()
+    "strike strong sub sup time tt u var math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+    "mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation "
+    "annotation-xml".split()
 )
 # A start tag of the key ends an open element of the values.
 _ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -75,6 +77,22 @@ def parse(html: str) -> Page:
     page = Page()
     # Open elements: name, node, whether text inside is shown.
     stack: list[tuple[str, int, bool]] = [("html", 0, True)]
+    # Where in it the elements of each name stand, so nothing has to be searched however deep a page is.
+    places: dict[str, list[int]] = {"html": [0]}
+
+    def finish(depth: int) -> tuple[bool, int]:
+        """Ends all elements from ``depth`` on: whether there was a block, and how many links."""
+        blocks, ended = False, 0
+        for name, _, _ in stack[depth:]:
+            places[name].pop()
+            blocks |= name not in INLINE
+            ended += name == "a"
+        del stack[depth:]
+        return blocks, ended
+
+    def nearest(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     at, block, links = 0, 0, 0
     while at < len(html):
         match = _TOKEN.search(html, at)
@@ -88,11 +106,9 @@ def parse(html: str) -> Page:
         if not name:
             continue
         if match["end"] or match["odd_end"]:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == name), 0)
-            if depth:
-                block += any(n not in INLINE for n, _, _ in stack[depth:])
-                links -= sum(n == "a" for n, _, _ in stack[depth:])
-                del stack[depth:]
+            if depth := nearest({name}):
+                blocks, ended = finish(depth)
+                block, links = block + blocks, links - ended
             continue
         attributes = match["attributes"] or ""
         if name in VOID:
@@ -110,13 +126,8 @@ def parse(html: str) -> Page:
         if not inline:
             block += 1
             closing, scope = _ENDS_ITSELF.get(name, {"p"}), _SCOPE.get(name, {"article", "section", "div", "td", "blockquote", "body"})
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in closing:
-                    links -= sum(n == "a" for n, _, _ in stack[depth:])
-                    del stack[depth:]
-                    break
-                if stack[depth][0] in scope:
-                    break
+            if (depth := nearest(closing)) and depth >= nearest(scope):
+                links -= finish(depth)[1]
         node = stack[-1][1]
         groups = _token_groups(attributes) if attributes.strip() else frozenset()
         shown = stack[-1][2] and name not in SILENT
@@ -129,6 +140,7 @@ def parse(html: str) -> Page:
             node = len(page.tags) - 1
         links += name == "a"
         if not attributes.rstrip().endswith("/") or name in INLINE or name in _TAG_CODE:
+            places.setdefault(name, []).append(len(stack))
             stack.append((name, node, shown))
     return page
 

@@ -8,7 +8,9 @@ finds the most likely labels among those in which nothing below a dropped node i
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 from packetloom.llm.boosted_trees import BoostedTrees
 from packetloom.llm.dom import TOKEN_GROUPS, Page, block_text, node_features, parse
 
-#: Pages of the sample, characters beyond which a page is not used for it, and layouts made.
-SAMPLE_PAGES, SAMPLE_CHARS, LAYOUTS = 200, 50_000, 400
+#: Pages of the sample, words of it that layouts are made of, and layouts.
+SAMPLE_PAGES, VOCABULARY, LAYOUTS = 200, 4000, 400
 TREES, DEPTH = 40, 5
 _MARK = ""
 _MAIN = list(TOKEN_GROUPS).index("main")
@@ -137,8 +139,8 @@ def layout(draw: np.random.Generator, words: list[str]) -> str:
 
 
 def learn(pages: DataFrame) -> BoostedTrees:
-    """Trees from a bounded sample of pages by hash, and from layouts made of their words."""
-    usable = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("html", F.xxhash64("html").alias("rank"))
+    """Trees from ``SAMPLE_PAGES`` whole pages by hash, and from layouts made of ``VOCABULARY`` of their words, by hash, too."""
+    usable = pages.where(F.col("html").isNotNull()).select("html", F.xxhash64("html").alias("rank"))
     # The smallest ranks first, without their pages: so a task sends numbers and not its candidates.
     ranks = [r.rank for r in usable.select("rank").distinct().orderBy("rank").limit(SAMPLE_PAGES).collect()]
     rows = usable.where(F.col("rank") <= max(ranks, default=0)).groupBy("rank").agg(F.min("html").alias("html")).collect()
@@ -151,13 +153,13 @@ def fit(sample: list[str]) -> BoostedTrees:
     x, y, words = [], [], set()
     for html in sample:
         page = parse(html)
-        words.update(w for _, _, text, _ in page.pieces[:40] for w in text.split()[:200])
+        words.update(w for _, _, text, _ in page.pieces for w in text.split())
         labels = _by_markup(page)
         if labels is not None:
             values, own = node_features(page)
             x.append(values)
             y.append(labels)
-    vocabulary = sorted(words) or ["text"]
+    vocabulary = sorted(heapq.nsmallest(VOCABULARY, words, key=lambda w: (crc32(w.encode()), w))) or ["text"]
     for _ in range(LAYOUTS):
         page = parse(layout(draw, vocabulary))
         held = np.zeros(len(page.tags), bool)

@@ -15,30 +15,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from packetloom.llm.byte_cnn import ByteCNN, cut_windows
-from packetloom.llm.support import fold_of, text_blocks
+from packetloom.llm.support import fold_of, materialize, text_blocks
 
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
 WIDTHS, PER_WIDTH, EMBEDDING = (2, 3, 4, 5), 16, 8
 WINDOW, OVERLAP = 256, 4
-#: The sample that the network learns from: texts per language, and characters of each from a place that its hash names.
-TEXTS_PER_LANGUAGE, SAMPLE_CHARS = 800, 1000
+#: The sample that the network learns from: texts per language, whole.
+TEXTS_PER_LANGUAGE = 400
 EPOCHS, BATCH, RATE = 4, 64, 0.01
 _LETTER = "\\p{L}"
 
 
 def learn(docs: DataFrame) -> ByteCNN | None:
     """A network from labelled texts outside the held-out fold; None if there are none."""
-    order = W.partitionBy("lang").orderBy("rank", "doc_id", "text")
+    order = W.partitionBy("lang").orderBy("rank", "doc_id")
     usable = F.col("lang").isNotNull() & F.col("text").rlike(_LETTER) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
-    start = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1))
-    sample = (
-        docs.where(usable)
-        .select("lang", "doc_id", F.xxhash64(F.lit(2), "doc_id", "text").alias("rank"), F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= TEXTS_PER_LANGUAGE)
-        .select("lang", "text").collect()
-    )
+    ranked = docs.where(usable).select("lang", "doc_id", F.xxhash64(F.lit(2), "doc_id", "text").alias("rank"), "text")
+    # The ranks first, without texts: so a task sends numbers, and only the texts of the sample are looked up.
+    drawn = ranked.drop("text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= TEXTS_PER_LANGUAGE)
+    drawn = F.broadcast(materialize(drawn.select("lang", "rank").distinct(), "language-sample"))
+    sample = ranked.join(drawn, ["lang", "rank"]).select("lang", "text").distinct().collect()
     if not sample:
         return None
     sample.sort()

@@ -11,6 +11,7 @@ finds its bin from its number among the pieces of its length.
 
 from __future__ import annotations
 
+import re
 from array import array
 from base64 import b64decode
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ from packetloom.llm.support import materialize, texts_of
 CAPACITY = 2048
 END_ID = 0
 SPECIAL = "<|endoftext|>"
+_LONG_SPACE = re.compile(r"\s{100000}")
 _encoders: dict[str, object] = {}
 
 
@@ -35,7 +37,8 @@ def encoder(name: str):
     """Function from a text to its ids (array of unsigned 32 bit) for a tokenizer file.
 
     The rank file beside it holds the same vocabulary for a faster encoder.  Its ids are equal for
-    Latin text; text with other letters or a special token's string takes the tokenizer file itself.
+    Latin text; text with other letters, a special token's string or a run of white space that the fast
+    encoder's pattern cannot hold takes the tokenizer file itself.
     """
     if name not in _encoders:
         import public_tokenizers
@@ -48,7 +51,7 @@ def encoder(name: str):
         fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> array:
-            if SPECIAL in text or (not text.isascii() and max(text) > "ɏ"):
+            if SPECIAL in text or (not text.isascii() and max(text) > "ɏ") or _LONG_SPACE.search(text):
                 return array("I", exact.encode(text, add_special_tokens=False).ids)
             return array("I", fast.encode_ordinary(text))
 
@@ -156,7 +159,8 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
 
-    NULL texts count as empty: one end token.  Repeated rows are packed as often as they come.  Other
+    NULL texts count as empty: one end token.  Texts are tokenised whole, also those of a million spaces or line
+    breaks.  Repeated rows are packed as often as they come.  Other
     columns are ignored.  An empty table gives an empty table.
     """
     made = materialize(pieces(docs, tokenizer, capacity, with_ids), "pieces")

@@ -16,7 +16,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,9 +62,10 @@ class _Draw:
         return values[self.below(len(values))]
 
 
-def _shaped(draw: _Draw, text: str) -> str:
-    """Letters for letters of the same case, digits for digits, all else as it stands."""
-    hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) is not None
+def _shaped(draw: _Draw, text: str, secret: bool = False) -> str:
+    """Letters for letters of the same case, digits for digits, all else as it stands; a secret of
+    hexadecimal digits stays one."""
+    hexadecimal = secret and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) is not None
     out = []
     for c in text:
         if c.isascii() and c.isdigit():
@@ -80,6 +81,27 @@ def _shaped(draw: _Draw, text: str) -> str:
     return "".join(out)
 
 
+def _reach(first: int, second: int) -> str:
+    """The range of addresses that the first two parts name."""
+    if first in (10, 127):
+        return str(first)
+    if first == 172 and 16 <= second < 32:
+        return "172.16/12"
+    return f"{first}.{second}" if (first, second) in ((192, 168), (169, 254)) else "public" if 0 < first < 224 else "special"
+
+
+def _address(draw: _Draw, norm: str) -> str:
+    """Another address of the same range: private, loopback, link-local, special or public."""
+    parts = [int(p) for p in norm.split(".")]
+    reach = _reach(*parts[:2])
+    while True:
+        first, second = draw.below(256), draw.below(256)
+        if reach != "public":
+            first, second = parts[0], 16 + second % 16 if reach == "172.16/12" else second if reach in ("10", "127", "special") else parts[1]
+        if _reach(first, second) == reach:
+            return f"{first}.{second}.{draw.below(256)}.{1 + draw.below(254)}"
+
+
 def luhn(digits: str) -> int:
     """Luhn sum modulo 10: 0 for a valid number."""
     total = 0
@@ -111,10 +133,7 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
             digits = next(digits[:-1] + d for d in "0123456789" if luhn(digits[:-1] + d) == 0)
         return digits
     if kind == "ip":
-        parts = norm.split(".")
-        private = parts[0] == "10" or parts[:2] == ["192", "168"]
-        kept = parts[: 1 if parts[0] == "10" else 2] if private else []
-        return ".".join(kept + [str(1 + draw.below(223 if i == 0 and not private else 254)) for i in range(4 - len(kept))])
+        return _address(draw, norm)
     if kind == "email":
         local, domain = norm.rsplit("@", 1)
         host, end = domain.rsplit(".", 1)
@@ -125,16 +144,16 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
         number = int("".join(str(int(c, 36)) for c in drawn + norm[:2] + "00"))
         return f"{norm[:2]}{98 - number % 97:02d}{drawn}"
     if kind == "secret":
-        return _shaped(draw, norm)
+        return _shaped(draw, norm, secret=True)
     part, *gender, script = kind.split("-")
     if part == "initial":
         return _initial(norm, key)
     names = SURNAMES[script] if part == "surname" else [
         n for g in ("f", "m") for n in GIVEN_NAMES[g] if gender[0] in (g, "u") and script_of(n) == script
     ]
-    if attempt < 3:
+    if attempt < 1:
         return draw.of(names).lower()
-    made = "".join(draw.of(_PARTS[script]) for _ in range(2 + attempt // 4))
+    made = "".join(draw.of(_PARTS[script]) for _ in range(2 + attempt // 2))
     return made + (_ENDS.get((gender[0], script), "") if gender else "")
 
 
@@ -211,27 +230,26 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """``kind, norm, attempt, surrogate`` with distinct surrogates per kind (of all names together) that are
     no entity of that kind.
 
-    Each round, of the entities that drew the same surrogate the one with fewest attempts (then the
-    smallest) keeps it and the others draw again; rounds end when none has to.
+    Each round, of the entities that drew the same surrogate the smallest keeps it, unless it is taken, and
+    the others draw again; rounds end when none has to.  A round writes what it settles and who draws again,
+    and nothing of the rounds before.
     """
-    pool, place = _pool(F.col("kind")).alias("pool"), F.struct("attempt", "norm", "kind")
+    pool = _pool(F.col("kind")).alias("pool")
     names = entities.select(pool, F.col("norm").alias("surrogate")).distinct()
-    drawn = materialize(_drawn(entities.select("kind", "norm", F.lit(0).alias("attempt")), key), "surrogates")
+    taken, settled, left, attempt = [names], [], entities.select("kind", "norm"), 0
     while True:
-        first = drawn.groupBy(pool, "surrogate").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-        taken = first.join(names.withColumn("_is", F.lit(True)), ["pool", "surrogate"], "left")
-        clash = taken.where((F.col("n") > 1) | F.col("_is")).select("pool", "surrogate", "first", "_is")
-        judged = materialize(
-            drawn.withColumn("pool", pool).join(clash, ["pool", "surrogate"], "left").select(
-                "kind", "norm", "attempt", "surrogate",
-                (F.col("_is").isNotNull() | (F.col("first").isNotNull() & (F.col("first") != place))).alias("again"),
-            ),
-            "judged",
-        )
-        if judged.where("again").isEmpty():
-            return drawn
-        again = judged.where("again").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
-        drawn = materialize(judged.where("not again").drop("again").union(_drawn(again, key)), "surrogates")
+        drawn = materialize(_drawn(left.withColumn("attempt", F.lit(attempt)), key), "drawn")
+        # The smallest of each value comes out of the aggregation itself, so no join meets a value that many drew.
+        first = drawn.groupBy(pool, "surrogate").agg(F.min(F.struct("norm", "kind")).alias("first"))
+        for held in taken:
+            first = first.join(held, ["pool", "surrogate"], "left_anti")
+        won = materialize(first.select("first.kind", "first.norm", F.lit(attempt).alias("attempt"), "surrogate"), "settled")
+        settled.append(won)
+        left = materialize(left.join(won, ["kind", "norm"], "left_anti"), "again")
+        if left.isEmpty():
+            return reduce(DataFrame.union, settled)
+        taken.append(won.select(pool, "surrogate"))
+        attempt += 1
 
 
 def replace(docs: DataFrame, key: str = DEMONSTRATION_KEY) -> DataFrame:

@@ -20,8 +20,8 @@ from packetloom.llm.support import fold_of, labelled_sample, text_blocks, texts_
 FOLDS, HELD_OUT = 3, 1
 WIDTHS, PER_WIDTH, EMBEDDING = (3, 5), 24, 8
 CHUNK, STRIDE = 512, 384
-#: The sample that the network learns from: documents of each label, and characters of each from a place that its hash names.
-TEXTS_PER_LABEL, SAMPLE_CHARS = 1500, 1500
+#: The sample that the network learns from: documents of each label, with their whole texts.
+TEXTS_PER_LABEL = 1000
 EPOCHS, BATCH, RATE = 5, 32, 0.01
 THRESHOLD = 0.5
 
@@ -31,7 +31,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ByteCNN | None:
 
     Labels are sampled evenly; the output bias is then moved so that scores fit the labels' true shares.
     """
-    sample, totals = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, TEXTS_PER_LABEL, SAMPLE_CHARS)
+    sample, totals = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, TEXTS_PER_LABEL)
     if len(totals) < 2:
         return None
     windows, owner = cut_windows([text for text, _ in sample], CHUNK, STRIDE)

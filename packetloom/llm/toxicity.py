@@ -22,8 +22,8 @@ from packetloom.llm.support import fold_of, labelled_sample, text_blocks, texts_
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: The sample that the field learns from: documents of each label, and characters of each from a place that its hash names.
-TEXTS_PER_LABEL, SAMPLE_CHARS = 1500, 3000
+#: The sample that the field learns from: documents of each label, with their whole texts.
+TEXTS_PER_LABEL = 1000
 TABLE_BITS = 18
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (3, 4)
 # A feature marks toxic tokens if it is this many times more frequent among toxic documents.
@@ -206,7 +206,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
     """A field from labelled texts outside the held-out fold; None unless both labels occur."""
-    sample, totals = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, TEXTS_PER_LABEL, SAMPLE_CHARS)
+    sample, totals = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, TEXTS_PER_LABEL)
     if len(totals) < 2:
         return None
     return fit(sample, totals)
