@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.storagelevel import StorageLevel
 
-from packetloom.functions.headers import summarize_packets
+from packetloom.functions.headers import decode_frames, summarize_packets
 from packetloom.models.base import AnomalyModel
 from packetloom.operators.alerts import project_alerts, render_alerts
-from packetloom.operators.gaps import last_packets
+from packetloom.operators.clean import clean_features
 from packetloom.plans.detect import score_table
 from packetloom.plans.extract import extract_features
-from packetloom.schema import FRAME_SCHEMA
-from packetloom.sources.paths import child_names, delete_path
+from packetloom.schema import FEATURE_COLUMNS, FRAME_SCHEMA
+from packetloom.streaming.gap_state import IDLE_SECONDS, STATE_STORE, STORE_SETTING, stateful_gaps
 
 KEYS = ("capture_id", "packet_no")
-STATE_SCHEMA = "capture_id STRING, last_no LONG, last_us LONG"
-KEPT_STATES = 3
 
 
 def frame_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -64,6 +61,30 @@ def start_live_detection(
     return _writer(alerts, checkpoint, available_now).format("parquet").outputMode("append").start(alert_path)
 
 
+def live_gaps(frames: DataFrame, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+    """Clean packet features of a stream with real inter-arrival times, and ``late`` for packets that came
+    after later ones of their capture."""
+    decoded = decode_frames(frames)
+    clean = clean_features(decoded.select(*KEYS, "ts_us", *FEATURE_COLUMNS), FEATURE_COLUMNS)
+    gaps = stateful_gaps(clean, idle_seconds)
+    return gaps.withColumn("inter_arrival_time", F.col("gap_us") / F.lit(1e6)).drop("gap_us")
+
+
+def start_with_state(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Starts a query with keyed state into a folder of Parquet files, which delivers each row exactly once."""
+    # Timers of processing time would ask for empty batches for ever; they fire with the next packets instead.
+    settings = {STORE_SETTING: STATE_STORE, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    conf = stream.sparkSession.conf
+    before = {name: conf.get(name, None) for name in settings}
+    try:  # a query keeps the settings of its start
+        for name, value in settings.items():
+            conf.set(name, value)
+        return _writer(stream, checkpoint, available_now).format("parquet").outputMode("append").start(path)
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+
+
 def start_live_detection_with_gaps(
     frames: DataFrame,
     model: AnomalyModel,
@@ -73,33 +94,13 @@ def start_live_detection_with_gaps(
     host: str = "localhost",
     available_now: bool = False,
     now: Column | None = None,
+    idle_seconds: float = IDLE_SECONDS,
 ) -> StreamingQuery:
     """Scoring with real inter-arrival times across micro-batches.
 
-    The last packet of every capture is kept as a small table per batch under the checkpoint.
-    Inside a batch the gaps are taken in chunks, so a capture with most of the traffic is not
-    one task's state.  Batches write under their own number, so a replayed batch replaces its
-    output instead of repeating it.  Each capture must arrive in order.
+    The last packet of every live capture is keyed state in Spark's state store; a capture that stays idle is
+    forgotten, and packets that come late are scored with gap 0 (see :class:`~packetloom.streaming.gap_state.GapState`).
     """
-    spark = frames.sparkSession
-    states = f"{checkpoint}/last-packets"
-
-    def run(batch: DataFrame, number: int) -> None:
-        known = [int(name.split("=")[1]) for name in child_names(spark, states) if name.startswith("batch=")]
-        earlier = [n for n in known if n < number]
-        state = spark.createDataFrame([], STATE_SCHEMA)
-        if earlier:
-            state = spark.read.schema(STATE_SCHEMA).parquet(f"{states}/batch={max(earlier)}")
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        alerts = live_alerts(batch, model, model_name, host, now, initial=state, gaps=True)
-        alerts.write.mode("overwrite").parquet(f"{alert_path}/batch={number}")
-        fresh = state.unionByName(last_packets(batch, *KEYS, "ts_us"))
-        last = fresh.groupBy("capture_id").agg(
-            F.max("last_no").alias("last_no"), F.max_by("last_us", "last_no").alias("last_us")
-        )
-        last.write.mode("overwrite").parquet(f"{states}/batch={number}")
-        batch.unpersist()
-        for old in sorted(earlier)[: -KEPT_STATES]:
-            delete_path(spark, f"{states}/batch={old}")
-
-    return _writer(frames, checkpoint, available_now).foreachBatch(run).start()
+    features = live_gaps(frames, idle_seconds).drop("ts_us", "late")
+    alerts = project_alerts(score_table(model, features), model_name, model.model_type, keep=KEYS)
+    return start_with_state(render_alerts(alerts, host, now, keep=KEYS), alert_path, checkpoint, available_now)

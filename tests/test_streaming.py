@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from packetloom.models.base import AnomalyModel
 from packetloom.schema import FRAME_SCHEMA
-from packetloom.sources.paths import child_names
 from packetloom.streaming.live import (
     frame_stream,
     live_alerts,
+    live_gaps,
     live_summary,
     start_live_detection,
     start_live_detection_with_gaps,
+    start_with_state,
 )
 
 NOW = "2024-06-01 12:30:00"
@@ -71,14 +72,11 @@ def test_equals_batch_after_a_restart(spark, setting, tmp_path, gaps):
             land(frames, feed, condition)
         query = start(frame_stream(spark, feed, 1), model, "m", out, state, "box", available_now=True, now=now)
         query.awaitTermination()
-    found = spark.read.parquet(out).drop("batch")
+    found = spark.read.parquet(out)
     assert same(found, live_alerts(frames, model, "m", "box", now, gaps=gaps))
-    if gaps:
-        states = [n for n in child_names(spark, f"{state}/last-packets") if n.startswith("batch=")]
-        assert 1 <= len(states) <= 4
 
 
-def test_replayed_batch_replaces_its_output(spark, setting, tmp_path):
+def test_replayed_batch_adds_nothing(spark, setting, tmp_path):
     frames, model = setting
     feed, out, state = (str(tmp_path / name) for name in ("feed", "out", "state"))
     now = F.lit(NOW).cast("timestamp")
@@ -91,7 +89,24 @@ def test_replayed_batch_replaces_its_output(spark, setting, tmp_path):
     for name in ("1", ".1.crc"):  # as if the driver was lost before the last commit
         (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
     run()
-    assert same(spark.read.parquet(out).drop("batch"), live_alerts(frames, model, "m", "box", now, gaps=True))
+    assert same(spark.read.parquet(out), live_alerts(frames, model, "m", "box", now, gaps=True))
+
+
+def test_idle_captures_are_forgotten_and_late_packets_marked(spark, setting, tmp_path):
+    frames, _ = setting
+    feed, out, state = (str(tmp_path / name) for name in ("feed", "out", "state"))
+    # The second landing brings packet 3 late; its captures are idle at once; the third goes on after both.
+    landings = [("packet_no < 8 and packet_no <> 3", 3600), ("capture_id <> 'b' and (packet_no = 3 or packet_no = 8)", 0), ("packet_no > 8", 3600)]
+    for condition, idle in landings:
+        land(frames, feed, condition)
+        start_with_state(live_gaps(frame_stream(spark, feed), idle), out, state, available_now=True).awaitTermination()
+    times = {(r.capture_id, r.packet_no): r.ts_us for r in frames.collect()}
+    found = {(r.capture_id, r.packet_no): (round(r.inter_arrival_time * 1e6), r.late) for r in spark.read.parquet(out).collect()}
+    assert found["hot", 3] == found["c", 3] == (0, True) and sum(late for _, late in found.values()) == 2
+    assert found["hot", 4] == (times["hot", 4] - times["hot", 2], False) and found["hot", 8] == (times["hot", 8] - times["hot", 7], False)
+    assert found["hot", 9] == (0, False)  # forgotten
+    assert found["b", 9] == (times["b", 9] - times["b", 7], False)  # not touched by the second landing
+    assert found["b", 10] == (times["b", 10] - times["b", 9], False) and found["b", 0] == (0, False)
 
 
 def test_live_summary(spark, setting, tmp_path):
