@@ -31,7 +31,7 @@ from packetloom.session import scratch_path
 from packetloom.sources.captures import read_captures
 from packetloom.sources.files import create_binary
 from packetloom.sources.paths import make_directory
-from packetloom.sources.sinks import write_alerts, write_table
+from packetloom.sources.sinks import read_alerts, write_alerts, write_table
 from packetloom.sources.tabular import load_dataset
 from packetloom.streaming.live import (
     frame_stream,
@@ -120,8 +120,8 @@ def alert_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = project_alerts(line_packets(spark, sf_dir), "distance_v1", "distance")
     lines, logs = _folder(spark, "lines"), _folder(spark, "logs")
     write_alerts(alerts, lines, logs, "both", host=ALERT_HOST, now=alert_time())
-    return spark.read.text([lines]).withColumn("sink", F.lit("file")).unionByName(
-        spark.read.text([logs]).withColumn("sink", F.lit("syslog"))
+    return read_alerts(spark, lines).withColumn("sink", F.lit("file")).unionByName(
+        read_alerts(spark, logs).withColumn("sink", F.lit("syslog"))
     )
 
 

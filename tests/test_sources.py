@@ -11,7 +11,7 @@ from packetloom.plans.extract import load_input
 from packetloom.plans.prepare import combine_sources, prepare_dataset
 from packetloom.session import checkpoint_root, checkpointed, materialize, release_scratch, scratch_path
 from packetloom.sources.paths import path_exists, unused_path
-from packetloom.sources.sinks import read_document, write_alerts, write_document, write_table
+from packetloom.sources.sinks import _append_lines, read_alerts, read_document, write_alerts, write_document, write_table
 from packetloom.sources.tabular import load_dataset, with_source_name
 
 
@@ -145,3 +145,20 @@ def test_alert_delivery(spark, scored, tmp_path):
     assert write_alerts(alerts, lines, None, "both")  # one delivery fails, the other works
     assert not write_alerts(alerts, None, None, "syslog")
     assert not write_alerts(alerts, lines, mode="pigeon")
+
+
+def test_alert_files_are_closed_by_size(spark, tmp_path):
+    texts = [("é" * (i * 37 % 90)) + str(i) for i in range(400)] + ["x" * 5000]
+    lines = spark.createDataFrame([(t,) for t in texts], "value STRING").repartition(3)
+    order = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # files go on over batches
+    try:
+        _append_lines(lines, str(tmp_path / "out"), 1000)
+        _append_lines(lines.limit(0), str(tmp_path / "out"), 1000)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", order)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "out").rglob("part-*"))
+    assert sizes[-1] == 5001 and sizes[-2] <= 1000  # a line beyond the limit is alone
+    assert len(sizes) <= 3 + 2 * sum(sizes) / 1000
+    found = read_alerts(spark, str(tmp_path / "out"))
+    assert found.columns == ["value"] and sorted(r.value for r in found.collect()) == sorted(texts)
