@@ -15,6 +15,7 @@ from pyspark.storagelevel import StorageLevel
 
 from packetloom.operators.alerts import DEFAULT_APP, render_alerts
 from packetloom.sources.paths import unused_path
+from packetloom.sources.quoted import CSV_OPTIONS
 
 log = logging.getLogger(__name__)
 
@@ -28,7 +29,7 @@ def write_table(df: DataFrame, path: str, file_format: str = "csv") -> str:
     target = unused_path(df.sparkSession, path)
     writer = df.write.mode("errorifexists").format(file_format)
     if file_format == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **CSV_OPTIONS)
     writer.save(target)
     return target
 

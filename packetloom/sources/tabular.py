@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import posixpath
 from collections.abc import Iterator
 
@@ -15,24 +16,21 @@ from packetloom.operators.clean import require_no_text, text_or_null
 from packetloom.operators.dataset import combine
 from packetloom.schema import FEATURE_SCHEMA, LABEL
 from packetloom.session import materialize
-from packetloom.sources.files import list_files, open_binary
+from packetloom.sources.files import list_files
 from packetloom.sources.paths import is_directory, path_exists
+from packetloom.sources.quoted import CSV_OPTIONS, first_record, read_quoted
 
 _KNOWN_TYPES = {f.name: f.dataType for f in FEATURE_SCHEMA} | {LABEL: T.IntegerType()}
 
 
 def _first_record(path: str) -> list[str]:
-    with open_binary(path) as stream:
-        text = b""
-        while b"\n" not in text and (piece := stream.read(1 << 16)):
-            text += piece
-    line = text.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
-    return next(csv.reader([line]), [])
+    text = first_record(path).decode("utf-8-sig").rstrip("\r\n")
+    return next(csv.reader(io.StringIO(text, newline="")), [])
 
 
 def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"path": batch["path"], "header": [_first_record(p) for p in batch["path"]]})
+        yield batch.assign(header=[_first_record(p) for p in batch["path"]])
 
 
 def _text_schema(header: list[str]) -> T.StructType:
@@ -41,38 +39,50 @@ def _text_schema(header: list[str]) -> T.StructType:
 
 def _read(spark: SparkSession, paths: str | list[str], header: list[str], infer: bool) -> DataFrame:
     """Files that share one header.  ``infer`` costs one more pass over the data."""
-    reader = spark.read.option("header", True).option("pathGlobFilter", "*.csv")
+    reader = spark.read.options(header=True, pathGlobFilter="*.csv", **CSV_OPTIONS)
     if infer:
         return reader.option("inferSchema", True).csv(paths)
     return reader.schema(_text_schema(header)).csv(paths)
 
 
-def load_text(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field of these tables holds a line break: some line then has an odd number of quotes."""
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.filter(quotes % 2 == 1).isEmpty()
+
+
+def load_text(spark: SparkSession, path: str, infer: bool = False, source: str | None = None) -> DataFrame:
     """One CSV file, or all ``*.csv`` directly inside a directory, united by column name, as text.
 
     Files are grouped by identical header, since one reader binds columns by position.
     Headers are read in tasks, once per file; the driver gets the distinct ones with their paths.
+    Quoted fields may hold line breaks: one scan of the lines tells, and only tables that have any
+    are cut into records by ``quoted`` (their columns stay text).  ``source`` names a column for the base
+    name of each row's file.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    if is_directory(spark, path):
-        files = list_files(spark, path, "*.csv").select("path")
-    else:
-        files = spark.createDataFrame([(path,)], "path STRING")
-    headers = materialize(files.mapInPandas(_headers, "path STRING, header ARRAY<STRING>"), "headers")
-    # One reader per distinct header, so the paths of each are needed here, once.
-    distinct = headers.groupBy("header").agg(F.min("path").alias("first"), F.collect_list("path").alias("paths")).collect()
+    files = list_files(spark, path, "*.csv" if is_directory(spark, path) else "*")
+    headers = materialize(files.mapInPandas(_headers, "path STRING, length LONG, header ARRAY<STRING>"), "headers")
+    quoted = has_quoted_breaks(spark, path)
+    # One reader per distinct header; Spark's reader needs the paths of each here, once.
+    paths = F.lit(None).cast("array<string>") if quoted else F.collect_list("path")
+    distinct = headers.groupBy("header").agg(F.min("path").alias("first"), paths.alias("paths")).collect()
     if not distinct:
         raise ValueError(f"no CSV files in {path}")
     for row in distinct:
         if not row.header:
             raise ValueError(f"empty CSV file: {row.first}")
-    if len(distinct) == 1:
-        return _read(spark, path, distinct[0].header, infer)
     tables = []
     for row in sorted(distinct, key=lambda r: r.first):
-        tables.append(_read(spark, sorted(row.paths), row.header, infer))
-    return combine(tables)
+        if quoted:
+            own = headers.filter(F.col("header") == F.array(*map(F.lit, row.header)))
+            tables.append(read_quoted(own.select("path", "length"), row.header, source))
+            continue
+        found = _read(spark, path if len(distinct) == 1 else sorted(row.paths), row.header, infer)
+        tables.append(with_source_name(found, source) if source else found)
+    return combine(tables) if len(tables) > 1 else tables[0]
 
 
 def _number(name: str, data_type: T.DataType) -> Column:
@@ -102,14 +112,14 @@ def typed(
 
 
 def load_dataset(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = False, source: str | None = None
 ) -> DataFrame:
     """CSV tables with the types declared in ``schema`` (or those of the packet features).
 
     Values that do not fit become NULL; other columns stay text until a caller asks for
     numbers.  ``infer`` asks for inferred types instead.
     """
-    df = load_text(spark, path, infer)
+    df = load_text(spark, path, infer, source)
     return df if infer else typed(df, schema)
 
 
