@@ -23,6 +23,7 @@ from packetloom.operators.gaps import with_gaps
 from packetloom.operators.quantiles import exact_percentile, exact_percentiles
 from packetloom.operators.scaling import fit_scaler, scale, scaler_stats
 from packetloom.plans.catalog_files import ALERT_HOST, FILE_QUERIES, alert_time
+from packetloom.plans.catalog_jobs import JOB_QUERIES
 from packetloom.plans.tables import (
     LINE_FEATURES,
     ORDER_FEATURES,
@@ -43,6 +44,8 @@ from packetloom.sources.captures import bounded_capture
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY = ["o_orderkey"]
+# Kind, registered name and settings of the models that are saved and loaded, all at their defaults.
+RELOADED = [(n, n, {}) for n in ("autoencoder", "random_forest", "svm")] + [("kernel_svm", "svm", {"kernel": "rbf"})]
 CORRELATED = [*LINE_FEATURES, "l_partkey", "l_suppkey", "l_linenumber"]
 
 
@@ -328,49 +331,73 @@ def _scores(spark: SparkSession, sf_dir: str, model) -> DataFrame:
     return model.transform(orders).select("o_orderkey", "label", "prediction", "score")
 
 
-def _facts(scores: DataFrame) -> DataFrame:
-    """Per class what holds of any trained model: every row has a score, and predictions follow the scores."""
-    edges = scores.agg(
-        F.max(F.when(F.col("prediction") == 0, F.col("score"))).alias("below"),
-        F.min(F.when(F.col("prediction") == 1, F.col("score"))).alias("above"),
+def _facts(spark: SparkSession, sf_dir: str, model, cut: Callable[[], float], holds: Callable[[DataFrame], bool]) -> DataFrame:
+    """Per class what holds of a trained model and not of a constant one.
+
+    Every row has a score, scores differ, predictions are the scores beyond the cut, and ``holds`` of the
+    training rows what the fit promises.
+    """
+    scores = _scores(spark, sf_dir, model)
+    part = D.assign_split(labelled_orders(spark, sf_dir), KEY).select(*KEY, "part")
+    scores = materialize(scores.join(part, KEY), "facts")
+    follows = F.col("prediction") == (F.col("score") > F.lit(cut())).cast("int")
+    return scores.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("score").alias("scored"),
+        F.count_if(follows).alias("followed"),
+        (F.min("score") < F.max("score")).alias("varied"),
+        F.lit(holds(scores.filter("part = 0"))).alias("holds"),
     )
-    counted = scores.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("scored"))
-    # One row of edges: the join adds two numbers to each class.
-    ordered = F.coalesce(F.col("below") <= F.col("above"), F.lit(True))
-    return counted.join(edges).select("label", "n", "scored", ordered.alias("ordered"))
+
+
+def _separates(train: DataFrame) -> bool:
+    """Trees that end in pure leaves rank the rows they were grown on."""
+    return M.roc_auc(train) > 0.99
+
+
+def _calibrated(train: DataFrame) -> bool:
+    """Sigmoids fitted by likelihood reproduce the share of the classes."""
+    gap = train.agg(F.avg("score") - F.avg("label")).first()[0]
+    return abs(gap) < 0.02
+
+
+def _flags_its_share(train: DataFrame) -> bool:
+    """A threshold at the 95th percentile leaves a twentieth of the normal training rows above."""
+    n, flagged = train.filter("label = 0").agg(F.count(F.lit(1)), F.sum("prediction")).first()
+    return abs(flagged - 0.05 * n) <= 1 + 0.001 * n
 
 
 def rf_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(materialize(rf_scores(spark, sf_dir), "facts"))
+    return _facts(spark, sf_dir, RandomForestModel(), lambda: 0.5, _separates)
 
 
 def svm_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(materialize(svm_scores(spark, sf_dir), "facts"))
+    return _facts(spark, sf_dir, SVMModel(), lambda: 0.5, _calibrated)
 
 
 def kernel_svm_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(materialize(kernel_svm_scores(spark, sf_dir), "facts"))
+    return _facts(spark, sf_dir, SVMModel(kernel="rbf"), lambda: 0.5, _calibrated)
 
 
 def autoencoder_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(materialize(autoencoder_scores(spark, sf_dir), "facts"))
+    model = AutoencoderModel()
+    return _facts(spark, sf_dir, model, lambda: model.threshold, _flags_its_share)
 
 
 def model_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per model: rows, and rows that score differently once the model was saved and loaded by its name."""
     orders = labelled_orders(spark, sf_dir)
     found = []
-    for name in ("random_forest", "svm"):
-        model = build_model(name, **({"trees": 5, "max_depth": 5} if name == "random_forest" else {"max_iter": 5}))
-        model.fit(orders.drop("o_orderkey"))
+    for kind, name, wanted in RELOADED:
+        model = build_model(name, **wanted).fit(orders.drop("o_orderkey"))
         path = model.save(spark, f"{scratch_path(spark)}/reload/{uuid.uuid4().hex}")
         again = build_model(name).load(spark, path)
         both = model.transform(orders).select("o_orderkey", F.col("score").alias("before")).join(
             again.transform(orders).select("o_orderkey", "score"), "o_orderkey"
         )
         different = F.count_if(~F.col("before").eqNullSafe(F.col("score")))
-        found.append(both.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), different.alias("different")))
-    return found[0].unionByName(found[1])
+        found.append(both.agg(F.lit(kind).alias("model"), F.count(F.lit(1)).alias("n"), different.alias("different")))
+    return D.combine(found)
 
 
 def rf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,6 +456,7 @@ QUERIES: dict[str, Query] = {
     "alerts": alerts,
     "syslog_lines": syslog_lines,
     **FILE_QUERIES,
+    **JOB_QUERIES,
     "rf_scores": rf_scores,
     "svm_scores": svm_scores,
     "kernel_svm_scores": kernel_svm_scores,

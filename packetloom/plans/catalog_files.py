@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from packetloom.models.base import AnomalyModel
 from packetloom.operators.alerts import project_alerts
 from packetloom.operators.quantiles import exact_percentile
-from packetloom.operators.scaling import Scaler, fit_scaler
+from packetloom.operators.scaling import SCALER_SCHEMA, Scaler, fit_scaler
 from packetloom.plans.detect import detect
 from packetloom.plans.extract import land_captures
 from packetloom.plans.prepare import prepare_dataset
@@ -52,7 +52,7 @@ ORDER_SCHEMA = T.StructType(
 )
 
 
-def _folder(spark: SparkSession, name: str) -> str:
+def folder_for(spark: SparkSession, name: str) -> str:
     return f"{scratch_path(spark)}/catalog/{name}-{uuid.uuid4().hex}"
 
 
@@ -63,13 +63,13 @@ def alert_time() -> Column:
 
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as a CSV table and read back with declared types."""
-    path = write_table(labelled_orders(spark, sf_dir), _folder(spark, "orders") + ".csv")
+    path = write_table(labelled_orders(spark, sf_dir), folder_for(spark, "orders") + ".csv")
     return load_dataset(spark, path, ORDER_SCHEMA)
 
 
 def csv_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One folder of files with two different headers, united by column name."""
-    orders, path = labelled_orders(spark, sf_dir), _folder(spark, "folder")
+    orders, path = labelled_orders(spark, sf_dir), folder_for(spark, "folder")
     for columns in (["o_orderkey", "o_custkey", "label"], ["o_totalprice", "label", "o_orderkey"]):
         orders.select(*columns).write.mode("append").option("header", True).csv(path)
     return load_dataset(spark, path, ORDER_SCHEMA)
@@ -78,9 +78,9 @@ def csv_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping sources combined, balanced and split; the part of every row kept."""
     orders = labelled_orders(spark, sf_dir).select("o_orderkey", "label")
-    sources = [write_table(orders, _folder(spark, f"source{i}") + ".csv") for i in range(2)]
+    sources = [write_table(orders, folder_for(spark, f"source{i}") + ".csv") for i in range(2)]
     written = prepare_dataset(
-        spark, _folder(spark, "set") + ".parquet", sources, balance=True, split=True,
+        spark, folder_for(spark, "set") + ".parquet", sources, balance=True, split=True,
         keys=["o_orderkey"], file_format="parquet", schema=ORDER_SCHEMA,
     )
     parts = [spark.read.parquet(written[name]).withColumn("part", F.lit(name)) for name in ("train", "test")]
@@ -97,20 +97,31 @@ class DistanceModel(AnomalyModel):
 
     def _fit(self, df: DataFrame, label: str | None) -> None:
         self.scaler = fit_scaler(df, self.features)
+        self.training_rows = self.scaler.rows
         self.threshold = exact_percentile(df.select(distance(self.scaler).alias("score")), "score", 0.95)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         scored = df.withColumn("score", distance(self.scaler)).withColumn("anomaly_score", F.col("score"))
         return scored.withColumn("prediction", (F.col("score") > F.lit(self.threshold)).cast("int"))
 
+    def describe(self) -> dict[str, float]:
+        return {"threshold": self.threshold}
+
+    def _save(self, spark: SparkSession, path: str) -> None:
+        self.scaler.to_frame(spark).coalesce(1).write.parquet(f"{path}/scaler")
+
+    def _load(self, spark: SparkSession, path: str) -> None:
+        self.scaler = Scaler.from_frame(spark.read.schema(SCALER_SCHEMA).parquet(f"{path}/scaler"))
+        self.threshold = self.metadata["threshold"]
+
 
 def batch_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole detection job: fit, score, write the table, forward the alerts."""
     lines = labelled_lines(spark, sf_dir).select("l_orderkey", "l_linenumber", *LINE_FEATURES, "label")
     model = DistanceModel().fit(lines, features=LINE_FEATURES)
     stored, _ = detect(
-        spark, model, lines, "distance_v1", _folder(spark, "scored") + ".parquet",
-        alert_path=_folder(spark, "alerts"), now=alert_time(), file_format="parquet",
+        spark, model, lines, "distance_v1", folder_for(spark, "scored") + ".parquet",
+        alert_path=folder_for(spark, "alerts"), now=alert_time(), file_format="parquet",
     )
     return stored
 
@@ -118,7 +129,7 @@ def batch_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alert_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts delivered both ways, read back from the two places."""
     alerts = project_alerts(line_packets(spark, sf_dir), "distance_v1", "distance")
-    lines, logs = _folder(spark, "lines"), _folder(spark, "logs")
+    lines, logs = folder_for(spark, "lines"), folder_for(spark, "logs")
     write_alerts(alerts, lines, logs, "both", host=ALERT_HOST, now=alert_time())
     return read_alerts(spark, lines).withColumn("sink", F.lit("file")).unionByName(
         read_alerts(spark, logs).withColumn("sink", F.lit("syslog"))
@@ -211,14 +222,14 @@ def _packets_of(frames: DataFrame) -> DataFrame:
 
 def capture_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures written in tasks and read back in byte ranges."""
-    folder = _folder(spark, "captures")
+    folder = folder_for(spark, "captures")
     write_captures(order_frames(spark, sf_dir), folder, "c")
     return _packets_of(read_captures(spark, folder, split_bytes=1 << 16, strict=True))
 
 
 def landed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures that come in two lots, landed after each and once more without anything new."""
-    folder, target, state = (_folder(spark, name) for name in ("captures", "landed", "state"))
+    folder, target, state = (folder_for(spark, name) for name in ("captures", "landed", "state"))
     for prefix, arrived in zip("ab", _arrivals(spark, sf_dir)):
         write_captures(arrived, folder, prefix)
         land_captures(spark, folder, target, state)
@@ -236,7 +247,7 @@ def _live(spark: SparkSession, sf_dir: str, start) -> DataFrame:
     """Runs a live query over the first landing, and restarts it when the second has come."""
     model = GapModel()
     model.features = ["inter_arrival_time", "udp_dport", "payload_size"]
-    landing, out, state = (_folder(spark, name) for name in ("landing", "live", "state"))
+    landing, out, state = (folder_for(spark, name) for name in ("landing", "live", "state"))
     for arrived in _arrivals(spark, sf_dir):
         arrived.write.mode("append").parquet(landing)
         query = start(
@@ -259,11 +270,11 @@ def live_alerts_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def live_packet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live packet summaries, without a model."""
-    landing = _folder(spark, "landing")
+    landing = folder_for(spark, "landing")
     order_frames(spark, sf_dir).write.parquet(landing)
     summaries = live_summary(frame_stream(spark, landing))
-    out = _folder(spark, "summaries")
-    writer = summaries.writeStream.option("checkpointLocation", _folder(spark, "state"))
+    out = folder_for(spark, "summaries")
+    writer = summaries.writeStream.option("checkpointLocation", folder_for(spark, "state"))
     writer.format("parquet").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.parquet(out).select("capture_id", "packet_no", "src", "dst", "protocol", "length")
 

@@ -278,11 +278,88 @@ LANDED = _CAPTURED.format(
     prefix="lot",
     source="(SELECT *, CASE WHEN o_orderkey <= (SELECT quantile_cont(o_orderkey, 0.5) FROM orders) THEN 'a' ELSE 'b' END AS lot FROM orders)",
 )
-FACTS = "SELECT CAST(o_orderstatus = 'F' AS INTEGER) AS label, count(*) AS n, count(*) AS scored, TRUE AS ordered FROM orders GROUP BY 1"
+FACTS = """SELECT CAST(o_orderstatus = 'F' AS INTEGER) AS label, count(*) AS n, count(*) AS scored, count(*) AS followed,
+  TRUE AS varied, TRUE AS holds FROM orders GROUP BY 1"""
 RELOADED = """SELECT m AS model, count(*) AS n, CAST(0 AS BIGINT) AS different
-  FROM orders, (VALUES ('random_forest'), ('svm')) v(m) GROUP BY 1"""
+  FROM orders, (VALUES ('autoencoder'), ('random_forest'), ('svm'), ('kernel_svm')) v(m) GROUP BY 1"""
+
+# The distance rule fitted on part 0 and applied to part 1 of ``split``.
+RULE = f"""stats AS ({_stats('(SELECT * FROM split WHERE part = 0)', ORDER_FEATURES)}),
+raw AS (SELECT part, label, {_distance(ORDER_FEATURES)} AS score FROM split, stats),
+cut AS (SELECT quantile_cont(score, 0.95) AS threshold FROM raw WHERE part = 0),
+scored AS (SELECT label, score, CAST(score > threshold AS INTEGER) AS prediction FROM raw, cut WHERE part = 1)"""
+PLAIN_SPLIT = f"""{ORDERS}, split AS (SELECT *, CAST(rn > n - ceil(0.2 * n) AS INTEGER) AS part FROM (
+  SELECT *, row_number() OVER (ORDER BY h, o_orderkey) AS rn, count(*) OVER () AS n FROM ord))"""
+
+
+def _measures(source: str) -> str:
+    """One row with the five metrics of ``source``."""
+    return f"SELECT {', '.join(f'{e} AS {n}' for n, e in BINARY.items())}, ({_auc(source)}) AS roc_auc FROM {source}"
+
+
+METRICS = [*BINARY, "roc_auc"]
+
+
+def _train_job() -> str:
+    long = _long("measures", {n: f"round({n}, 6)" for n in METRICS}, "metric", "value")
+    return f"""WITH {PLAIN_SPLIT}, {RULE}, measures AS ({_measures('scored')}), long AS ({long})
+SELECT 'distance' AS model_type, 2 AS input_dim, (SELECT count(*) FROM split WHERE part = 0) AS n_training_samples, metric, value FROM long"""
+
+
+def _cross_validation() -> str:
+    stats = ", ".join(f"avg(CAST(o.{f} AS DOUBLE)) AS m_{f}, stddev_pop(CAST(o.{f} AS DOUBLE)) AS s_{f}" for f in ORDER_FEATURES)
+    folds = " UNION ALL ".join(
+        f"SELECT * FROM ({_measures(f'(SELECT * FROM scored WHERE fold = {i})')})" for i in range(5)
+    )
+    return f"""WITH {FOLDS},
+stats AS (SELECT f.fold AS fold, {stats} FROM range(5) f(fold) JOIN folded o ON o.fold <> f.fold GROUP BY f.fold),
+raw AS (SELECT stats.fold AS fold, o.fold = stats.fold AS held, label, {_distance(ORDER_FEATURES)} AS score FROM folded o, stats),
+cut AS (SELECT fold, quantile_cont(score, 0.95) AS threshold FROM raw WHERE NOT held GROUP BY fold),
+scored AS (SELECT fold, label, score, CAST(score > threshold AS INTEGER) AS prediction FROM raw JOIN cut USING (fold) WHERE held),
+per_fold AS ({folds}), long AS ({_long('per_fold', {n: n for n in METRICS}, 'metric', 'value')})
+SELECT 'labelled_distance' AS model, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, 5 AS k FROM long GROUP BY metric"""
+
+
+def _compared() -> str:
+    return f"""WITH {SPLIT}, {RULE}, measures AS ({_measures('scored')})
+SELECT 'labelled_distance' AS model, {', '.join(f'round({n}, 4) AS {n}' for n in METRICS)}, CAST(NULL AS VARCHAR) AS error FROM measures
+UNION ALL SELECT 'missing', {', '.join('NULL' for _ in METRICS)}, 'unknown model ''missing''' AS error"""
+
+
+def _gated() -> str:
+    plain = _long("errors", {n: f"round({_DIST_SQL[n]}, 6)" for n in _DIST}, "metric", "value")
+    classes = {
+        f"avg_{e}_{w}": f"round(avg({e}) FILTER (label = {c}), 6)" for e in ("mse", "mae") for c, w in ((0, "normal"), (1, "anomalous"))
+    }
+    more = _long("errors", classes, "metric", "value")
+    measured = _long("measures", {n: f"round({n}, 6)" for n in METRICS}, "metric", "value")
+    return f"""WITH {ERRORS}, cut AS (SELECT quantile_cont(mse, 0.95) AS threshold FROM errors),
+scored AS (SELECT label, mse AS score, CAST(mse > threshold AS INTEGER) AS prediction FROM errors, cut),
+measures AS ({_measures('scored')}), plain AS ({plain}), more AS ({more} UNION ALL {measured})
+SELECT *, TRUE AS labelled FROM plain UNION ALL SELECT *, FALSE FROM plain UNION ALL SELECT *, TRUE FROM more"""
+
+
+_SEEN = "count(*) AS n, CAST(sum(o_custkey % 1000) AS BIGINT) AS udp_dport_sum, CAST(sum(o_custkey % 40) AS BIGINT) AS payload_size_sum"
+JOBS: dict[str, str] = {
+    "input_formats": f"""SELECT 'capture' AS input, {_SEEN}, FALSE AS refused FROM orders
+UNION ALL SELECT 'csv', {_SEEN}, FALSE FROM orders UNION ALL SELECT 'other', NULL, NULL, NULL, TRUE""",
+    "csv_line_breaks": """SELECT o_orderkey, o_orderstatus || chr(10) || '"' || o_orderpriority || '",' || chr(13) || chr(10) || o_custkey AS note,
+  CASE WHEN o_custkey % 8 % 2 = 1 THEN CAST(o_orderstatus = 'F' AS INTEGER) END AS label,
+  'notes' || (o_custkey % 8) || '-' || (o_orderkey // 100000) || '.csv' AS source FROM orders""",
+    "never_overwritten": f"""WITH {ORDERS} SELECT copy, label, count(*) AS n FROM ord, (VALUES (1), (2)) v(copy)
+WHERE copy = 1 OR label = 1 GROUP BY copy, label""",
+    "class_document": f"WITH {ORDERS} SELECT label, count(*) AS n, min(o_totalprice) AS least, max(o_totalprice) AS most FROM ord GROUP BY label",
+    "feature_matrix": f"""WITH {LINES} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+  l_discount, l_tax, label FROM lines""",
+    "fit_then_predict": f"WITH {SCORED} SELECT l_quantity, label, score, prediction FROM scored",
+    "gated_metrics": _gated(),
+    "train_job": _train_job(),
+    "cross_validation": _cross_validation(),
+    "compared_models": _compared(),
+}
 
 ORACLE_SQL: dict[str, str] = {
+    **JOBS,
     "long_headers": LONG_HEADERS,
     "capture_scan": CAPTURED,
     "landed_captures": LANDED,
