@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, short_texts: bool = False) -> DataFrame:
     Lines without a word are never part of a window and stay; a line survives unless a later
     occurrence of a repeated window covers it.  NULL texts stay NULL with 0 lines.  Texts of fewer
     than three filled lines have no window and stay as they are, copies included, unless ``short_texts``
-    makes a window of all their lines (``ORACLE`` is the form without).  Rows that repeat a document (same id
+    makes a window of all their lines (as ``ORACLE`` does).  Rows that repeat a document (same id
     and text) count as one, and all stay alike.  A window that occurs twice in one text loses the later
     occurrence, too.  Columns named like the results are replaced; an empty table gives an empty table.
     """
@@ -149,9 +149,10 @@ runs AS (
   SELECT doc_id, no, line AS x, lead(line) OVER w AS y, lead(line, 2) OVER w AS z FROM filled
   WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
 later AS (
-  SELECT doc_id, no FROM runs WHERE z IS NOT NULL
+  SELECT doc_id, no FROM runs WHERE z IS NOT NULL OR no = 0
   QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, no) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest([no, no + 1, no + 2]) AS no FROM later),
+covers AS (SELECT DISTINCT doc_id, unnest([no, no + 1, no + 2]) AS no FROM later),
+gone AS (SELECT doc_id, no FROM covers SEMI JOIN filled USING (doc_id, no)),
 rest AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
   FROM lines l LEFT JOIN filled f ON l.doc_id = f.doc_id AND l.pos = f.pos
