@@ -18,8 +18,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later occurrences of three-line windows; documents that lose every line go."""
-    return drop_repeated_lines(docs)
+    """Texts without later occurrences of three-line windows, or of texts too short for one; documents that
+    lose every line go."""
+    return drop_repeated_lines(docs, short_texts=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
