@@ -69,7 +69,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without later occurrences of three-line windows."""
+    """Texts without later occurrences of three-line windows, or of texts too short for one."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_texts=True)
 
 
