@@ -35,6 +35,8 @@ from packetloom.sources.paths import path_exists
 
 SPLIT_BYTES = 64 << 20
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 10_000
+# Bytes of a task where ranges are smaller, and bytes that a stream reads at once.
+TASK_BYTES, BUFFER_BYTES = 16 << 20, 4 << 20
 CHAIN_RECORDS = 24
 MAX_TASKS = 100_000
 
@@ -80,8 +82,9 @@ class _Section:
     interfaces: list[_Interface] = field(default_factory=list)
 
 
-def _open(path: str) -> io.BufferedReader:
-    return io.BufferedReader(open_binary(path), 4 << 20)
+def _open(path: str, wanted: int = BUFFER_BYTES) -> io.BufferedReader:
+    """A stream that reads about as many bytes at once as are ``wanted`` of the file."""
+    return io.BufferedReader(open_binary(path), min(max(int(wanted), 1 << 13), BUFFER_BYTES))
 
 
 def _read_format(stream: io.BufferedReader) -> _Format | None:
@@ -315,7 +318,7 @@ def _walked(stream: io.BufferedReader, form: _Format, first: int, stop: int, len
 
 def _index_range(row) -> dict:
     """The first record of one byte range as far as the range itself can tell, and what follows it."""
-    with _open(row.path) as stream:
+    with _open(row.path, row.stop - row.start) as stream:
         form = _read_format(stream)
         if form is None:
             lost = row.stop - row.start
@@ -367,7 +370,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packets, last = [], []
         for row in batch.itertuples(index=False):
             number, time_us = 0, None
-            with _open(row.path) as stream:
+            with _open(row.path, row.stop - row.first) as stream:
                 for _, time_us, _, _ in _ng_packets(stream, int(row.first), int(row.stop), int(row.length), row.state, data=False):
                     number += 1
             packets.append(number)
@@ -413,7 +416,7 @@ def _arrow(rows: list[tuple]) -> pa.RecordBatch:
 def _frame_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            with _open(row["path"]) as stream:
+            with _open(row["path"], row["stop"] - row["first"]) as stream:
                 form = _read_format(stream)
                 rows, held, number, previous = [], 0, row["base"], row["carry_us"]
                 for _, time_us, linktype, content in _packets(
@@ -428,9 +431,11 @@ def _frame_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     yield _arrow(rows)
 
 
-def _spread(ranges: DataFrame) -> DataFrame:
-    """About one byte range per task."""
-    return ranges.repartition(max(1, min(ranges.count(), MAX_TASKS)))
+def _spread(ranges: DataFrame, begin: str = "start") -> DataFrame:
+    """One byte range per task, or as many small ones as make up ``TASK_BYTES``."""
+    facts = ranges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col(begin)).alias("bytes")).first()
+    wanted = max(-(-(facts.bytes or 0) // TASK_BYTES), 2 * ranges.sparkSession.sparkContext.defaultParallelism)
+    return ranges.repartition(max(1, min(facts.n, wanted, MAX_TASKS)))
 
 
 def capture_files(spark: SparkSession, path: str) -> DataFrame:
@@ -505,7 +510,7 @@ def indexed_frames(index: DataFrame, previous: bool = False) -> DataFrame:
         F.last("last_us", ignorenulls=True).over(before).alias("carry_us"),
     ).filter("packets > 0")
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FRAME_SCHEMA)
-    frames = _spread(placed).mapInArrow(_frame_batches, f"{columns}, previous_us LONG")
+    frames = _spread(placed, "first").mapInArrow(_frame_batches, f"{columns}, previous_us LONG")
     return frames if previous else frames.drop("previous_us")
 
 

@@ -163,3 +163,26 @@ def test_unsupported_suffix(spark, tmp_path):
     (tmp_path / "a.txt").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
         load_input(spark, str(tmp_path / "a.txt"))
+
+
+def test_small_ranges_share_tasks_and_read_little(spark, tmp_path, monkeypatch):
+    from packetloom.sources import captures
+
+    wanted = packets(1500)
+    (tmp_path / "a.pcap").write_bytes(pcap(wanted))
+    frames = read_captures(spark, str(tmp_path / "a.pcap"), 2_000)
+    ranges = -(-(tmp_path / "a.pcap").stat().st_size // 2_000)
+    assert ranges > 200 and frames.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert frames.count() == 1500
+
+    asked = []
+
+    class Counted(captures.io.FileIO):
+        def readinto(self, into):
+            asked.append(len(into))
+            return super().readinto(into)
+
+    monkeypatch.setattr(captures, "open_binary", lambda path: Counted(path))
+    size = (tmp_path / "a.pcap").stat().st_size
+    row = type("Row", (), {"path": str(tmp_path / "a.pcap"), "start": 0, "stop": 2_000, "length": size})
+    assert captures._index_range(row)["packets"] > 0 and max(asked) <= 1 << 13
