@@ -90,6 +90,21 @@ def _stepped(heads: _Heads, where: np.ndarray, base: np.ma.MaskedArray, ether: n
     return base, _either(where, heads.read(_where(where, base) - 2, 2), ether)
 
 
+def _behind_tags(heads: _Heads, base: np.ma.MaskedArray, ether: np.ma.MaskedArray):
+    """Base and EtherType behind all VLAN tags; every turn looks only at the frames that have one more."""
+    bases, kinds, cut = base.data.copy(), ether.filled(0), np.ma.getmaskarray(ether).copy()
+    rows = np.flatnonzero(np.isin(kinds, ETHERTYPES_VLAN))
+    while len(rows):
+        at = bases[rows] + 4
+        there = at <= heads.sizes[rows]
+        begin = np.where(there, heads.starts[rows] + at - 2, 0)
+        kind = np.where(there, heads.octets[begin].astype(np.int64) << 8 | heads.octets[begin + 1], 0)
+        bases[rows], kinds[rows], cut[rows] = at, kind, ~there
+        heads.ran_out[rows] |= ~there & (at <= heads.whole[rows])
+        rows = rows[np.isin(kind, ETHERTYPES_VLAN)]
+    return np.ma.array(bases, mask=np.ma.getmaskarray(base)), np.ma.array(kinds, mask=cut)
+
+
 def _network_layer(heads: _Heads, link: np.ndarray):
     """Offset of the network header, its version (4, 6 or 0) and the EtherType."""
     base = np.ma.masked_all(len(link), dtype=np.int64)
@@ -103,8 +118,7 @@ def _network_layer(heads: _Heads, link: np.ndarray):
     # A length instead of a type: 802.2 with SNAP holds the type behind its own five bytes.
     snap = (link == LINK_ETHERNET) & _holds(ether < 0x0600) & _holds(heads.read(base, 4) == 0xAAAA0300)
     base, ether = _stepped(heads, snap, base, ether, 8)
-    while (tagged := _holds(np.isin(ether.filled(0), ETHERTYPES_VLAN))).any():
-        base, ether = _stepped(heads, tagged, base, ether, 4)
+    base, ether = _behind_tags(heads, base, ether)
     version = np.where(_holds(ether == ETHERTYPE_IPV4), 4, 0)
     version = np.where(_holds(ether == ETHERTYPE_IPV6), 6, version)
     untyped = np.ma.getmaskarray(type_at) & ~np.ma.getmaskarray(base)

@@ -147,3 +147,27 @@ def test_long_and_nested_headers_are_read(spark):
         assert (row.tcp_sport, row.tcp_dport, row.tcp_flag_int, row.payload_size, row.is_empty_payload) == (1234, 80, 24, 10, 0), name
     assert (found["ip_in_ip"].ip_proto_number, found["ip_in_ip"].ip_ttl) == (4, 64)
     assert (found["6in4"].ip_proto_number, found["4in6"].ip_proto_number) == (41, 6)
+
+
+def test_deep_tags_cost_the_other_frames_nothing(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from packetloom.functions import headers
+
+    def reads(tags):
+        calls = []
+
+        class Counted(headers._Heads):
+            def read(self, at, width):
+                calls.append(len(at))
+                return super().read(at, width)
+
+        body = bytes.fromhex("0800") + bytes.fromhex("4500003200010000400600000A0000010A000002") + bytes(30)
+        frames = [bytes(12) + bytes.fromhex("81000005") * n + body for n in (tags, *[0] * 40)]
+        size = np.array([len(f) for f in frames])
+        found = headers._read_headers(Counted(pa.array(frames, pa.binary()), size), size, np.ones(41, np.int64))
+        assert found["ip_proto_number"].tolist() == [6] * 41 and found["l3_offset"].tolist() == [14 + 4 * tags] + [14] * 40
+        return sum(calls)
+
+    assert reads(50) == reads(0)
