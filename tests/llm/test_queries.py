@@ -48,3 +48,31 @@ def test_pipeline_equals_brute_force(spark):
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     assert {r.doc_id for r in rows} == {i for i, _ in clean}
     assert len({r.sequence_id for r in rows}) == brute_best_fit([r.length for r in rows], 2048)[0]
+
+
+def test_stages_leave_no_tables_of_their_own(spark):
+    import os
+
+    from packetloom.session import scratch_path
+
+    tables, seen = f"{scratch_path(spark)}/tables", []
+    before, stages = set(os.listdir(tables)) if os.path.isdir(tables) else set(), corpus_pipeline.STAGES
+
+    def watched(name, stage):
+        def begun(spark, docs, sf_dir):
+            result = stage(spark, docs, sf_dir)
+            seen.append((name, {x.rsplit("-", 1)[0] for x in set(os.listdir(tables)) - before}))
+            return result
+
+        return name, begun
+
+    corpus_pipeline.STAGES = [watched(*x) for x in stages]
+    try:
+        assert corpus_pipeline.run(spark, SF_DIR).count() > 0
+    finally:
+        corpus_pipeline.STAGES = stages
+    seen = dict(seen)
+    assert "rule-rows" in seen["quality_rules"] and "rule-rows" not in seen["line_dedup"]
+    assert "line-windows" in seen["line_dedup"] and not {"line-windows", "quality_rules"} & seen["near_dedup"]
+    assert "signatures" in seen["near_dedup"] and not {"signatures", "sets", "line_dedup"} & seen["decontamination"]
+    assert not {"item-windows", "near_dedup"} & seen["packing"] and "decontamination" in seen["packing"]
