@@ -117,3 +117,49 @@ def test_live_summary(spark, setting, tmp_path):
     query.trigger(availableNow=True).start().awaitTermination()
     rows = spark.table("summaries").collect()
     assert len(rows) == 159 and {r.protocol for r in rows} == {"tcp", "Ethernet"}
+
+
+def test_a_capture_is_never_held_whole(tmp_path):
+    """Blocks of a large capture leave as they came, and none is held while the next one is read."""
+    import gc
+    import weakref
+
+    import pandas as pd
+
+    from packetloom.streaming.gap_state import GapState
+
+    order = random.Random(5).sample(range(600), 600)
+    alive, most = [], []
+
+    def blocks():
+        for at in range(0, 600, 50):
+            numbers = order[at : at + 50]
+            block = pd.DataFrame({"packet_no": numbers, "ts_us": [7 + n * n for n in numbers], "wide": [f"{n}" for n in numbers]})
+            alive.append(weakref.ref(block))
+            yield block
+            del block
+            gc.collect()
+            most.append(sum(one() is not None for one in alive))
+
+    class Last:
+        kept = (3, 20, 0, 10**15)
+        exists = staticmethod(lambda: True)
+        get = staticmethod(lambda: Last.kept)
+        update = staticmethod(lambda kept: setattr(Last, "kept", kept))
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema: Last)
+        deleteTimer = registerTimer = staticmethod(lambda at: None)
+
+    class Now:
+        getCurrentProcessingTimeInMs = staticmethod(lambda: 1)
+
+    state = GapState(3600)
+    state.init(Handle)
+    found = list(state.handleInputRows(("c",), blocks(), Now))
+    assert max(most) <= 1 and [len(block) for block in found] == [50] * 12
+    rows = pd.concat(found, ignore_index=True)
+    assert rows["packet_no"].tolist() == order and rows["wide"].tolist() == [str(n) for n in order]
+    wanted = {n: 0 if n <= 3 else 23 - 20 if n == 4 else 2 * n - 1 for n in order}
+    assert rows["gap_us"].tolist() == [wanted[n] for n in order] and rows["late"].tolist() == [n <= 3 for n in order]
+    assert Last.kept[:3] == (599, 7 + 599 * 599, 4)
