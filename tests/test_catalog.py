@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import math
+import threading
 
 import duckdb
 import pytest
 from conftest import SF_DIR
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from packetloom.plans import catalog
 from packetloom.plans.catalog import QUERIES
 from packetloom.plans.oracle import ORACLE_SQL
 
@@ -52,3 +55,26 @@ def test_entry(spark):
 def test_every_query_has_sql_or_scores():
     assert {n for n in QUERIES if n not in ORACLE_SQL} == {n for n in QUERIES if n.endswith("_scores")}
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
+
+
+def test_reloaded_models_are_trained_side_by_side(spark, monkeypatch):
+    meet = threading.Barrier(len(catalog.RELOADED), timeout=60)
+
+    class Model:
+        def fit(self, df):
+            meet.wait()
+            return self
+
+        def save(self, spark, path):
+            return path
+
+        def load(self, spark, path):
+            return self
+
+        def transform(self, df):
+            return df.withColumn("score", F.lit(0.5))
+
+    monkeypatch.setattr(catalog, "build_model", lambda name, **wanted: Model())
+    monkeypatch.setattr(catalog, "labelled_orders", lambda *_: spark.range(3).toDF("o_orderkey"))
+    found = sorted(map(tuple, catalog.model_reload(spark, "unused").collect()))
+    assert found == sorted((kind, 3, 0) for kind, _, _ in catalog.RELOADED)
